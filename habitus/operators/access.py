@@ -110,7 +110,10 @@ def second_to_ts(second: Column) -> Column:
 def requests_per_second(requests: DataFrame) -> DataFrame:
     """``client, second, requests``, combined on the map side."""
     return (
-        requests.select("client", epoch_second(F.col("ts")).alias("second"))
+        requests.select(
+            F.coalesce("client", F.lit("unknown")).alias("client"),
+            epoch_second(F.col("ts")).alias("second"),
+        )
         .groupBy("client", "second")
         .agg(F.count(F.lit(1)).alias("requests"))
     )
@@ -244,23 +247,22 @@ def throttle_decisions(
     if limit <= 0:
         return _decisions(_all_admitted(seconds))
     counted = cut_lineage(trailing_requests(seconds, window))
-    stretches = _stretches(counted, window, limit)
-    members = stretches.select("client", "bucket", "stretch")
-    lead_in = stretches.where(F.col("starts").isNotNull()).select(
-        "client", (F.col("bucket") - 1).alias("bucket"), "stretch", "first"
-    )
+    stretches = cut_lineage(_stretches(counted, window, limit))
     keys = ["client", "bucket"]
-    own = counted.join(members, keys, "left")
-    copies = (
-        counted.join(lead_in, keys)
-        .where(F.col("second") >= F.col("first") - window)
-        .drop("first")
+    members = stretches.select(*keys, "stretch", F.lit(False).alias("copy"))
+    lead_in = stretches.where(F.col("starts").isNotNull()).select(
+        "client",
+        (F.col("bucket") - 1).alias("bucket"),
+        "stretch",
+        F.lit(True).alias("copy"),
+        "first",
     )
+    before = (F.col("second") >= F.col("first") - window) & (F.col("second") < F.col("first"))
+    columns = ("client", "stretch", "second", "requests", "copy")
     busy = (
-        own.where(F.col("stretch").isNotNull())
-        .withColumn("copy", F.lit(False))
-        .unionByName(copies.withColumn("copy", F.lit(True)))
-        .select("client", "stretch", "second", "requests", "copy")
+        counted.join(members, keys)
+        .select(*columns)
+        .unionByName(counted.join(lead_in, keys).where(before).select(*columns))
         .repartition("client", "stretch")
         .sortWithinPartitions("client", "stretch", "second")
     )
@@ -268,7 +270,7 @@ def throttle_decisions(
         _decide_sorted(window, limit),
         "client string, second long, requests long, admitted long, retry_after long",
     )
-    calm = _all_admitted(own.where(F.col("stretch").isNull()))
+    calm = _all_admitted(counted.join(members, keys, "left_anti"))
     return _decisions(calm.unionByName(decided))
 
 

@@ -91,8 +91,11 @@ def zscores_by_history(df: DataFrame, settings: Settings = DEFAULTS) -> DataFram
 
     For plans that need that window anyway (drift): both then share one exchange,
     one sort and one window operator. Needs one row per actor and day, as feature
-    tables have; an actor's partition is then no longer than the calendar.
+    tables have; an actor's partition is then no longer than the calendar. The explicit
+    repartitioning is the exchange the window needs anyway, put ahead of the squares so
+    that these are not shuffled.
     """
+    df = df.repartition(settings.actor)
     history = (
         Window.partitionBy(settings.actor)
         .orderBy(settings.day)

@@ -198,21 +198,39 @@ def top_days(scores: DataFrame, count: int = 10, settings: Settings = DEFAULTS)
 
 
 def user_headers(scores: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Per actor: days, flagged days, days per level, any drift, context of day one."""
-    severity, day = F.col("severity"), F.col(settings.day)
-    context = ("role", "department", "team")
+    """Per actor: days, flagged days, days per level, any drift, context of day one.
+
+    An actor's context hardly ever changes, so grouping by it first leaves about one row
+    per actor for the step that picks the earliest. The large step then keeps no text in
+    its buffers, which lets it hash instead of sort.
+    """
+    context = ["role", "department", "team"]
+    severity = F.col("severity")
+    counts = [
+        F.count(F.lit(1)).alias("total_days"),
+        F.count_if(is_flagged(severity)).alias("flagged_days"),
+        *_breakdown(severity),
+    ]
+    names = ["total_days", "flagged_days", *[name.lower() for name in SEVERITIES]]
+    per_context = (
+        scores.fillna(UNKNOWN, subset=context)
+        .groupBy(settings.actor, *context)
+        .agg(
+            F.min(settings.day).alias("first_day"),
+            F.max("drift_flag").alias("any_drift"),
+            *counts,
+        )
+    )
     return (
-        scores.fillna(UNKNOWN, subset=list(context))
-        .groupBy(settings.actor)
+        per_context.groupBy(settings.actor)
         .agg(
-            F.min(F.struct(day, *context)).alias("first"),
-            F.count(F.lit(1)).alias("total_days"),
-            F.count_if(is_flagged(severity)).alias("flagged_days"),
-            *_breakdown(severity),
-            F.bool_or("drift_flag").alias("any_drift"),
+            F.min(F.struct("first_day", *context)).alias("first"),
+            *[F.sum(name).alias(name) for name in names],
+            F.bool_or("any_drift").alias("any_drift"),
+        )
+        .select(
+            settings.actor, *[f"first.{name}" for name in context], *names, "any_drift"
         )
-        .withColumns({name: F.col(f"first.{name}") for name in context})
-        .drop("first")
     )
 
 
@@ -229,10 +247,18 @@ def user_timeline(scores: DataFrame, user: str, settings: Settings = DEFAULTS) -
     """Header and chronological days of one actor; both are empty for an unknown one."""
     days = user_days(scores, user, settings)
     return Timeline(
-        user_headers(days, settings), serving_record(days.orderBy(settings.day))
+        user_headers(days, settings), serving_record(_in_order(days, F.asc(settings.day)))
     )
 
 
+def _in_order(days: DataFrame, order: Column) -> DataFrame:
+    """One actor's days sorted in one partition: at most one row per calendar day.
+
+    A global sort would first run the scan once more to sample its ranges.
+    """
+    return days.repartition(1).sortWithinPartitions(order)
+
+
 def user_found(scores: DataFrame, user: str, settings: Settings = DEFAULTS) -> DataFrame:
     """One row that says whether the actor has any day."""
     return user_days(scores, user, settings).agg(
@@ -243,7 +269,7 @@ def user_found(scores: DataFrame, user: str, settings: Settings = DEFAULTS) -> D
 def flagged_history(scores: DataFrame, user: str, settings: Settings = DEFAULTS) -> DataFrame:
     """One actor's flagged or drifting days, latest first."""
     days = threat_base(user_days(scores, user, settings))
-    return serving_record(days.orderBy(F.desc(settings.day)))
+    return serving_record(_in_order(days, F.desc(settings.day)))
 
 
 def with_display_reasons(scores: DataFrame) -> DataFrame:

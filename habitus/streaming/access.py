@@ -98,7 +98,7 @@ def throttle_stream(
     if limit <= 0:
         raise ValueError("a stream without a limit needs no decisions")
     partial = requests.select(
-        "client",
+        F.coalesce("client", F.lit("unknown")).alias("client"),
         epoch_second(F.col("ts")).alias("second"),
         F.lit(1).cast("long").alias("requests"),
     ).mapInPandas(_combine, "client string, second long, requests long")
