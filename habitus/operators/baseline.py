@@ -8,8 +8,6 @@ an actor with a third of a 10^12-row log would overflow a long.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,29 +20,41 @@ def _is_integral(df: DataFrame, feature: str) -> bool:
     return isinstance(df.schema[feature].dataType, T.IntegralType)
 
 
-def _moments(df: DataFrame, feature: str) -> tuple[Column, Column, Column]:
-    """Aggregates of one feature: number of values, sum, sum of squares."""
-    wide = F.col(feature).cast("decimal(19,0)")
-    return F.count(feature), F.sum(feature), F.sum(wide * wide)
+def _sums(df: DataFrame, settings: Settings) -> dict[str, Column]:
+    """The aggregates a baseline is made of, by name."""
+    found = {}
+    for feature in settings.features:
+        if _is_integral(df, feature):
+            wide = F.col(feature).cast("decimal(19,0)")
+            found[f"_n_{feature}"] = F.count(feature)
+            found[f"_s_{feature}"] = F.sum(feature)
+            found[f"_q_{feature}"] = F.sum(wide * wide)
+        else:
+            found[f"_avg_{feature}"] = F.avg(feature)
+            found[f"_std_{feature}"] = F.stddev_samp(feature)
+    return found
 
 
-def _mean_and_std(
-    df: DataFrame, feature: str, over: Callable[[Column], Column]
-) -> tuple[Column, Column]:
-    """Mean and sample spread as expressions on aggregates passed through ``over``.
+def _mean_and_std(df: DataFrame, feature: str) -> tuple[Column, Column]:
+    """Mean and sample spread from the columns of ``_sums``.
 
     The spread is NULL where there is no second value or no variation.
     """
     if not _is_integral(df, feature):
-        mean, std = over(F.avg(feature)), over(F.stddev_samp(feature))
-        return mean, F.nullif(std, F.lit(0.0))
-    count, total, squares = (over(a) for a in _moments(df, feature))
+        return F.col(f"_avg_{feature}"), F.nullif(F.col(f"_std_{feature}"), F.lit(0.0))
+    count, total, squares = (F.col(f"_{kind}_{feature}") for kind in "nsq")
     whole = "decimal(20,0)"
-    mean = total.cast("double") / F.nullif(count, F.lit(0))
+    mean = F.when(count > 0, total.cast("double") / count)
     numerator = count.cast(whole) * squares - total.cast(whole) * total.cast(whole)
-    pairs = (count * (count - 1)).cast("double")
-    variance = numerator.cast("double") / F.nullif(pairs, F.lit(0.0))
-    return mean, F.nullif(F.sqrt(variance), F.lit(0.0))
+    variance = numerator.cast("double") / (count * (count - 1)).cast("double")
+    return mean, F.when((count > 1) & (numerator > 0), F.sqrt(variance))
+
+
+def _baseline_columns(df: DataFrame, settings: Settings) -> dict[str, Column]:
+    columns = {}
+    for feature in settings.features:
+        columns[f"mean_{feature}"], columns[f"std_{feature}"] = _mean_and_std(df, feature)
+    return columns
 
 
 def z_of(value: Column, mean: Column, std: Column) -> Column:
@@ -54,15 +64,13 @@ def z_of(value: Column, mean: Column, std: Column) -> Column:
 
 def actor_baseline(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """``mean_*`` and ``std_*`` per actor, over the whole history."""
-    aggregates = {}
-    for feature in settings.features:
-        mean, std = _mean_and_std(df, feature, lambda a: a)
-        aggregates[f"mean_{feature}"] = mean
-        aggregates[f"std_{feature}"] = std
+    sums = _sums(df, settings)
+    baseline = _baseline_columns(df, settings)
     return (
         df.where(F.col(settings.actor).isNotNull())
         .groupBy(settings.actor)
-        .agg(*[expr.alias(name) for name, expr in aggregates.items()])
+        .agg(*[total.alias(name) for name, total in sums.items()])
+        .select(settings.actor, *[column.alias(name) for name, column in baseline.items()])
     )
 
 
@@ -101,10 +109,9 @@ def zscores_by_history(df: DataFrame, settings: Settings = DEFAULTS) -> DataFram
         .orderBy(settings.day)
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
+    sums = _sums(df, settings)
     known = F.col(settings.actor).isNotNull()
-    columns = {}
-    for feature in settings.features:
-        mean, std = _mean_and_std(df, feature, lambda a: a.over(history))
-        columns[f"mean_{feature}"] = F.when(known, mean)
-        columns[f"std_{feature}"] = F.when(known, std)
-    return _add_z(df.withColumns(columns), settings)
+    baseline = _baseline_columns(df, settings)
+    summed = df.withColumns({name: total.over(history) for name, total in sums.items()})
+    based = summed.withColumns({n: F.when(known, c) for n, c in baseline.items()})
+    return _add_z(based.drop(*sums), settings)
