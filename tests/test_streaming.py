@@ -1,0 +1,77 @@
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+from test_access import START, decided, expected
+
+from habitus.operators.access import AUDIT_SCHEMA, audit_pairs, audit_report, lookups
+from habitus.streaming.access import (
+    read_audit_pairs,
+    stream_audit,
+    throttle_stream,
+    write_audit_pairs,
+)
+
+
+def run(stream, out, checkpoint):
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def add(spark, folder, times):
+    rows = [(c, START + timedelta(seconds=s)) for c, s in times]
+    df = spark.createDataFrame(rows, "client string, ts timestamp_ntz")
+    df.coalesce(1).write.mode("append").parquet(folder)
+
+
+def requests(spark, folder):
+    return spark.readStream.schema("client string, ts timestamp_ntz").parquet(folder)
+
+
+def test_state_carries_over_between_batches(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    times = {"a": [0, 1, 1, 2, 70, 71, 90, 131], "b": [5, 200]}
+    for low, high in ((0, 2), (2, 80), (80, 1000)):
+        add(spark, folder, [(c, s) for c, ss in times.items() for s in ss if low <= s < high])
+        run(throttle_stream(requests(spark, folder), 2, 60), out, checkpoint)
+    found = decided(spark.read.parquet(out))
+    assert found == expected(times, 2, 60)
+
+
+def test_late_requests_are_counted_apart(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    add(spark, folder, [("a", 100)])
+    run(throttle_stream(requests(spark, folder), 2, 60), out, checkpoint)
+    add(spark, folder, [("a", 50), ("a", 100), ("a", 101), ("b", 50)])
+    run(throttle_stream(requests(spark, folder), 2, 60), out, checkpoint)
+    rows = spark.read.parquet(out).collect()
+    late = [(r.client, r.requests, r.admitted, r.refused) for r in rows if r.late]
+    assert late == [("a", 1, 0, 0)]
+    assert sum(r.requests for r in rows) == 5
+    assert sum(r.admitted for r in rows) == 3 and sum(r.refused for r in rows) == 1
+
+
+def test_audit_stream_equals_the_batch_report(spark, tmp_path):
+    lines, pairs, checkpoint = (str(tmp_path / n) for n in ("lines", "pairs", "cp"))
+
+    def line(i):
+        stamp = (datetime(2024, 1, 1) + timedelta(seconds=i)).strftime("%Y-%m-%dT%H:%M:%S+00:00")
+        name = "alice" if i % 3 else None
+        return ("user_timeline_access", stamp, f"ip{i % 2}", name, f"U{i % 4}", i % 5 > 0)
+
+    for start in (0, 20):
+        df = spark.createDataFrame([line(i) for i in range(start, start + 20)], AUDIT_SCHEMA)
+        df.write.mode("append").json(lines)
+        query = write_audit_pairs(stream_audit(spark, lines), pairs, checkpoint)
+        query.trigger(availableNow=True).start().awaitTermination()
+    streamed = audit_report(read_audit_pairs(spark, pairs)).collect()
+    whole = lookups(spark.read.schema(AUDIT_SCHEMA).json(lines))
+    batch = audit_report(audit_pairs(whole)).collect()
+    assert sorted(map(str, streamed)) == sorted(map(str, batch))
+    assert sum(r.lookups for r in streamed) == 40
