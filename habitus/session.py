@@ -29,13 +29,11 @@ def shared_folder(spark: SparkSession) -> str | None:
     Where it is unset, a local session gets a temporary folder; a cluster gets
     None, since no machine-local folder would be visible to all executors.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    folder = tempfile.mkdtemp(prefix="habitus-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None and context.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="habitus-")
+        context.setCheckpointDir(folder)
     return folder
 
 

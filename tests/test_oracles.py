@@ -1,0 +1,35 @@
+"""Each registered query against its SQL counterpart."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+from compare import connect, difference
+
+from habitus.oracles import ORACLES
+from habitus.registry import QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no sample tables")
+
+
+@pytest.fixture(scope="module")
+def connection():
+    with connect(FOLDER) as c:
+        yield c
+
+
+def test_only_the_model_has_no_sql():
+    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLES) == {"iforest_scores", "full_detection"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_same_rows(spark, connection, name):
+    assert difference(QUERIES[name](spark, FOLDER), connection, ORACLES[name]) is None
+
+
+def test_the_model_queries_cover_all_days(spark):
+    assert QUERIES["iforest_scores"](spark, FOLDER).count() == 326
+    assert QUERIES["full_detection"](spark, FOLDER).count() == 5334
