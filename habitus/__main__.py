@@ -7,7 +7,7 @@ import argparse
 from habitus.operators.serving import stats, threats, user_timeline
 from habitus.plans.rebuild import build_features, load, prepare_serving, run_detection
 from habitus.session import build_session
-from habitus.sources.tables import resolve_scores
+from habitus.sources.tables import lookup, resolve_path, resolve_scores
 
 
 def _arguments() -> argparse.Namespace:
@@ -54,7 +54,8 @@ def main() -> None:
         page.total_matching.show()
         page.results.show(args.limit, truncate=False)
     else:
-        timeline = user_timeline(resolve_scores(spark, args.out), args.user)
+        days = lookup(spark, resolve_path(spark, args.out), args.user)
+        timeline = user_timeline(days, args.user)
         timeline.header.show(vertical=True)
         timeline.days.show(10_000, truncate=False)
 

@@ -16,6 +16,8 @@ from habitus.functions.times import day_text
 DEFAULT_LIMIT = 500
 MAX_LIMIT = 5000
 
+_CONTEXT = ("role", "department", "team")
+
 # The numbers kept in single precision for a resident table.
 _NUMBERS = (
     "severity_score",
@@ -27,21 +29,18 @@ _NUMBERS = (
 )
 
 
-def normalise(scores: DataFrame) -> DataFrame:
-    """Unknown context becomes the word for it, days become text."""
-    return scores.fillna(UNKNOWN, subset=["role", "department", "team"]).withColumn(
-        "day", day_text(F.col("day"))
-    )
-
-
 def serving_record(scores: DataFrame) -> DataFrame:
-    """The served fields with the types a reader gets."""
-    types = {name: "double" for name in _NUMBERS} | {
-        "iso_anomaly": "boolean",
-        "drift_flag": "boolean",
-    }
-    return normalise(scores).select(
-        *[F.col(c).cast(types.get(c, "string")).alias(c) for c in SERVED_COLUMNS]
+    """The served fields as a reader gets them, in one projection.
+
+    Days become text, numbers doubles, and unknown context the word for it.
+    """
+    forms = (
+        {name: "cast({0} as double)" for name in _NUMBERS}
+        | {name: f"coalesce({{0}}, '{UNKNOWN}')" for name in _CONTEXT}
+        | {"day": "date_format({0}, 'yyyy-MM-dd')"}
+    )
+    return scores.selectExpr(
+        *[f"{forms.get(c, '{0}').format(f'`{c}`')} as `{c}`" for c in SERVED_COLUMNS]
     )
 
 
@@ -204,7 +203,7 @@ def user_headers(scores: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     per actor for the step that picks the earliest. The large step then keeps no text in
     its buffers, which lets it hash instead of sort.
     """
-    context = ["role", "department", "team"]
+    context = list(_CONTEXT)
     severity = F.col("severity")
     counts = [
         F.count(F.lit(1)).alias("total_days"),
@@ -243,20 +242,27 @@ def user_days(scores: DataFrame, user: str, settings: Settings = DEFAULTS) -> Da
     return scores.where(F.col(settings.actor) == F.lit(user))
 
 
-def user_timeline(scores: DataFrame, user: str, settings: Settings = DEFAULTS) -> Timeline:
-    """Header and chronological days of one actor; both are empty for an unknown one."""
+def user_timeline(
+    scores: DataFrame, user: str, settings: Settings = DEFAULTS, one_task: bool = False
+) -> Timeline:
+    """Header and chronological days of one actor; both are empty for an unknown one.
+
+    ``one_task`` reads and sorts the days in a single task without an exchange. That is
+    the fastest for a frame narrowed to a few files (``tables.lookup``), and wrong for
+    a scan of a large table.
+    """
     days = user_days(scores, user, settings)
-    return Timeline(
-        user_headers(days, settings), serving_record(_in_order(days, F.asc(settings.day)))
-    )
+    ordered = _in_order(days, F.asc(settings.day), one_task)
+    return Timeline(user_headers(days, settings), serving_record(ordered))
 
 
-def _in_order(days: DataFrame, order: Column) -> DataFrame:
+def _in_order(days: DataFrame, order: Column, one_task: bool = False) -> DataFrame:
     """One actor's days sorted in one partition: at most one row per calendar day.
 
     A global sort would first run the scan once more to sample its ranges.
     """
-    return days.repartition(1).sortWithinPartitions(order)
+    single = days.coalesce(1) if one_task else days.repartition(1)
+    return single.sortWithinPartitions(order)
 
 
 def user_found(scores: DataFrame, user: str, settings: Settings = DEFAULTS) -> DataFrame:

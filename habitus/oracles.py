@@ -373,6 +373,7 @@ FROM levels LEFT JOIN scores USING (severity) GROUP BY severity""",
     "CAST(logon_count AS DOUBLE) AS logon_count, drift_flag FROM scores",
     "serving_roundtrip": f"{_SCORES} SELECT {_RECORD} FROM scores",
     "serving_lookup": f"{_SCORES} SELECT {_RECORD} FROM scores WHERE \"user\" = '7'",
+    "serving_lookup_bucketed": f"{_SCORES} SELECT {_RECORD} FROM scores WHERE \"user\" = '7'",
     "layout_totals": f"{_SCORES} SELECT count(*) AS rows FROM scores",
     "resolve_scores": _SUMMARY,
     "preview_csv": f"{_SCORES} SELECT {_PREVIEW} FROM scores WHERE {_ANY} {_RANKED} LIMIT 20",

@@ -112,7 +112,14 @@ def resolve_scores(spark: SparkSession, folder: str) -> DataFrame:
 def serving_lookup(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "serving")
     tables.write_serving(shipping_scores(spark, folder), path)
-    return serving.serving_record(tables.lookup(tables.read_served(spark, path), "7"))
+    return serving.serving_record(tables.lookup(spark, path, "7"))
+
+
+def serving_lookup_bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "serving")
+    tables.write_serving(shipping_scores(spark, folder), path, buckets=16)
+    days = tables.lookup(spark, path, "7", buckets=16)
+    return serving.user_timeline(days, "7", one_task=True).days
 
 
 def preview_csv(spark: SparkSession, folder: str) -> DataFrame:
@@ -434,6 +441,7 @@ QUERIES: dict[str, Query] = {
     "serving_json": _served(_json),
     "serving_roundtrip": serving_roundtrip,
     "serving_lookup": serving_lookup,
+    "serving_lookup_bucketed": serving_lookup_bucketed,
     "layout_totals": layout_totals,
     "resolve_scores": resolve_scores,
     "preview_csv": preview_csv,

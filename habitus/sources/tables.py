@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from habitus.config import DEFAULTS, PREVIEW_COLUMNS, Settings
@@ -20,6 +21,8 @@ SCORE_TABLE = "threat_scores.parquet"
 SERVING_TABLE = "threat_scores_serving.parquet"
 PREVIEW_FILE = "top_threats_preview.csv"
 
+_BUCKET_PREFIX = "actor_bucket_of_"
+
 
 class MissingSource(FileNotFoundError):
     """An input table is not there; the message names the step that makes it."""
@@ -44,11 +47,21 @@ def read_table(spark: SparkSession, path: str, remedy: str = "run the step befor
         return spark.read.parquet(path)
 
 
+def _bucket(actor: Column, buckets: int) -> Column:
+    """Checksum bucket of an actor; ``_bucket_number`` gives the same without a job."""
+    return (F.crc32(actor) % buckets).cast("int")
+
+
+def _bucket_number(actor: str, buckets: int) -> int:
+    return zlib.crc32(actor.encode()) % buckets
+
+
 def write_serving(
     scores: DataFrame,
     path: str,
     settings: Settings = DEFAULTS,
     partitions: int | None = None,
+    buckets: int | None = None,
 ) -> None:
     """The served columns, clustered so that one actor is one short range.
 
@@ -56,38 +69,75 @@ def write_serving(
     heavy actor span several files; the statistics of the small row groups then
     let a lookup skip all others. ``partitions`` None leaves the width to the
     session and to adaptive execution.
+
+    A table of very many files should also set ``buckets``: actors are then hashed
+    into that many folders, and a lookup given the same number lists and opens one
+    folder instead of all. The number is part of the folder name, so a lookup with
+    another one finds no folder instead of the wrong one.
     """
-    keys = (settings.actor, settings.day)
+    keys = [settings.actor, settings.day]
     served = scores.select(*settings.served_columns)
-    ranged = (
-        served.repartitionByRange(*keys)
-        if partitions is None
-        else served.repartitionByRange(partitions, *keys)
-    )
-    (
-        ranged.sortWithinPartitions(*keys)
+    if buckets:
+        folder = f"{_BUCKET_PREFIX}{buckets}"
+        served = served.withColumn(folder, _bucket(F.col(settings.actor), buckets))
+        keys.insert(0, folder)
+    width = () if partitions is None else (partitions,)
+    writer = (
+        served.repartitionByRange(*width, *keys)
+        .sortWithinPartitions(*keys)
         .write.mode("overwrite")
         .option("compression", "zstd")
         .option("parquet.block.row.count.limit", settings.row_group_rows)
-        .parquet(path)
     )
+    if buckets:
+        writer = writer.partitionBy(keys[0])
+    writer.parquet(path)
 
 
 def read_served(spark: SparkSession, path: str, settings: Settings = DEFAULTS) -> DataFrame:
     return read_table(spark, path, "run the detection step").select(*settings.served_columns)
 
 
-def resolve_scores(spark: SparkSession, folder: str, settings: Settings = DEFAULTS) -> DataFrame:
+def resolve_path(spark: SparkSession, folder: str) -> str:
     """The clustered table if it was written, else the table of the detection run."""
-    try:
-        return read_served(spark, f"{folder}/{SERVING_TABLE}", settings)
-    except MissingSource:
-        return read_served(spark, f"{folder}/{SCORE_TABLE}", settings)
+    for name in (SERVING_TABLE, SCORE_TABLE):
+        path = f"{folder}/{name}"
+        try:
+            read_table(spark, path, "run the detection step")
+        except MissingSource:
+            if name == SCORE_TABLE:
+                raise
+        else:
+            break
+    return path
+
 
+def resolve_scores(spark: SparkSession, folder: str, settings: Settings = DEFAULTS) -> DataFrame:
+    return read_served(spark, resolve_path(spark, folder), settings)
 
-def lookup(scores: DataFrame, actor: str, settings: Settings = DEFAULTS) -> DataFrame:
-    """All days of one actor; the equality is pushed into the Parquet scan."""
-    return scores.where(F.col(settings.actor) == F.lit(actor))
+
+def lookup(
+    spark: SparkSession,
+    path: str,
+    actor: str,
+    settings: Settings = DEFAULTS,
+    buckets: int | None = None,
+) -> DataFrame:
+    """All days of one actor; the equality is pushed into the Parquet scan.
+
+    With ``buckets``, as given to ``write_serving``, only the actor's folder is listed
+    and read. Where that folder does not exist the whole table is searched.
+    """
+    table = None
+    if buckets:
+        folder = f"{path}/{_BUCKET_PREFIX}{buckets}={_bucket_number(actor, buckets)}"
+        try:
+            table = read_table(spark, folder)
+        except MissingSource:
+            table = None
+    if table is None:
+        table = read_table(spark, path, "run the detection step")
+    return table.where(F.col(settings.actor) == F.lit(actor)).select(*settings.served_columns)
 
 
 def layout_report(

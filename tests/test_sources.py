@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from habitus.config import SERVED_COLUMNS
-from habitus.operators.serving import top_threats
+from habitus.operators.serving import top_threats, user_timeline
 from habitus.plans.detection import score_days
 from habitus.session import cut_lineage, scratch_path, shared_folder
 from habitus.sources import logs, tables
@@ -107,11 +107,30 @@ def test_layout_is_lossless_clustered_and_prunable(spark, scores, tmp_path):
 
     totals = tables.layout_totals(spark, path, settings).first()
     assert (totals.rows, totals.files, totals.row_groups) == (80 * 61, 3, groups)
-    found = tables.lookup(back, "U040")
+    found = tables.lookup(spark, path, "U040")
     assert found.count() == 61
     assert "EqualTo(user,U040)" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_bucketed_lookup_reads_one_folder(spark, scores, tmp_path):
+    path = str(tmp_path / "serving")
+    tables.write_serving(scores, path, partitions=3, buckets=8)
+    assert len(glob.glob(f"{path}/actor_bucket_of_8=*")) == 8
+    assert tables.read_served(spark, path).columns == list(SERVED_COLUMNS)
+    assert tables.read_served(spark, path).count() == 80 * 61
+    found = tables.lookup(spark, path, "U040", buckets=8)
+    folders = {name.rsplit("/", 2)[1] for name in found.inputFiles()}
+    assert len(folders) == 1
+    timeline = user_timeline(found, "U040", one_task=True)
+    days = [d.day for d in timeline.days.collect()]
+    assert days == sorted(days) and len(days) == timeline.header.first().total_days == 61
+    assert "Exchange" not in timeline.days._jdf.queryExecution().executedPlan().toString()
+    for buckets in (None, 8, 7):
+        for i in range(0, 80, 9):
+            assert tables.lookup(spark, path, f"U{i:03d}", buckets=buckets).count() == 61
+    assert tables.lookup(spark, path, "nobody", buckets=8).count() == 0
+
+
 def test_the_clustered_table_is_preferred(spark, scores, tmp_path):
     folder = str(tmp_path)
     with pytest.raises(tables.MissingSource, match="detection"):
