@@ -75,7 +75,7 @@ def main() -> None:
         "feature_profile": lambda: compute(profile.describe(registry.event_features(spark, folder))),
         "zscores": lambda: compute(baseline.zscores(days)),
         "zscores_and_drift": lambda: compute(
-            drift.drift_signal(baseline.zscores_by_history(days))
+            drift.drift_signal(baseline.zscores(days))
         ),
         "score_without_model": lambda: compute(score_days(days)),
         "forest_fit": lambda: forest.fit_forest(days),

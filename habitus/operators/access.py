@@ -188,20 +188,25 @@ def _decide_sorted(window: int, limit: int):
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, log = None, AdmissionLog(window, limit)
+        last, log = None, AdmissionLog(window, limit)
         for batch in batches:
-            admitted = np.zeros(len(batch), dtype=np.int64)
-            retry: list[int | None] = [None] * len(batch)
-            rows = zip(batch["client"], batch["stretch"], batch["second"], batch["requests"])
-            for i, (client, stretch, second, requests) in enumerate(rows):
-                if current != (client, stretch):
-                    current, log = (client, stretch), AdmissionLog(window, limit)
-                admitted[i], retry[i] = log.decide(int(second), int(requests))
-            own = ~batch["copy"].to_numpy()
+            keys = batch[["client", "stretch"]]
+            starts = (keys != keys.shift()).any(axis=1).to_numpy()
+            starts[0] = last != tuple(keys.iloc[0])
+            last = tuple(keys.iloc[-1])
+            decisions = []
+            for fresh, second, requests in zip(
+                starts.tolist(), batch["second"].tolist(), batch["requests"].tolist()
+            ):
+                if fresh:
+                    log = AdmissionLog(window, limit)
+                decisions.append(log.decide(second, requests))
+            admitted, retry = zip(*decisions)
             out = batch[["client", "second", "requests"]].assign(
-                admitted=admitted, retry_after=pd.array(retry, dtype="Int64")
+                admitted=np.array(admitted, dtype=np.int64),
+                retry_after=pd.array(retry, dtype="Int64"),
             )
-            yield out[own]
+            yield out[~batch["copy"].to_numpy()]
 
     return run
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from habitus.config import DEFAULTS, Settings
 
@@ -83,6 +82,13 @@ def _add_z(df: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def add_baseline(
+    df: DataFrame, baseline: DataFrame, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """Add ``mean_*``, ``std_*`` and ``z_*`` from a given baseline."""
+    return _add_z(df.join(baseline, settings.actor, "left"), settings)
+
+
 def zscores(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Add ``mean_*``, ``std_*`` and ``z_*`` for every feature.
 
@@ -90,28 +96,4 @@ def zscores(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     planner broadcasts that small side while it is under its size threshold. A
     heavy actor never sits whole in one task.
     """
-    joined = df.join(actor_baseline(df, settings), settings.actor, "left")
-    return _add_z(joined, settings)
-
-
-def zscores_by_history(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """The same columns from a window over each actor's ordered days.
-
-    For plans that need that window anyway (drift): both then share one exchange,
-    one sort and one window operator. Needs one row per actor and day, as feature
-    tables have; an actor's partition is then no longer than the calendar. The explicit
-    repartitioning is the exchange the window needs anyway, put ahead of the squares so
-    that these are not shuffled.
-    """
-    df = df.repartition(settings.actor)
-    history = (
-        Window.partitionBy(settings.actor)
-        .orderBy(settings.day)
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    sums = _sums(df, settings)
-    known = F.col(settings.actor).isNotNull()
-    baseline = _baseline_columns(df, settings)
-    summed = df.withColumns({name: total.over(history) for name, total in sums.items()})
-    based = summed.withColumns({n: F.when(known, c) for n, c in baseline.items()})
-    return _add_z(based.drop(*sums), settings)
+    return add_baseline(df, actor_baseline(df, settings), settings)

@@ -30,16 +30,25 @@ def has_baseline(df: DataFrame, settings: Settings = DEFAULTS) -> bool:
     return set(needed) <= set(df.columns)
 
 
+def recent_means(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Add ``recent_*``, the trailing mean of each feature.
+
+    The window runs per actor; an actor has at most one row per calendar day there, so
+    that even the heaviest one is a short partition.
+    """
+    known = F.col(settings.actor).isNotNull()
+    return df.withColumns(
+        {f"recent_{f}": F.when(known, _recent_mean(f, settings)) for f in settings.features}
+    )
+
+
 def drift_zscores(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Add ``recent_*`` and ``drift_z_*``.
+    """Add ``drift_z_*``, and ``recent_*`` unless it is there.
 
     The trailing mean is measured in standard errors of a mean of that many days.
-    An actor's partition holds at most one row per calendar day.
     """
-    known = F.col(settings.actor).isNotNull()
-    recent = {
-        f"recent_{f}": F.when(known, _recent_mean(f, settings)) for f in settings.features
-    }
+    if not {f"recent_{f}" for f in settings.features} <= set(df.columns):
+        df = recent_means(df, settings)
     root = math.sqrt(settings.drift_window)
     z = {
         f"drift_z_{f}": F.coalesce(
@@ -49,7 +58,7 @@ def drift_zscores(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         )
         for f in settings.features
     }
-    return df.withColumns(recent).withColumns(z)
+    return df.withColumns(z)
 
 
 def drift_signal(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

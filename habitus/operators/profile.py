@@ -36,15 +36,19 @@ def feature_summary(features: DataFrame, settings: Settings = DEFAULTS) -> DataF
     )
 
 
-def sample_rows(features: DataFrame, count: int = 10) -> DataFrame:
-    return features.limit(count)
+def sample_rows(
+    features: DataFrame, count: int = 10, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """The first rows by actor and day, to look at."""
+    return features.orderBy(settings.actor, settings.day).limit(count)
 
 
 def describe(features: DataFrame, columns: tuple[str, ...] = PROFILED) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles of each column.
 
     Values are first counted per column with a map-side combine, so the final
-    aggregation sees one row per distinct value instead of one per table row.
+    aggregation sees one row per distinct value instead of one per table row. Counts
+    and hours take few distinct values, however long the table is.
     """
     pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
     values = (

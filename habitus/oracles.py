@@ -301,13 +301,16 @@ ORACLES: dict[str, str] = {
         'SELECT count(*) AS user_days, count(DISTINCT "user") AS users FROM event_features'
     ),
     "feature_profile": _events(_PROFILE),
+    "sample_rows": _events(
+        f'SELECT "user", {_DAY}, {_COUNTS}, role, department, team FROM event_features '
+        'ORDER BY "user", event_features.day LIMIT 10'
+    ),
     "repeated_users": "SELECT c_mktsegment || '/' || c_nationkey AS user_id, "
     "count(*) AS entries FROM customer GROUP BY 1 HAVING count(*) > 1",
     "actor_baseline": f"{_SHIPPING_Z} SELECT * FROM baseline",
     "zscores": f'{_SHIPPING_Z} SELECT "user", {_DAY}, {_each("z_#, mean_#, std_#")} FROM scored_z',
     "zscores_events": f"WITH {_EVENT_DAYS}, {_with_z('event_features')} "
     f'SELECT "user", {_DAY}, {_each("z_#")} FROM scored_z',
-    "zscores_by_history": f'{_SHIPPING_Z} SELECT "user", {_DAY}, {_each("z_#")} FROM scored_z',
     "rule_scores": f'{_SHIPPING_Z} SELECT "user", {_DAY}, {_RULE_SCORE} AS rule_score FROM scored_z',
     "rule_reasons": f'{_SHIPPING_Z} SELECT "user", {_DAY}, {_RULE_SCORE} AS rule_score, '
     f"{_reasons(_RULE_TEXTS)} AS reasons FROM scored_z",

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from habitus.config import DEFAULTS, Settings
-from habitus.operators.baseline import zscores_by_history
-from habitus.operators.drift import drift_signal
-from habitus.operators.forest import IsolationForestModel, fit_forest, isolation_forest_score
+from habitus.functions.text import with_model_sentence
+from habitus.operators.baseline import actor_baseline, add_baseline
+from habitus.operators.drift import drift_signal, recent_means
+from habitus.operators.forest import IsolationForestModel, fit_forest
 from habitus.operators.rules import rule_scores
 from habitus.operators.severity import final_severity, flatten_reasons
 
@@ -20,24 +21,29 @@ def score_days(
 ) -> DataFrame:
     """Baseline, rules, model, drift, severity and reasons in one plan.
 
-    Baseline and drift share one exchange and one sort by (actor, day); the rest are
-    column expressions and, with a model, one map. Without a model no day is an
-    outlier.
+    The rows are exchanged and sorted once, by (actor, day) for the trailing means, while
+    they are still narrow. The baseline comes out of its own aggregation partitioned by
+    actor, so hashing it in place joins it without moving the rows again and without a
+    broadcast that grows with the number of actors. The rest are column expressions
+    and, with a model, one map. Without a model no day is an outlier.
     """
-    scored = rule_scores(zscores_by_history(features, settings), settings)
     if model is None:
-        scored = scored.withColumns(
-            {"iso_anomaly": F.lit(False), "iso_score_raw": F.lit(None).cast("double")}
+        days = features.withColumns(
+            {"iso_score_raw": F.lit(None).cast("double"), "iso_anomaly": F.lit(False)}
         )
     else:
-        scored = isolation_forest_score(scored, settings, model)
-    drifted = drift_signal(scored, settings)
-    return flatten_reasons(final_severity(drifted, settings))
+        days = model.transform(features)
+    baseline = actor_baseline(features, settings).hint("shuffle_hash")
+    scored = rule_scores(add_baseline(recent_means(days, settings), baseline, settings), settings)
+    explained = scored.withColumn(
+        "reasons", with_model_sentence(F.col("reasons"), F.col("iso_anomaly"))
+    )
+    return flatten_reasons(final_severity(drift_signal(explained, settings), settings))
 
 
 def detect(features: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """The full detection with a model fitted on the same table.
 
-    ``features`` is read twice (fit, score): give it a stored table.
+    ``features`` is read for the fit, the baseline and the scores: give it a stored table.
     """
     return score_days(features, fit_forest(features, settings), settings)

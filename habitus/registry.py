@@ -161,6 +161,10 @@ def feature_profile(spark: SparkSession, folder: str) -> DataFrame:
     return profile.describe(event_features(spark, folder))
 
 
+def sample_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return _text_day(profile.sample_rows(event_features(spark, folder)))
+
+
 def repeated_users(spark: SparkSession, folder: str) -> DataFrame:
     """Segment and nation as the key, which customers do share."""
     people = samples.table(spark, folder, "customer")
@@ -189,11 +193,6 @@ def zscores_events(spark: SparkSession, folder: str) -> DataFrame:
     return _text_day(baseline.zscores(days).select(*_z_columns(("z",))))
 
 
-def zscores_by_history(spark: SparkSession, folder: str) -> DataFrame:
-    days = samples.shipping_days(spark, folder)
-    return _text_day(baseline.zscores_by_history(days).select(*_z_columns(("z",))))
-
-
 def _ruled(spark: SparkSession, folder: str) -> DataFrame:
     return rules.rule_scores(baseline.zscores(samples.shipping_days(spark, folder)))
 
@@ -238,12 +237,12 @@ def severity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def drift_zscores(spark: SparkSession, folder: str) -> DataFrame:
-    scored = baseline.zscores_by_history(samples.shipping_days(spark, folder))
+    scored = baseline.zscores(samples.shipping_days(spark, folder))
     return _text_day(drift.drift_zscores(scored).select(*_z_columns(("recent", "drift_z"))))
 
 
 def drift_signal(spark: SparkSession, folder: str) -> DataFrame:
-    scored = baseline.zscores_by_history(samples.shipping_days(spark, folder))
+    scored = baseline.zscores(samples.shipping_days(spark, folder))
     return _text_day(
         drift.drift_signal(scored).select("user", "day", "drift_flag", "drift_reasons")
     )
@@ -397,11 +396,11 @@ QUERIES: dict[str, Query] = {
     "feature_table": feature_table,
     "feature_summary": feature_summary,
     "feature_profile": feature_profile,
+    "sample_rows": sample_rows,
     "repeated_users": repeated_users,
     "actor_baseline": actor_baseline,
     "zscores": zscores,
     "zscores_events": zscores_events,
-    "zscores_by_history": zscores_by_history,
     "rule_scores": rule_scores,
     "rule_reasons": rule_reasons,
     "rule_reasons_without_baseline": rule_reasons_without_baseline,

@@ -45,13 +45,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder; without one it is recomputed."""
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """``df`` as a table written to the shared folder; without one it is recomputed.
+
+    Unlike a checkpoint the table is columnar, so later steps read only what they use.
+    """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
+    if shared_folder(spark) is None:
         return df
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from habitus.config import FEATURES
-from habitus.operators.baseline import actor_baseline, zscores, zscores_by_history
+from habitus.operators.baseline import actor_baseline, zscores
+from habitus.plans.detection import score_days
 
-BOTH = pytest.mark.parametrize("score", [zscores, zscores_by_history])
+BOTH = pytest.mark.parametrize("score", [zscores, score_days])
 
 
 @BOTH
@@ -72,8 +73,8 @@ def test_both_ways_agree_bit_for_bit_under_any_partitioning(make_days):
         for df in (
             zscores(days.coalesce(1)),
             zscores(days.repartition(8)),
-            zscores_by_history(days.coalesce(1)),
-            zscores_by_history(days.orderBy(F.rand(1)).repartition(8)),
+            score_days(days.coalesce(1)),
+            score_days(days.orderBy(F.rand(1)).repartition(8)),
         )
     ]
     assert all(r == results[0] for r in results)
