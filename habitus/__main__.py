@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 
+from habitus.operators.profile import describe, feature_summary, sample_rows
 from habitus.operators.serving import stats, threats, user_timeline
 from habitus.plans.rebuild import build_features, load, prepare_serving, run_detection
 from habitus.session import build_session
@@ -32,9 +33,13 @@ def main() -> None:
     args = _arguments()
     spark = build_session()
     if args.step == "load":
-        load(spark, args.data, args.out)
+        for name, summary in load(spark, args.data, args.out).items():
+            print(name)
+            summary.show(truncate=False)
     elif args.step == "features":
-        build_features(spark, args.out).show(10, truncate=False)
+        days = build_features(spark, args.out)
+        for table in (feature_summary(days), sample_rows(days), describe(days)):
+            table.show(truncate=False)
     elif args.step == "detect":
         run_detection(spark, args.out).show()
     elif args.step == "serving":

@@ -8,7 +8,7 @@ seconds the log covers, whatever share of the requests one client has.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -159,8 +159,8 @@ def trailing_request_count(requests: DataFrame, window: int = WINDOW_SECONDS) ->
 class AdmissionLog:
     """Requests of one client that were let in and still count.
 
-    ``decide`` takes seconds in order. An entry counts until it is strictly older than
-    the window; a refused request is not recorded.
+    An entry counts until it is strictly older than the window; a refused request is
+    not recorded. The limit is at least 1.
     """
 
     def __init__(self, window: int, limit: int, entries: Iterable[tuple[int, int]] = ()):
@@ -168,17 +168,34 @@ class AdmissionLog:
         self.entries = deque(entries)
         self.used = sum(count for _, count in self.entries)
 
-    def decide(self, second: int, requests: int) -> tuple[int, int | None]:
-        """Number let in, and seconds to wait for the refused ones (None if none)."""
-        while self.entries and self.entries[0][0] < second - self.window:
-            self.used -= self.entries.popleft()[1]
-        taken = min(requests, max(0, self.limit - self.used))
-        if taken:
-            self.entries.append((second, taken))
-            self.used += taken
-        if taken == requests:
-            return taken, None
-        return taken, max(1, self.entries[0][0] + self.window - second + 1)
+    def decide(
+        self, seconds: Sequence[int], requests: Sequence[int]
+    ) -> tuple[list[int], list[int]]:
+        """For seconds in order: number let in, and seconds the refused ones have to wait.
+
+        The wait is 0 where none is refused.
+        """
+        entries, window, limit, used = self.entries, self.window, self.limit, self.used
+        admitted, waits = [], []
+        for second, wanted in zip(seconds, requests):
+            while entries and entries[0][0] < second - window:
+                used -= entries.popleft()[1]
+            taken = min(wanted, max(0, limit - used))
+            if taken:
+                entries.append((second, taken))
+                used += taken
+            admitted.append(taken)
+            waits.append(
+                0 if taken == wanted else max(1, entries[0][0] + window - second + 1)
+            )
+        self.used = used
+        return admitted, waits
+
+
+def nullable(waits: Sequence[int]) -> pd.api.extensions.ExtensionArray:
+    """Waiting times with NULL for 0."""
+    values = np.array(waits, dtype=np.int64)
+    return pd.arrays.IntegerArray(values, values == 0)
 
 
 def _decide_sorted(window: int, limit: int):
@@ -188,23 +205,22 @@ def _decide_sorted(window: int, limit: int):
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, log = None, AdmissionLog(window, limit)
+        current, log = None, AdmissionLog(window, limit)
         for batch in batches:
-            keys = batch[["client", "stretch"]]
-            starts = (keys != keys.shift()).any(axis=1).to_numpy()
-            starts[0] = last != tuple(keys.iloc[0])
-            last = tuple(keys.iloc[-1])
-            decisions = []
-            for fresh, second, requests in zip(
-                starts.tolist(), batch["second"].tolist(), batch["requests"].tolist()
-            ):
-                if fresh:
+            client, stretch = batch["client"].to_numpy(), batch["stretch"].to_numpy()
+            changes = (client[1:] != client[:-1]) | (stretch[1:] != stretch[:-1])
+            bounds = [0, *(np.flatnonzero(changes) + 1).tolist(), len(batch)]
+            seconds, requests = batch["second"].tolist(), batch["requests"].tolist()
+            admitted, waits = [], []
+            for start, end in zip(bounds, bounds[1:]):
+                if current != (client[start], stretch[start]):
+                    current = (client[start], stretch[start])
                     log = AdmissionLog(window, limit)
-                decisions.append(log.decide(second, requests))
-            admitted, retry = zip(*decisions)
+                taken, wait = log.decide(seconds[start:end], requests[start:end])
+                admitted += taken
+                waits += wait
             out = batch[["client", "second", "requests"]].assign(
-                admitted=np.array(admitted, dtype=np.int64),
-                retry_after=pd.array(retry, dtype="Int64"),
+                admitted=np.array(admitted, dtype=np.int64), retry_after=nullable(waits)
             )
             yield out[~batch["copy"].to_numpy()]
 

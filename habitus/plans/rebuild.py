@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from habitus.config import DEFAULTS, Settings
 from habitus.operators.features import feature_table
+from habitus.operators.profile import load_summary
 from habitus.operators.serving import run_summary, top_threats
 from habitus.plans.detection import detect
 from habitus.sources.logs import scan_log, scan_users
@@ -29,11 +30,19 @@ from habitus.sources.tables import (
 )
 
 
-def load(spark: SparkSession, data: str, out: str) -> None:
-    """Clean the three exports ``logon.csv``, ``device.csv`` and ``users.csv``."""
+def load(spark: SparkSession, data: str, out: str) -> dict[str, DataFrame]:
+    """Clean the exports ``logon.csv``, ``device.csv`` and ``users.csv``.
+
+    Returns rows and date range of each log, and rows of the directory.
+    """
     write_table(scan_log(spark, f"{data}/logon.csv"), f"{out}/{LOGON_TABLE}")
     write_table(scan_log(spark, f"{data}/device.csv"), f"{out}/{DEVICE_TABLE}")
     write_table(scan_users(spark, f"{data}/users.csv"), f"{out}/{USERS_TABLE}")
+    return {
+        "logon": load_summary(read_table(spark, f"{out}/{LOGON_TABLE}")),
+        "device": load_summary(read_table(spark, f"{out}/{DEVICE_TABLE}")),
+        "users": load_summary(read_table(spark, f"{out}/{USERS_TABLE}"), "start_date"),
+    }
 
 
 def build_features(spark: SparkSession, out: str, settings: Settings = DEFAULTS) -> DataFrame:

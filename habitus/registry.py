@@ -30,7 +30,7 @@ def _text_day(df: DataFrame) -> DataFrame:
 
 
 def _stamp(name: str):
-    return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
+    return F.substring(F.col(name).cast("string"), 1, 19).alias(name)
 
 
 # ------------------------------------------------------------------ inputs

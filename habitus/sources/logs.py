@@ -58,10 +58,12 @@ def scan_users(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_log_csv(log: DataFrame, path: str) -> None:
-    """A log in the CSV form :func:`scan_log` reads."""
+    """A log in the CSV form :func:`scan_log` reads, whatever the session zone."""
+    day = F.date_format(F.to_date("date"), "MM/dd/yyyy")
+    clock = [F.hour("date"), F.minute("date"), F.second("date")]
     (
         log.select(
-            F.date_format("date", "MM/dd/yyyy HH:mm:ss").alias("date"),
+            F.format_string("%s %02d:%02d:%02d", day, *clock).alias("date"),
             "user",
             "pc",
             "activity",

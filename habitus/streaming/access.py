@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,7 @@ from habitus.operators.access import (
     epoch_second,
     lookups,
     merge_pairs,
+    nullable,
     second_to_ts,
 )
 
@@ -60,28 +62,34 @@ def _decide_with_state(window: int, limit: int):
     def run(
         key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        seconds, counts, newest = state.get if state.exists else ([], [], None)
-        log = AdmissionLog(window, limit, zip(seconds, counts))
-        totals: dict[int, int] = {}
+        held, counts, newest = state.get if state.exists else ([], [], None)
+        log = AdmissionLog(window, limit, zip(held, counts))
+        totals: Counter[int] = Counter()
         for batch in batches:
-            for second, requests in zip(batch["second"], batch["requests"]):
-                totals[second] = totals.get(second, 0) + int(requests)
-        rows = []
-        for second in sorted(totals):
-            requests = totals[second]
-            if newest is not None and second < newest:
-                rows.append((key[0], second, requests, 0, None, requests))
-                continue
-            newest = int(second)
-            admitted, retry = log.decide(newest, requests)
-            rows.append((key[0], newest, requests, admitted, retry, 0))
+            for second, requests in zip(batch["second"].tolist(), batch["requests"].tolist()):
+                totals[second] += requests
+        seconds = sorted(totals)
+        late = [s for s in seconds if newest is not None and s < newest]
+        due = seconds[len(late) :]
+        admitted, waits = log.decide(due, [totals[s] for s in due])
         state.update(
-            ([int(s) for s, _ in log.entries], [int(c) for _, c in log.entries], newest)
+            (
+                [second for second, _ in log.entries],
+                [count for _, count in log.entries],
+                due[-1] if due else newest,
+            )
         )
-        out = pd.DataFrame(
-            rows, columns=["client", "second", "requests", "admitted", "retry_after", "late"]
+        requests = [totals[s] for s in seconds]
+        yield pd.DataFrame(
+            {
+                "client": key[0],
+                "second": seconds,
+                "requests": requests,
+                "admitted": [0] * len(late) + admitted,
+                "retry_after": nullable([0] * len(late) + waits),
+                "late": requests[: len(late)] + [0] * len(due),
+            }
         )
-        yield out.astype({"retry_after": "Int64"})
 
     return run
 

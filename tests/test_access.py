@@ -139,9 +139,9 @@ def test_time_is_independent_of_the_session_zone(spark):
 
 def test_admission_log_resumes_from_its_entries():
     log = AdmissionLog(60, 2)
-    assert [log.decide(s, 1)[0] for s in (0, 1, 2)] == [1, 1, 0]
+    assert log.decide([0, 1, 2], [1, 1, 1]) == ([1, 1, 0], [0, 0, 59])
     again = AdmissionLog(60, 2, list(log.entries))
-    assert again.decide(60, 1) == (0, 1) and again.decide(61, 1) == (1, None)
+    assert again.decide([60, 61], [1, 1]) == ([0, 1], [1, 0])
 
 
 def test_client_key(spark):
