@@ -151,16 +151,30 @@ def _thin(share: float, seed: int):
     return copies
 
 
+def _below(share: float) -> Column:
+    """A hash under this bound occurs with the given probability."""
+    return F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64)))
+
+
 def sample_pool(counts: DataFrame, total: int, settings: Settings = DEFAULTS) -> DataFrame:
-    """A pool of about 2**16 rows (all rows of a smaller table): vector and copy number."""
+    """A pool of about 2**16 rows (all rows of a smaller table): vector and copy number.
+
+    A vector that occurs once is kept or dropped by its hash; only the others need a
+    binomial draw in Python.
+    """
     if total <= _POOL_ROWS:
-        copies = F.col("rows")
+        kept = counts.withColumn("copies", F.col("rows"))
     else:
+        share = _POOL_ROWS / total
         key = F.xxhash64(F.lit(settings.seed), *settings.features)
-        copies = _thin(_POOL_ROWS / total, settings.seed)(key, F.col("rows"))
+        single = counts.where((F.col("rows") == 1) & (key <= _below(share)))
+        repeated = counts.where(F.col("rows") > 1)
+        copies = _thin(share, settings.seed)(key, F.col("rows"))
+        kept = single.withColumn("copies", F.col("rows")).unionByName(
+            repeated.withColumn("copies", copies)
+        )
     return (
-        counts.withColumn("copies", copies)
-        .where(F.col("copies") > 0)
+        kept.where(F.col("copies") > 0)
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         .select(*settings.features, "copy")
     )
@@ -174,7 +188,6 @@ def tree_samples(pool: DataFrame, total: int, settings: Settings = DEFAULTS) ->
     short one is still a valid (smaller) sample.
     """
     share = min(1.0, 2.0 * settings.subsample / max(1, min(total, _POOL_ROWS)))
-    limit = min(2**63 - 1, -(2**63) + int(share * 2**64))
     trees = F.explode(F.sequence(F.lit(0), F.lit(settings.trees - 1))).alias("tree")
     draw = F.xxhash64(F.lit(settings.seed), "tree", *settings.features, "copy")
     width = pool.sparkSession.sparkContext.defaultParallelism
@@ -182,7 +195,7 @@ def tree_samples(pool: DataFrame, total: int, settings: Settings = DEFAULTS) ->
         pool.repartition(width, *settings.features, "copy")
         .select("*", trees)
         .withColumn("draw", draw)
-        .where(F.col("draw") <= F.lit(limit))
+        .where(F.col("draw") <= _below(share))
     )
 
 

@@ -167,6 +167,16 @@ def test_thinning_keeps_its_share_of_a_hot_vector(spark):
     assert len(per_tree) == 200 and min(per_tree) >= 256 and max(per_tree) < 1024
 
 
+def test_thinning_keeps_its_share_of_vectors_that_occur_once(spark):
+    counts = spark.range(200_000).selectExpr(
+        "1L as rows", *[f"cast(id + {i} as double) as {f}" for i, f in enumerate(FEATURES)]
+    )
+    pool = forest.sample_pool(counts, 200_000)
+    kept = pool.count()
+    assert kept == pytest.approx(1 << 16, rel=0.03)
+    assert pool.distinct().count() == kept
+
+
 @pytest.mark.parametrize("rank", [0, 1, 2, 3, 500, 997, 998, 999])
 def test_selection_by_rank(spark, rank):
     values = [(i * i * 2654435761) % (1 << 40) for i in range(500)]
