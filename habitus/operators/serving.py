@@ -11,11 +11,15 @@ from habitus.config import DEFAULTS, SERVED_COLUMNS, SEVERITIES, UNKNOWN, Settin
 from habitus.functions.levels import is_drift_only, is_flagged, levels_from, rank_of
 from habitus.functions.text import history_reason, table_reason
 from habitus.functions.times import day_text
+from habitus.session import cut_lineage
 
 # Bounds of a page.
 DEFAULT_LIMIT = 500
 MAX_LIMIT = 5000
 
+# Offsets up to here are cheap for a top-k.
+DEEP_OFFSET = 100_000
+
 _CONTEXT = ("role", "department", "team")
 
 # The numbers kept in single precision for a resident table.
@@ -172,7 +176,8 @@ def threats(
 ) -> ThreatPage:
     """A page of the ranked threats and, apart from it, the number of all matches.
 
-    The page is a top-k (no full sort); the total is a plain count.
+    The page is a top-k (no full sort), or for a deep offset a selection among ranges;
+    the total is a plain count.
     """
     if not 1 <= limit <= MAX_LIMIT:
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
@@ -181,7 +186,10 @@ def threats(
     found = matching_threats(
         scores, min_severity, include_drift, user, department, regex, settings
     )
-    page = ranked(found, settings).offset(offset).limit(limit)
+    if offset <= DEEP_OFFSET:
+        page = ranked(found, settings).offset(offset).limit(limit)
+    else:
+        page = deep_page(found, offset, limit, settings)
     total = found.agg(F.count(F.lit(1)).alias("total_matching"))
     return ThreatPage(total, limit, offset, serving_record(page))
 
@@ -233,6 +241,30 @@ def user_headers(scores: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
+def deep_page(
+    found: DataFrame, offset: int, limit: int, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """A page of the ranking without a top-k that holds ``offset`` rows in every task.
+
+    The matches are written once in ranges of the ranking. Their sizes (one number per
+    partition) tell which ranges the page lies in, and only those are sorted.
+    """
+    order = (F.desc("severity_score"), settings.actor, settings.day)
+    ranges = cut_lineage(
+        found.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges"
+    )
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("rows")).collect()
+    wanted, before, skipped = [], 0, 0
+    for number, rows in sorted(tuple(size) for size in sizes):
+        if before + rows <= offset:
+            skipped = before + rows
+        elif before < offset + limit:
+            wanted.append(number)
+        before += rows
+    inside = ranges.where(F.col("_range").isin(wanted)).drop("_range")
+    return ranked(inside, settings).offset(offset - skipped).limit(limit)
+
+
 class Timeline(NamedTuple):
     header: DataFrame
     days: DataFrame

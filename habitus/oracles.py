@@ -345,6 +345,7 @@ FROM levels LEFT JOIN scores USING (severity) GROUP BY severity""",
     "run_summary": _SUMMARY,
     "threats_page": _page(_ANY),
     "threats_second_page": _page(_ANY, 100, 100),
+    "threats_deep_page": _page(_ANY, 500, 2000),
     "threats_high": _page("severity IN ('High', 'Critical')", 5000),
     "threats_include_drift": _page("severity = 'Critical' OR drift_flag", 5000),
     "threats_normal": _page("true", 5000),

@@ -358,6 +358,11 @@ def _total(**options) -> Query:
     return _served(lambda scores: serving.threats(scores, **options).total_matching)
 
 
+def _deep_page(scores: DataFrame) -> DataFrame:
+    found = serving.matching_threats(scores)
+    return serving.serving_record(serving.deep_page(found, 2000, 500))
+
+
 def _display(scores: DataFrame) -> DataFrame:
     shown = serving.with_display_reasons(serving.threat_base(scores))
     return _text_day(shown.select("user", "day", "table_reason", "history_reason"))
@@ -415,6 +420,7 @@ QUERIES: dict[str, Query] = {
     "run_summary": _served(serving.run_summary),
     "threats_page": _page(),
     "threats_second_page": _page(limit=100, offset=100),
+    "threats_deep_page": _served(_deep_page),
     "threats_high": _page(min_severity="High", limit=5000),
     "threats_include_drift": _page(min_severity="Critical", include_drift=True, limit=5000),
     "threats_normal": _page(min_severity="Normal", limit=5000),

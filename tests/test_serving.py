@@ -85,6 +85,30 @@ def test_pages_do_not_overlap(scores):
     assert {total for total, _ in parts} == {6}
 
 
+def test_deep_pages_are_the_same_pages(scores, monkeypatch):
+    shallow = [page(scores, limit=2, offset=o) for o in range(8)]
+    monkeypatch.setattr(serving, "DEEP_OFFSET", -1)
+    assert [page(scores, limit=2, offset=o) for o in range(8)] == shallow
+
+
+def test_a_deep_page_across_many_ranges(spark, scores, monkeypatch):
+    many = scores.where("user = 'abc'").crossJoin(spark.range(700).withColumnRenamed("id", "k"))
+    many = many.selectExpr(
+        "concat('u', k) as user",
+        *[c for c in scores.columns if c not in ("user", "severity_score")],
+        "cast(k % 9 as double) as severity_score",
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        expected = page(many, limit=300, offset=555)
+        monkeypatch.setattr(serving, "DEEP_OFFSET", 10)
+        assert page(many, limit=300, offset=555) == expected
+        assert len(expected[1]) == 300
+        assert page(many, limit=300, offset=1300)[1] == page(many, limit=400, offset=1000)[1][300:]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_min_severity_and_drift(scores):
     assert page(scores, min_severity="High")[0] == 2
     assert page(scores, min_severity="Critical")[1] == [("ACM2278", "2010-01-03")]
