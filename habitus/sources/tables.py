@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from habitus.config import DEFAULTS, PREVIEW_COLUMNS, Settings
 
-# Table names inside an output folder.
-LOGON_TABLE = "logon_clean.parquet"
-DEVICE_TABLE = "device_clean.parquet"
-USERS_TABLE = "users_clean.parquet"
-FEATURE_TABLE = "user_day_features.parquet"
-SCORE_TABLE = "threat_scores.parquet"
-SERVING_TABLE = "threat_scores_serving.parquet"
-PREVIEW_FILE = "top_threats_preview.csv"
+# Table names inside an output folder.
+LOGON_TABLE = "logon"
+DEVICE_TABLE = "device"
+USERS_TABLE = "users"
+FEATURE_TABLE = "actor_days"
+SCORE_TABLE = "scored_days"
+SERVING_TABLE = "serving"
+PREVIEW_FILE = "preview_csv"
 
 _BUCKET_PREFIX = "actor_bucket_of_"
 
