@@ -17,7 +17,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from habitus import registry, samples
-from habitus.operators import access, baseline, drift, features, forest, profile, serving
+from habitus.operators import access, baseline, drift, forest, profile, serving
 from habitus.plans.detection import detect, score_days
 from habitus.sources import tables
 

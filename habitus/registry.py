@@ -125,7 +125,10 @@ def serving_lookup_bucketed(spark: SparkSession, folder: str) -> DataFrame:
 def preview_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "preview")
     tables.write_preview(serving.top_threats(shipping_scores(spark, folder)), path)
-    schema = "user string, day string, severity string, severity_score double, role string, department string, reasons string"
+    schema = (
+        "user string, day string, severity string, severity_score double, role string, "
+        "department string, reasons string"
+    )
     return spark.read.schema(schema).option("header", True).csv(path).select(*PREVIEW_COLUMNS)
 
 
@@ -379,7 +382,10 @@ def _compact(scores: DataFrame) -> DataFrame:
 def _json(scores: DataFrame) -> DataFrame:
     """A record as text and back."""
     text = serving.as_json(serving.serving_record(scores))
-    schema = "user string, day string, severity string, severity_score double, reasons string, logon_count double, drift_flag boolean"
+    schema = (
+        "user string, day string, severity string, severity_score double, reasons string, "
+        "logon_count double, drift_flag boolean"
+    )
     return text.select(F.from_json("record", schema).alias("r")).select("r.*")
 
 

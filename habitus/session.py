@@ -49,6 +49,7 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` as a table written to the shared folder; without one it is recomputed.
 
     Unlike a checkpoint the table is columnar, so later steps read only what they use.
+    The folder keeps it until it is cleaned, as it keeps checkpoints.
     """
     spark = df.sparkSession
     if shared_folder(spark) is None:
