@@ -24,10 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from habitus.llm.store import empty_text
+from habitus.llm.vocab import filled
 from habitus.llm.words import mixed, words_of
 
 CATEGORIES = ("toxic_english", "toxic_other", "toxic")
@@ -127,7 +129,7 @@ def _entries(texts: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tupl
     low = np.zeros(1 << 16, bool)
     if wanted is not None:
         low[(wanted & np.uint64(0xFFFF)).astype(np.int64)] = True
-    for first, part, words in words_of(texts, plain=True):
+    for first, part, words in words_of(pc.utf8_lower(filled(texts)), plain=True):
         row = np.repeat(np.arange(len(part)), np.diff(words.first))
         word = words.hash
         if wanted is not None:
