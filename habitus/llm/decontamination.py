@@ -32,6 +32,9 @@ SHARE = 0.8
 #: Seeds of test items that are broadcast at a time.
 BLOCK_ROWS = 200_000
 
+#: Words of a document that are looked at together; runs overlap by the words around a hit.
+RUN = 4096
+
 _SPAN = len(MASKS[0])
 
 
@@ -47,17 +50,32 @@ def _seed(mask: str, number: int, words: Column, at: Column) -> Column:
     return F.when(at + len(mask) <= F.size(words), F.xxhash64(F.lit(number), *looked))
 
 
+def _runs(df: DataFrame) -> DataFrame:
+    """Rows of (doc_id, base, words): bounded runs of a document's words from word ``base`` on.
+
+    Neighbouring runs overlap, so that every hit has all words around it in one of them.
+    """
+    around = WINDOW + _SPAN
+    begin = F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(RUN)))
+    rows = df.select("doc_id", "words", begin.alias("begin"))
+    base = F.greatest(F.lit(0), F.col("begin") - around)
+    return rows.select(
+        "doc_id", base.alias("base"), F.slice("words", base + 1, F.lit(RUN + 2 * around)).alias("words")
+    )
+
+
 def _seeds(df: DataFrame, masks: list[tuple[int, str]]) -> DataFrame:
     """All columns of ``df`` with (at, seed) for every mask and position."""
-    placed = df.where(F.size("words") > 0).select("*", F.posexplode("words").alias("at", "word")).drop("word")
+    # An outer explode keeps the planner from computing the words once more for a filter.
+    placed = df.select("*", F.posexplode_outer("words").alias("at", "word")).drop("word")
     each = [_seed(mask, number, F.col("words"), F.col("at")) for number, mask in masks]
-    return placed.select("*", F.explode(F.array(*each)).alias("seed")).where("seed IS NOT NULL")
+    return placed.select("*", F.explode_outer(F.array(*each)).alias("seed")).where("seed IS NOT NULL")
 
 
-def _item_seeds(items: DataFrame, window: int) -> tuple[DataFrame, list[tuple[int, str]]]:
+def _item_seeds(items: DataFrame) -> tuple[DataFrame, list[tuple[int, str]]]:
     """(item_id, near, back, seed) of all items, and the masks; short items have one for their length.
 
-    ``near``: at most ``window`` words of the item around the seed; ``back``: the seed's place there.
+    ``near``: at most ``WINDOW`` words of the item around the seed; ``back``: the seed's place there.
     """
     words = store(_words(items, "item_id").withColumnRenamed("words", "item").where("size(item) > 0"), "items")
     short = words.where(F.size("item") < _SPAN).select(F.size("item").alias("n")).distinct().collect()
@@ -67,7 +85,7 @@ def _item_seeds(items: DataFrame, window: int) -> tuple[DataFrame, list[tuple[in
         _seeds(words.where(F.size("item") == len(mask)).withColumnRenamed("item", "words"), [(number, mask)])
         for number, mask in masks[len(MASKS) :]
     ]
-    size = F.least(F.lit(window), F.size("words"))
+    size = F.least(F.lit(WINDOW), F.size("words"))
     middle = F.col("at") - F.floor((size - _SPAN) / 2).cast("int")
     first = F.greatest(F.lit(0), F.least(middle, F.size("words") - size))
     seeds = reduce(DataFrame.unionByName, parts).select(
@@ -79,24 +97,27 @@ def _item_seeds(items: DataFrame, window: int) -> tuple[DataFrame, list[tuple[in
     return store(seeds, "seeds"), masks
 
 
-def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, window_words, equal_words, doc_word) for each contaminated document and
     item: the best window, and the first of its places in the document."""
-    seeds, masks = _item_seeds(items, window)
+    seeds, masks = _item_seeds(items)
     blocks = -(-max(1, seeds.count()) // BLOCK_ROWS)
-    placed = _seeds(_words(docs, "doc_id"), masks)
-    equal = F.expr("size(filter(transform(near, (w, k) -> get(words, at - back + k) = w), same -> same))")
+    placed = _seeds(_runs(_words(docs, "doc_id")), masks)
+    cut = F.greatest(F.lit(0), F.col("back") - F.col("at"))  # words of the window before the run
+    from_ = F.greatest(F.lit(0), F.col("at") - F.col("back"))
+    equal = F.expr("size(filter(transform(here, (w, k) -> w = get(near, k + cut)), same -> same))")
     found = []
     for block in range(blocks):
         own = seeds.where(F.pmod("seed", F.lit(blocks)) == block) if blocks > 1 else seeds
-        hits = placed.join(F.broadcast(own), "seed")
-        hits = hits.withColumns({"window_words": F.size("near"), "equal_words": equal})
-        found.append(
-            hits.where(F.col("equal_words") >= F.ceil(share * F.col("window_words"))).select(
-                "doc_id", "item_id", "window_words", "equal_words",
-                F.greatest(F.lit(0), F.col("at") - F.col("back")).alias("doc_word"),
-            )
+        # Rows carry the few words around a hit, not the run. The explode keeps the comparison
+        # out of the join, which would otherwise copy the run for each of its words.
+        hits = placed.join(F.broadcast(own), "seed").select(
+            "doc_id", "item_id", "near", cut.alias("cut"), (F.col("base") + from_).alias("doc_word"),
+            F.slice("words", from_ + 1, F.size("near") - cut).alias("here"),
         )
+        hits = hits.select("*", F.explode_outer(F.array(equal)).alias("equal_words"))
+        hits = hits.withColumn("window_words", F.size("near"))
+        found.append(hits.where(F.col("equal_words") >= F.ceil(share * F.col("window_words"))))
     best = F.max(F.struct("equal_words", "window_words", (-F.col("doc_word")).alias("back")))
     return (
         reduce(DataFrame.unionByName, found)
