@@ -1,5 +1,148 @@
-"""SQL counterparts of the queries, where SQL can express them."""
+"""SQL counterparts of the queries, where SQL can express them.
+
+Without one: the tokenizer's ids (op1, op6), fitted models (op2, op10), iterated components over
+MinHash or SimHash candidates (op5, op7) and the engine's own hash (op9). Those are tested against
+brute force on small fixtures.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from habitus.llm.decontamination import MASKS, SHARE, WINDOW
+from habitus.llm.pii import CONTEXT, CONTEXT_BONUS, CONTEXT_CHARS, KINDS, PRIOR
+
+# The patterns as the contract states them; for iban the word boundary is the ASCII one.
+_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
+}
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_CONFIRMED = {
+    "email": "true",
+    "ip": """len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3
+        OR coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) > 255)) = 0""",
+    "card": f"""length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(
+        range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1
+            THEN CAST(reverse({_DIGITS})[i] AS INT)
+            ELSE (2 * CAST(reverse({_DIGITS})[i] AS INT)) // 10
+               + (2 * CAST(reverse({_DIGITS})[i] AS INT)) % 10 END)) % 10 = 0""",
+    "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
+    "iban": """length(replace(v, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(
+        list_transform(string_split(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4), ''),
+            lambda c: CASE WHEN ascii(c) < 58 THEN ascii(c) - 48 ELSE ascii(c) - 55 END),
+        lambda rest, d: (CASE WHEN d < 10 THEN rest * 10 ELSE rest * 100 END + d) % 97, 0) = 1""",
+}
+
+
+def _kind(number: int, kind: str) -> str:
+    pattern = _PATTERNS[kind]
+    return f"""
+  SELECT r, {number} AS k, '{kind}' AS kind, b AS begin_, b + length(v) AS end_, v,
+    round({PRIOR[kind]} + CASE WHEN regexp_matches(lower(right(gap, {CONTEXT_CHARS})),
+      '(^|[^a-z])(?:{CONTEXT[kind]})([^a-z]|$)') THEN {CONTEXT_BONUS} ELSE 0 END, 2) AS score
+  FROM (
+    SELECT r, unnest(list_transform(range(1, len(vals) + 1), lambda i: struct_pack(
+        v := vals[i], gap := gaps[i],
+        b := CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) AS BIGINT)
+           + CAST(coalesce(list_sum(list_transform(vals[1:i - 1], lambda x: length(x))), 0) AS BIGINT))),
+      recursive := true)
+    FROM (SELECT r, regexp_extract_all(text, '{pattern}') AS vals,
+            string_split_regex(text, '{pattern}') AS gaps FROM d WHERE regexp_matches(text, '{pattern}'))
+  ) WHERE {_CONFIRMED[kind]}"""
+
+
+_OP3 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(_kind(n, k) for n, k in enumerate(KINDS))}),
+g AS (
+  SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)},
+    string_agg(kind || ':' || begin_ || ':' || end_, ',' ORDER BY k, begin_) FILTER (k < 4) AS base,
+    string_agg(kind || ':' || begin_ || ':' || end_, ',' ORDER BY k, begin_) AS spans,
+    string_agg(CAST(CAST(score AS DOUBLE) AS VARCHAR), ',' ORDER BY k, begin_) AS scores
+  FROM s GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM d LEFT JOIN g USING (r)
+"""
+
+_OP4 = r"""
+WITH c AS (
+  SELECT page_id, url, 1704067200 + (page_id * 7919) % 31104000 AS "at",
+    nullif(regexp_replace(regexp_extract(lower(url),
+      '^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.+$', ''), '') AS host
+  FROM pages),
+v AS (
+  SELECT 'host' AS scope, host AS value FROM c WHERE host IS NOT NULL
+  UNION SELECT 'domain', nullif(regexp_extract(host, '^[^.]+\.(.+)$', 1), '') FROM c
+  UNION SELECT 'url', lower(trim(url, ' ')) FROM c),
+n AS (SELECT scope, value, CAST('0x' || substr(md5(value), 1, 6) AS BIGINT) AS k FROM v WHERE value IS NOT NULL),
+e AS (
+  SELECT CASE scope WHEN 'host' THEN 'block-hosts' ELSE 'block-domains' END AS list, scope, value,
+    1704067200 + (k % 300) * 86400 AS since,
+    CASE WHEN scope = 'domain' THEN 1704067200 + (k % 300 + 60) * 86400
+         WHEN k % 2 = 0 THEN 1704067200 + (k % 300 + 90) * 86400 END AS until
+  FROM n WHERE scope = 'host' AND k % 3 = 0 OR scope = 'domain' AND k % 4 = 0
+  UNION ALL SELECT 'block-domains', scope, value, 1704067200 + (k % 300 + 120) * 86400, NULL
+  FROM n WHERE scope = 'domain' AND k % 4 = 0
+  UNION ALL SELECT 'allow-urls', scope, value, 1704067200 + (k % 300) * 86400, NULL
+  FROM n WHERE scope = 'url' AND k % 50 = 0),
+m AS (
+  SELECT c.page_id, c.url, c."at", e.list, e.scope, e.value, e.since
+  FROM c JOIN e ON c.host IS NOT NULL AND c."at" >= e.since AND (e.until IS NULL OR c."at" < e.until) AND (
+    e.scope = 'host' AND e.value = c.host
+    OR e.scope = 'url' AND e.value = lower(trim(c.url, ' '))
+    OR e.scope = 'domain' AND (e.value = c.host OR (ends_with(c.host, '.' || e.value) AND contains(e.value, '.')))))
+SELECT c.page_id, c.url, c."at", count(DISTINCT (m.list, m.scope, m.value)) FILTER (m.list IS NOT NULL) AS entries,
+  coalesce(string_agg(DISTINCT m.list, ',' ORDER BY m.list), '') AS lists, min(m.since) AS since,
+  CASE WHEN bool_or(m.list LIKE 'allow%') THEN 'allow' WHEN count(m.list) > 0 THEN 'block' ELSE 'pass' END AS verdict
+FROM (SELECT DISTINCT page_id, url, "at", host FROM c) c
+LEFT JOIN m ON m.page_id IS NOT DISTINCT FROM c.page_id AND m.url IS NOT DISTINCT FROM c.url
+GROUP BY c.page_id, c.url, c."at"
+"""
+
+
+def _masked(mask: str, words: str, at: str) -> str:
+    return " || ' ' || ".join(f"{words}[{at} + {k + 1}]" for k, c in enumerate(mask) if c == "1")
+
+
+_SPAN = len(MASKS[0])
+_OP8 = f"""
+WITH i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w
+  FROM benchmark),
+d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w
+  FROM documents),
+ip AS (SELECT item_id, w, unnest(range(len(w))) AS p FROM i),
+dp AS (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d),
+ik AS (
+  {" UNION ALL ".join(f"SELECT item_id, w, p, '{n}:' || {_masked(m, 'w', 'p')} AS key FROM ip WHERE p + {_SPAN} <= len(w)" for n, m in enumerate(MASKS))}
+  UNION ALL SELECT item_id, w, 0, 'all:' || list_aggregate(w, 'string_agg', ' ') FROM i WHERE len(w) BETWEEN 1 AND {_SPAN - 1}),
+dk AS (
+  {" UNION ALL ".join(f"SELECT doc_id, w, p, '{n}:' || {_masked(m, 'w', 'p')} AS key FROM dp WHERE p + {_SPAN} <= len(w)" for n, m in enumerate(MASKS))}
+  UNION ALL SELECT doc_id, w, p, 'all:' || list_aggregate(w[p + 1:p + n], 'string_agg', ' ')
+  FROM dp, (SELECT DISTINCT len(w) AS n FROM i WHERE len(w) BETWEEN 1 AND {_SPAN - 1}) WHERE p + n <= len(w)),
+h AS (
+  SELECT doc_id, item_id, ik.w AS item, dk.w AS words, dk.p AS here, ik.p AS there,
+    least({WINDOW}, len(ik.w)) AS size,
+    greatest(0, least(ik.p - CAST(floor((least({WINDOW}, len(ik.w)) - {_SPAN}) / 2.0) AS INT),
+      len(ik.w) - least({WINDOW}, len(ik.w)))) AS head
+  FROM dk JOIN ik USING (key)),
+e AS (
+  SELECT doc_id, item_id, size, greatest(0, here - there + head) AS doc_word,
+    len(list_filter(range(size), lambda k: here - there + head + k >= 0
+      AND coalesce(words[here - there + head + k + 1] = item[head + k + 1], false))) AS equal_words
+  FROM h)
+SELECT doc_id, item_id, b.size AS window_words, b.equal_words, -b.back AS doc_word FROM (
+  SELECT doc_id, item_id, max(struct_pack(equal_words := CAST(equal_words AS BIGINT), size := CAST(size AS BIGINT),
+    back := CAST(-doc_word AS BIGINT))) AS b
+  FROM e WHERE equal_words >= ceil({SHARE} * size) GROUP BY doc_id, item_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_pii": _OP3,
+    "op4_url_filters": _OP4,
+    "op8_decontamination": _OP8,
+}

@@ -1,0 +1,48 @@
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="session")
+def make_docs(spark):
+    """Documents from texts, or from (doc_id, text) pairs, with a column that clashes with many."""
+
+    def build(texts, parts: int = 3):
+        pairs = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
+        rows = [(i, t, "en", "s", len(t) if t else None) for i, t in pairs]
+        df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+        return df.selectExpr("*", "1 as words", "2 as bits", "3 as range", "'x' as spans", "4 as content", "5 as key")
+
+    return build
+
+
+@pytest.fixture(scope="session")
+def vocabulary():
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@pytest.fixture(scope="session")
+def sample():
+    return "/root/testdata/sf0.001"
+
+
+def sentence(seed: int, n: int) -> str:
+    """n made-up words that depend on the seed."""
+    import random
+
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(n))
+
+
+@pytest.fixture(scope="session")
+def words():
+    return sentence
