@@ -58,11 +58,16 @@ def bands_for(similarity: float = SIMILARITY, rows: int = ROWS, recall: float =
     return ceil(log(1 - recall) / log(1 - similarity**rows))
 
 
+def _times_odd(k: int) -> np.uint64:
+    """k times an odd constant, modulo 2**64."""
+    return np.uint64(k * int(_ODD) & (1 << 64) - 1)
+
+
 def _joined(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of runs of n words, one for each first word (the last n - 1 are of no use)."""
     out = np.zeros(len(hashes), np.uint64)
     for k in range(n):
-        out[: len(hashes) - k] += mixed(hashes[k:] + np.uint64(k + 1) * _ODD) if k else mixed(hashes)
+        out[: len(hashes) - k] += mixed(hashes[k:] + _times_odd(k + 1)) if k else mixed(hashes)
     return mixed(out)
 
 
@@ -132,7 +137,7 @@ def _bands(first: np.ndarray, end: np.ndarray, shingles: np.ndarray, bands: int)
     own = shingles[at]
     keys = np.empty((len(first), bands), np.uint64)
     for b in range(bands):
-        key = np.full(len(first), np.uint64(b + 1) * _ODD)
+        key = np.full(len(first), _times_odd(b + 1))
         for r in range(ROWS):
             odd = np.uint64(2 * int(mixed(np.array([b * ROWS + r + 1], np.uint64))[0]) + 1 & (1 << 64) - 1)
             least = np.minimum.reduceat((own ^ (own >> np.uint64(29))) * odd, begin)

@@ -1,0 +1,95 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from habitus.llm import decontamination as D
+
+
+def tokens(text):
+    import regex
+
+    return regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+
+
+def by_hand(docs, items):
+    """Every window that a mask hits, by comparing all positions."""
+    span, found = len(D.MASKS[0]), {}
+    for d, doc in docs:
+        w = tokens(doc)
+        for i, item in items:
+            t = tokens(item)
+            size = min(D.WINDOW, len(t))
+            for j in range(max(0, len(t) - span) + 1 if t else 0):
+                first = max(0, min(j - (size - span) // 2, len(t) - size))
+                masks = D.MASKS if len(t) >= span else ("1" * len(t),)
+                for p in range(len(w) - len(masks[0]) + 1):
+                    if not any(all(c == "0" or w[p + k] == t[j + k] for k, c in enumerate(m)) for m in masks):
+                        continue
+                    at = p - j + first
+                    same = sum(0 <= at + k < len(w) and w[at + k] == t[first + k] for k in range(size))
+                    if same >= D.SHARE * size:
+                        best = (same, size, -max(0, at))
+                        found[d, i] = max(best, found.get((d, i), best))
+    return {(d, i, size, same, -back) for (d, i), (same, size, back) in found.items()}
+
+
+@pytest.fixture(scope="module")
+def case(spark, words):
+    rng = random.Random(4)
+    items = [(k, words(1000 + k, 25)) for k in range(6)] + [(6, "one two three"), (7, ""), (8, None), (9, words(1000, 25)), (None, words(1099, 12))]
+    items += [(10, words(1010, 9)), (11, words(1011, 120))]
+
+    def edited(text, every):
+        own = text.split()
+        for k in range(rng.randrange(every), len(own), every):
+            own[k] = "zzz"
+        return " ".join(own)
+
+    docs = [(k, words(k, 80)) for k in range(12)]
+    docs += [(20 + k, f"{words(50 + k, 30)} {items[k][1].upper()}! {words(70 + k, 20)}") for k in range(6)]
+    docs += [(30 + k, f"{words(90 + k, 10)}\n{edited(items[k][1], 6)}") for k in range(6)]
+    docs += [(40 + k, f"{words(90 + k, 10)}\n{edited(items[k][1], 3)}") for k in range(6)]
+    docs += [(50, "One, two; THREE"), (51, "one two four"), (52, None), (53, ""), (54, items[0][1]), (54, items[0][1])]
+    docs += [(None, items[1][1]), (55, " ".join(items[2][1].split()[:14])), (56, items[10][1]), (57, items[11][1] + " " + items[12][1])]
+    docs += [(58, words(3, 4090) + " " + items[3][1] + " " + words(4, 4080) + " " + items[4][1])]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    clash = "*", "1 as words", "2 as at", "3 as seed", "4 as near"
+    return docs, items, frame(docs, "doc_id").selectExpr(*clash), frame(items, "item_id").selectExpr(*clash)
+
+
+@pytest.mark.parametrize("rows", [D.BLOCK_ROWS, 60])
+def test_overlaps_equal_those_of_all_positions(case, monkeypatch, rows):
+    monkeypatch.setattr(D, "BLOCK_ROWS", rows)
+    docs, items, docs_df, items_df = case
+    found = D.overlaps(docs_df, items_df).collect()
+    assert len(found) == len({(r.doc_id, r.item_id) for r in found})
+    got = {(r.doc_id, r.item_id, r.window_words, r.equal_words, r.doc_word) for r in found}
+    assert got == by_hand(docs, items)
+    pairs = {(r.doc_id, r.item_id) for r in found}
+    assert {(20 + k, k) for k in range(6)} <= pairs and {(30 + k, k) for k in range(6)} <= pairs
+    assert (58, 3) in pairs and (58, 4) in pairs and (50, 6) in pairs
+    assert not any(d is not None and d < 12 for d, _ in pairs)
+
+
+def test_clean_documents_stay(case):
+    _, _, docs_df, items_df = case
+    kept = D.clean(docs_df, items_df)
+    assert kept.columns == docs_df.columns
+    ids = {r.doc_id for r in kept.collect()}
+    assert set(range(12)) <= ids and {52, 53} <= ids and not ids & {20, 30, 50, 54, None}
+
+
+def test_empty_tables(case):
+    _, _, docs_df, items_df = case
+    assert D.overlaps(docs_df.where("false"), items_df).count() == 0
+    assert D.overlaps(docs_df, items_df.where("false")).count() == 0
+    assert D.clean(docs_df, items_df.where("false")).count() == docs_df.count()
+
+
+def test_a_passage_many_times(spark, case):
+    _, items, _, items_df = case
+    docs = spark.createDataFrame([(1, " ".join([items[0][1]] * 800))], "doc_id long, text string")
+    rows = D.overlaps(docs, items_df).collect()
+    assert {(r.item_id, r.equal_words, r.doc_word) for r in rows} == {(0, 16, 0), (9, 16, 0)}
