@@ -92,7 +92,7 @@ _OTHER_NAMES = re.compile(
 )
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|$)"
+    r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[^>\"'])*)(>|$)"
     r"|<[!?/][^>]*(?:>|$)",
     re.S,
 )

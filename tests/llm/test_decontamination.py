@@ -14,19 +14,22 @@ def tokens(text):
 
 
 def by_hand(docs, items):
-    """Every window that a mask hits, by comparing all positions."""
-    span, found = len(D.MASKS[0]), {}
+    """The best window of every document and item that some mask hits."""
+    span, found, seeds = len(D.MASKS[0]), {}, {}
+    for i, item in items:
+        t = tokens(item)
+        for j in range(max(0, len(t) - span) + 1 if t else 0):
+            for m in D.MASKS if len(t) >= span else ("1" * len(t),):
+                own = tuple(t[j + k] for k, c in enumerate(m) if c == "1")
+                seeds.setdefault(m, {}).setdefault(own, []).append((i, t, j))
     for d, doc in docs:
         w = tokens(doc)
-        for i, item in items:
-            t = tokens(item)
-            size = min(D.WINDOW, len(t))
-            for j in range(max(0, len(t) - span) + 1 if t else 0):
-                first = max(0, min(j - (size - span) // 2, len(t) - size))
-                masks = D.MASKS if len(t) >= span else ("1" * len(t),)
-                for p in range(len(w) - len(masks[0]) + 1):
-                    if not any(all(c == "0" or w[p + k] == t[j + k] for k, c in enumerate(m)) for m in masks):
-                        continue
+        for m, known in seeds.items():
+            looked = [k for k, c in enumerate(m) if c == "1"]
+            for p in range(len(w) - len(m) + 1):
+                for i, t, j in known.get(tuple(w[p + k] for k in looked), ()):
+                    size = min(D.WINDOW, len(t))
+                    first = max(0, min(j - (size - span) // 2, len(t) - size))
                     at = p - j + first
                     same = sum(0 <= at + k < len(w) and w[at + k] == t[first + k] for k in range(size))
                     if same >= D.SHARE * size:
