@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def client_key(forwarded_for: Column, host: Column) -> Column:
-    """First hop of the forwarding header, else the socket address, else unknown."""
-    first_hop = F.trim(F.split_part(forwarded_for, F.lit(","), F.lit(1)))
+    """First hop of the forwarding header, else the socket address, else unknown.
+
+    White space of any kind around the hop is dropped.
+    """
+    hop = F.split_part(forwarded_for, F.lit(","), F.lit(1))
+    first_hop = F.regexp_replace(hop, r"(?U)^\s+|\s+$", "")
     return F.when(forwarded_for != "", first_hop).otherwise(
         F.coalesce(host, F.lit("unknown"))
     )

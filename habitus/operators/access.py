@@ -1,8 +1,7 @@
 """Reports over access logs: who looked up whom, and which requests a limit refuses.
 
-Times are whole seconds, as the audit log writes them; requests of one client in the
-same second are simultaneous. Per client the number of rows is then bounded by the
-seconds the log covers, whatever share of the requests one client has.
+Limits are decided on the microseconds of the requests; only the wait told to a refused
+client is in whole seconds. Requests of one client at the same instant are combined.
 """
 
 from __future__ import annotations
@@ -30,6 +29,7 @@ LIMIT = 120
 WINDOW_SECONDS = 60
 
 _SHORTEST_BUCKET = 3600
+_SECOND = 1_000_000
 
 
 # ---------------------------------------------------------------- audit report
@@ -96,50 +96,51 @@ def audit_report(pairs: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- request limits
 
 
-def epoch_second(ts: Column) -> Column:
-    """Whole seconds since 1970 of a zone-less timestamp, independent of the session zone."""
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a zone-less timestamp, independent of the session zone."""
     days = F.unix_date(F.to_date(ts)).cast("long")
-    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    whole = days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return whole * _SECOND + (F.date_part(F.lit("second"), ts) * _SECOND).cast("long")
 
 
-def second_to_ts(second: Column) -> Column:
+def micros_to_ts(micros: Column) -> Column:
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    return epoch + F.make_dt_interval(secs=second.cast("decimal(18,6)"))
+    return epoch + F.make_dt_interval(secs=(micros.cast("decimal(24,6)") / _SECOND).cast("decimal(18,6)"))
 
 
-def requests_per_second(requests: DataFrame) -> DataFrame:
-    """``client, second, requests``, combined on the map side."""
+def requests_per_instant(requests: DataFrame) -> DataFrame:
+    """``client, at, requests``, combined on the map side; ``at`` in microseconds."""
     return (
         requests.select(
             F.coalesce("client", F.lit("unknown")).alias("client"),
-            epoch_second(F.col("ts")).alias("second"),
+            epoch_micros(F.col("ts")).alias("at"),
         )
-        .groupBy("client", "second")
+        .groupBy("client", "at")
         .agg(F.count(F.lit(1)).alias("requests"))
     )
 
 
 def _bucket_span(window: int) -> int:
-    return max(window, _SHORTEST_BUCKET)
+    return max(window, _SHORTEST_BUCKET) * _SECOND
 
 
-def trailing_requests(seconds: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
+def trailing_requests(instants: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
     """Add ``trailing``: requests of the client in the last ``window`` seconds, inclusive.
 
     A client's time line is cut into buckets no shorter than the window. Each bucket
-    also gets the seconds of the bucket before that its first rows can still see, so
-    every (client, bucket) is computed on its own and has at most bucket + window rows:
-    one client with a third of the log is spread over as many tasks as others.
+    also gets the instants of the bucket before that its first rows can still see, so
+    every (client, bucket) is computed on its own: one client with a third of the log
+    is spread over as many tasks as others.
     """
-    span = _bucket_span(window)
-    bucket = F.floor(F.col("second") / span).cast("long")
-    own = seconds.withColumn("bucket", bucket).withColumn("copy", F.lit(False))
+    span, reach = _bucket_span(window), window * _SECOND
+    bucket = F.floor(F.col("at") / span).cast("long")
+    own = instants.withColumn("bucket", bucket).withColumn("copy", F.lit(False))
     carried = (
-        seconds.withColumn("bucket", bucket + 1)
-        .where(F.col("second") >= F.col("bucket") * span - window)
+        instants.withColumn("bucket", bucket + 1)
+        .where(F.col("at") >= F.col("bucket") * span - reach)
         .withColumn("copy", F.lit(True))
     )
-    last = Window.partitionBy("client", "bucket").orderBy("second").rangeBetween(-window, 0)
+    last = Window.partitionBy("client", "bucket").orderBy("at").rangeBetween(-reach, 0)
     return (
         own.unionByName(carried)
         .withColumn("trailing", F.sum("requests").over(last))
@@ -149,45 +150,43 @@ def trailing_requests(seconds: DataFrame, window: int = WINDOW_SECONDS) -> DataF
 
 
 def trailing_request_count(requests: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
-    """``client, ts, requests, trailing`` per client and second."""
-    counted = trailing_requests(requests_per_second(requests), window)
-    return counted.select(
-        "client", second_to_ts(F.col("second")).alias("ts"), "requests", "trailing"
-    )
+    """``client, ts, requests, trailing`` per client and instant."""
+    counted = trailing_requests(requests_per_instant(requests), window)
+    return counted.select("client", micros_to_ts(F.col("at")).alias("ts"), "requests", "trailing")
 
 
 class AdmissionLog:
     """Requests of one client that were let in and still count.
 
-    An entry counts until it is strictly older than the window; a refused request is
-    not recorded. The limit is at least 1.
+    Times are in microseconds, the window in seconds. An entry counts until it is
+    strictly older than the window; a refused request is not recorded. The limit is at
+    least 1.
     """
 
     def __init__(self, window: int, limit: int, entries: Iterable[tuple[int, int]] = ()):
-        self.window, self.limit = window, limit
+        self.reach, self.limit = window * _SECOND, limit
         self.entries = deque(entries)
         self.used = sum(count for _, count in self.entries)
 
     def decide(
-        self, seconds: Sequence[int], requests: Sequence[int]
+        self, instants: Sequence[int], requests: Sequence[int]
     ) -> tuple[list[int], list[int]]:
-        """For seconds in order: number let in, and seconds the refused ones have to wait.
+        """For instants in order: number let in, and seconds the refused ones have to wait.
 
         The wait is 0 where none is refused.
         """
-        entries, window, limit, used = self.entries, self.window, self.limit, self.used
+        entries, reach, limit, used = self.entries, self.reach, self.limit, self.used
         admitted, waits = [], []
-        for second, wanted in zip(seconds, requests):
-            while entries and entries[0][0] < second - window:
+        for at, wanted in zip(instants, requests):
+            while entries and entries[0][0] < at - reach:
                 used -= entries.popleft()[1]
             taken = min(wanted, max(0, limit - used))
             if taken:
-                entries.append((second, taken))
+                entries.append((at, taken))
                 used += taken
             admitted.append(taken)
-            waits.append(
-                0 if taken == wanted else max(1, entries[0][0] + window - second + 1)
-            )
+            left = 0 if taken == wanted else entries[0][0] + reach - at
+            waits.append(0 if taken == wanted else left // _SECOND + 1)
         self.used = used
         return admitted, waits
 
@@ -199,7 +198,7 @@ def nullable(waits: Sequence[int]) -> pd.api.extensions.ExtensionArray:
 
 
 def _decide_sorted(window: int, limit: int):
-    """Decisions over rows sorted by (client, stretch, second), batch by batch.
+    """Decisions over rows sorted by (client, stretch, at), batch by batch.
 
     Memory is one batch plus the entries of the client at hand.
     """
@@ -210,47 +209,53 @@ def _decide_sorted(window: int, limit: int):
             client, stretch = batch["client"].to_numpy(), batch["stretch"].to_numpy()
             changes = (client[1:] != client[:-1]) | (stretch[1:] != stretch[:-1])
             bounds = [0, *(np.flatnonzero(changes) + 1).tolist(), len(batch)]
-            seconds, requests = batch["second"].tolist(), batch["requests"].tolist()
+            instants, requests = batch["at"].tolist(), batch["requests"].tolist()
             admitted, waits = [], []
             for start, end in zip(bounds, bounds[1:]):
                 if current != (client[start], stretch[start]):
                     current = (client[start], stretch[start])
                     log = AdmissionLog(window, limit)
-                taken, wait = log.decide(seconds[start:end], requests[start:end])
+                taken, wait = log.decide(instants[start:end], requests[start:end])
                 admitted += taken
                 waits += wait
-            out = batch[["client", "second", "requests"]].assign(
+            yield batch[["client", "at", "requests"]].assign(
                 admitted=np.array(admitted, dtype=np.int64), retry_after=nullable(waits)
             )
-            yield out[~batch["copy"].to_numpy()]
 
     return run
 
 
-def _stretches(counted: DataFrame, window: int, limit: int) -> DataFrame:
-    """Buckets with a second over the limit, grouped into independent stretches.
+def stretches(counted: DataFrame, window: int, limit: int) -> DataFrame:
+    """``client, first, last`` of each run of instants over the limit.
 
-    A stretch ends where the next crowded second is more than a window away: by then
-    every request that still counts came in at an uncrowded second and was let in.
-    Runs on one row per client and bucket.
+    A stretch ends where the next crowded instant is more than a window away: by then
+    every request that still counts came in at an uncrowded instant and was let in.
+    Runs are found within each bucket first; the line of one client then has a row for
+    each of those only.
     """
-    crowded = (
-        counted.where(F.col("trailing") > limit)
-        .groupBy("client", "bucket")
-        .agg(F.min("second").alias("first"), F.max("second").alias("last"))
-    )
-    line = Window.partitionBy("client").orderBy("bucket")
-    gap = F.col("first") - F.lag("last").over(line)
-    start = F.when(gap.isNull() | (gap > window), F.col("bucket"))
-    return crowded.withColumn("starts", start).withColumn(
-        "stretch", F.last("starts", ignorenulls=True).over(line)
-    )
+    reach = window * _SECOND
+
+    def runs(rows: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
+        line = Window.partitionBy(*keys).orderBy(first)
+        gap = F.col(first) - F.lag(last).over(line)
+        begins = F.when(gap.isNull() | (gap > reach), F.col(first))
+        return (
+            rows.withColumn("_begins", begins)
+            .withColumn("_run", F.last("_begins", ignorenulls=True).over(line))
+            .groupBy(*keys, "_run")
+            .agg(F.min(first).alias("first"), F.max(last).alias("last"))
+            .drop("_run")
+        )
+
+    crowded = counted.where(F.col("trailing") > limit).select("client", "bucket", "at")
+    inside = runs(crowded, ["client", "bucket"], "at", "at").drop("bucket")
+    return runs(inside, ["client"], "first", "last")
 
 
 def throttle_decisions(
     requests: DataFrame, limit: int = LIMIT, window: int = WINDOW_SECONDS
 ) -> DataFrame:
-    """Per client and second: requests, let in, refused, seconds to wait.
+    """Per client and instant: requests, let in, refused, seconds to wait.
 
     The limit is a sliding log of admitted requests, so decisions depend on earlier
     ones. Three facts keep the sequential part small and exact:
@@ -258,47 +263,55 @@ def throttle_decisions(
     * where all requests of the last window are within the limit, all are let in, and
       no history is needed to know it (a plain window sum);
     * crowded stretches of one client that lie more than a window apart do not
-      influence each other, so each is decided on its own;
+      influence each other, so each is decided on its own, beginning a window before
+      its first crowded instant;
     * inside a stretch rows arrive sorted and are streamed, so the memory of a task
       does not grow with the stretch.
 
-    A limit of zero or less lets everything in.
+    Stretches are dealt to the buckets they touch, and one left join marks the rows of
+    each. A limit of zero or less lets everything in.
     """
-    seconds = requests_per_second(requests)
+    instants = requests_per_instant(requests)
     if limit <= 0:
-        return _decisions(_all_admitted(seconds))
-    counted = cut_lineage(trailing_requests(seconds, window))
-    stretches = cut_lineage(_stretches(counted, window, limit))
-    keys = ["client", "bucket"]
-    members = stretches.select(*keys, "stretch", F.lit(False).alias("copy"))
-    lead_in = stretches.where(F.col("starts").isNotNull()).select(
+        return _decisions(_all_admitted(instants))
+    counted = cut_lineage(trailing_requests(instants, window))
+    span, reach = _bucket_span(window), window * _SECOND
+    begin = F.col("first") - reach
+    dealt = stretches(counted, window, limit).select(
         "client",
-        (F.col("bucket") - 1).alias("bucket"),
-        "stretch",
-        F.lit(True).alias("copy"),
-        "first",
+        begin.alias("begin"),
+        "last",
+        F.explode(
+            F.sequence(F.floor(begin / span).cast("long"), F.floor(F.col("last") / span).cast("long"))
+        ).alias("bucket"),
+    )
+    inside = F.col("at").between(F.col("begin"), F.col("last"))
+    marked = cut_lineage(
+        counted.alias("c")
+        .join(
+            dealt.alias("d"),
+            (F.col("c.client") == F.col("d.client")) & (F.col("c.bucket") == F.col("d.bucket")) & inside,
+            "left",
+        )
+        .select("c.client", F.col("begin").alias("stretch"), "at", "requests")
     )
-    before = (F.col("second") >= F.col("first") - window) & (F.col("second") < F.col("first"))
-    columns = ("client", "stretch", "second", "requests", "copy")
     busy = (
-        counted.join(members, keys)
-        .select(*columns)
-        .unionByName(counted.join(lead_in, keys).where(before).select(*columns))
+        marked.where("stretch IS NOT NULL")
         .repartition("client", "stretch")
-        .sortWithinPartitions("client", "stretch", "second")
+        .sortWithinPartitions("client", "stretch", "at")
     )
     decided = busy.mapInPandas(
         _decide_sorted(window, limit),
-        "client string, second long, requests long, admitted long, retry_after long",
+        "client string, at long, requests long, admitted long, retry_after long",
     )
-    calm = _all_admitted(counted.join(members, keys, "left_anti"))
+    calm = _all_admitted(marked.where("stretch IS NULL"))
     return _decisions(calm.unionByName(decided))
 
 
-def _all_admitted(seconds: DataFrame) -> DataFrame:
-    return seconds.select(
+def _all_admitted(instants: DataFrame) -> DataFrame:
+    return instants.select(
         "client",
-        "second",
+        "at",
         "requests",
         F.col("requests").alias("admitted"),
         F.lit(None).cast("long").alias("retry_after"),
@@ -308,7 +321,7 @@ def _all_admitted(seconds: DataFrame) -> DataFrame:
 def _decisions(rows: DataFrame) -> DataFrame:
     return rows.select(
         "client",
-        second_to_ts(F.col("second")).alias("ts"),
+        micros_to_ts(F.col("at")).alias("ts"),
         "requests",
         "admitted",
         (F.col("requests") - F.col("admitted")).alias("refused"),

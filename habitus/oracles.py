@@ -186,7 +186,7 @@ SELECT "user", f.role, f.department, f.team, count(*) AS total_days,
        bool_or(drift_flag) AS any_drift
 FROM scores JOIN firsts f USING ("user")"""
 
-_TS = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
+_US = "epoch_us({0}) AS {0}_us"
 
 _ACCESSES = f"""
 accesses AS (
@@ -204,13 +204,13 @@ FROM accesses GROUP BY accessor"""
 
 _REQUESTS = """
 seconds AS (
-  SELECT CAST(user_id AS VARCHAR) AS client, date_trunc('second', ts) AS ts, count(*) AS requests
+  SELECT CAST(user_id AS VARCHAR) AS client, ts, count(*) AS requests
   FROM events GROUP BY 1, 2)"""
 
-# One step per client and second; ``held`` has one entry per request let in.
+# One step per client and instant; ``held`` has one entry per request let in.
 _THROTTLE = f"""WITH RECURSIVE {_REQUESTS},
 numbered AS (
-  SELECT client, ts, CAST(epoch(ts) AS BIGINT) AS s, requests,
+  SELECT client, ts, epoch_us(ts) AS s, requests,
          row_number() OVER (PARTITION BY client ORDER BY ts) AS i
   FROM seconds),
 steps AS (
@@ -224,10 +224,10 @@ steps AS (
          ts, s, requests, least(requests, greatest(0, 3 - len(live)))
   FROM (
     SELECT n.client, n.i, n.ts, n.s, n.requests,
-           [x FOR x IN p.held IF x >= n.s - 21600] AS live
+           [x FOR x IN p.held IF x >= n.s - 21600000000] AS live
     FROM steps p JOIN numbered n ON n.client = p.client AND n.i = p.i + 1))
-SELECT client, {_TS.format("ts")}, requests, admitted, requests - admitted AS refused,
-       CASE WHEN requests > admitted THEN greatest(1, held[1] + 21600 - s + 1) END AS retry_after
+SELECT client, {_US.format("ts")}, requests, admitted, requests - admitted AS refused,
+       CASE WHEN requests > admitted THEN (held[1] + 21600000000 - s) // 1000000 + 1 END AS retry_after
 FROM steps WHERE i > 0"""
 
 
@@ -276,8 +276,7 @@ ORACLES: dict[str, str] = {
     "load_summary": f"WITH {_LOGS} "
     + " UNION ALL ".join(
         f"SELECT '{name}' AS log, count(*) AS rows, "
-        f"strftime(min(date), '%Y-%m-%d %H:%M:%S') AS first_date, "
-        f"strftime(max(date), '%Y-%m-%d %H:%M:%S') AS last_date FROM {name}"
+        f"epoch_us(min(date)) AS first_date_us, epoch_us(max(date)) AS last_date_us FROM {name}"
         for name in ("logon", "device")
     ),
     "csv_logon": f"WITH {_LOGS} SELECT {_CSV} FROM logon",
@@ -398,7 +397,7 @@ FROM requests GROUP BY 1""",
     "access_audit_json": _AUDIT,
     "access_audit_stream": _AUDIT,
     "trailing_request_count": f"""WITH {_REQUESTS}
-SELECT client, {_TS.format("ts")}, requests,
+SELECT client, {_US.format("ts")}, requests,
   CAST(sum(requests) OVER (PARTITION BY client ORDER BY ts
        RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS BIGINT) AS trailing
 FROM seconds""",

@@ -30,9 +30,15 @@ def _text_day(df: DataFrame) -> DataFrame:
 
 
 def _stamp(name: str):
+    """Text of a time whose format has whole seconds."""
     return F.substring(F.col(name).cast("string"), 1, 19).alias(name)
 
 
+def _micros(name: str):
+    """A time at full resolution, in any session zone."""
+    return access.epoch_micros(F.col(name)).alias(f"{name}_us")
+
+
 # ------------------------------------------------------------------ inputs
 
 
@@ -64,7 +70,7 @@ def load_summary(spark: SparkSession, folder: str) -> DataFrame:
     named = {"logon": samples.logon(spark, folder), "device": samples.device(spark, folder)}
     parts = [
         profile.load_summary(log).select(
-            F.lit(name).alias("log"), "rows", _stamp("first_date"), _stamp("last_date")
+            F.lit(name).alias("log"), "rows", _micros("first_date"), _micros("last_date")
         )
         for name, log in named.items()
     ]
@@ -321,12 +327,12 @@ def access_audit_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def trailing_request_count(spark: SparkSession, folder: str) -> DataFrame:
     counted = access.trailing_request_count(samples.client_requests(spark, folder), WINDOW)
-    return counted.select("client", _stamp("ts"), "requests", "trailing")
+    return counted.select("client", _micros("ts"), "requests", "trailing")
 
 
 def _decided(decisions: DataFrame) -> DataFrame:
     return decisions.select(
-        "client", _stamp("ts"), "requests", "admitted", "refused", "retry_after"
+        "client", _micros("ts"), "requests", "admitted", "refused", "retry_after"
     )
 
 

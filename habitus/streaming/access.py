@@ -17,13 +17,16 @@ from habitus.operators.access import (
     WINDOW_SECONDS,
     AdmissionLog,
     audit_pairs,
-    epoch_second,
+    epoch_micros,
     lookups,
     merge_pairs,
+    micros_to_ts,
     nullable,
-    second_to_ts,
 )
 
+#: Seconds by which requests may come late, behind the newest one of any client.
+LATENESS_SECONDS = 3600
+
 
 def stream_audit(spark: SparkSession, path: str) -> DataFrame:
     """Lookups from a folder that audit files keep arriving in."""
@@ -49,9 +52,9 @@ def read_audit_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Requests per client and second of each batch, ahead of the shuffle."""
+    """Requests per client and instant of each batch, ahead of the shuffle."""
     for batch in batches:
-        yield batch.groupby(["client", "second"], as_index=False, dropna=False).agg(
+        yield batch.groupby(["client", "at"], as_index=False, dropna=False).agg(
             requests=("requests", "sum")
         )
 
@@ -62,28 +65,34 @@ def _decide_with_state(window: int, limit: int):
     def run(
         key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # idle for so long that no entry counts any more
+            state.remove()
+            return
         held, counts, newest = state.get if state.exists else ([], [], None)
         log = AdmissionLog(window, limit, zip(held, counts))
         totals: Counter[int] = Counter()
         for batch in batches:
-            for second, requests in zip(batch["second"].tolist(), batch["requests"].tolist()):
-                totals[second] += requests
-        seconds = sorted(totals)
-        late = [s for s in seconds if newest is not None and s < newest]
-        due = seconds[len(late) :]
+            for at, requests in zip(batch["at"].tolist(), batch["requests"].tolist()):
+                totals[at] += requests
+        instants = sorted(totals)
+        late = [s for s in instants if newest is not None and s < newest]
+        due = instants[len(late) :]
         admitted, waits = log.decide(due, [totals[s] for s in due])
+        newest = due[-1] if due else newest
         state.update(
             (
-                [second for second, _ in log.entries],
+                [at for at, _ in log.entries],
                 [count for _, count in log.entries],
-                due[-1] if due else newest,
+                newest,
             )
         )
-        requests = [totals[s] for s in seconds]
+        idle = newest // 1000 + 1000 * window + 1
+        state.setTimeoutTimestamp(max(idle, state.getCurrentWatermarkMs() + 1))
+        requests = [totals[s] for s in instants]
         yield pd.DataFrame(
             {
                 "client": key[0],
-                "second": seconds,
+                "at": instants,
                 "requests": requests,
                 "admitted": [0] * len(late) + admitted,
                 "retry_after": nullable([0] * len(late) + waits),
@@ -95,31 +104,40 @@ def _decide_with_state(window: int, limit: int):
 
 
 def throttle_stream(
-    requests: DataFrame, limit: int = LIMIT, window: int = WINDOW_SECONDS
+    requests: DataFrame,
+    limit: int = LIMIT,
+    window: int = WINDOW_SECONDS,
+    lateness: int = LATENESS_SECONDS,
 ) -> DataFrame:
-    """Decisions per client and second, as requests arrive.
-
-    The state of a client is at most ``limit`` admission times. Requests older than
-    the newest second already decided for their client cannot be decided in order any
-    more: they are neither let in nor refused but counted in ``late``.
+    """Decisions per client and instant, as requests arrive.
+
+    The state of a client is at most ``limit`` admission times, and is dropped when the
+    watermark, ``lateness`` seconds behind the newest request of any client, is a window
+    past its own newest one: nothing counts by then. Requests older than the newest
+    instant already decided for their client cannot be decided in order any more: they
+    are neither let in nor refused but counted in ``late``. Requests older than the
+    watermark are dropped by the engine.
     """
     if limit <= 0:
         raise ValueError("a stream without a limit needs no decisions")
     partial = requests.select(
         F.coalesce("client", F.lit("unknown")).alias("client"),
-        epoch_second(F.col("ts")).alias("second"),
+        epoch_micros(F.col("ts")).alias("at"),
         F.lit(1).cast("long").alias("requests"),
-    ).mapInPandas(_combine, "client string, second long, requests long")
-    decided = partial.groupBy("client").applyInPandasWithState(
+    ).mapInPandas(_combine, "client string, at long, requests long")
+    timed = partial.withColumn("event_time", F.timestamp_micros("at")).withWatermark(
+        "event_time", f"{lateness} seconds"
+    )
+    decided = timed.groupBy("client").applyInPandasWithState(
         _decide_with_state(window, limit),
-        "client string, second long, requests long, admitted long, retry_after long, late long",
-        "seconds array<long>, counts array<long>, newest long",
+        "client string, at long, requests long, admitted long, retry_after long, late long",
+        "instants array<long>, counts array<long>, newest long",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
     return decided.select(
         "client",
-        second_to_ts(F.col("second")).alias("ts"),
+        micros_to_ts(F.col("at")).alias("ts"),
         "requests",
         "admitted",
         (F.col("requests") - F.col("admitted") - F.col("late")).alias("refused"),

@@ -57,6 +57,24 @@ def test_late_requests_are_counted_apart(spark, tmp_path):
     assert sum(r.admitted for r in rows) == 3 and sum(r.refused for r in rows) == 1
 
 
+def test_idle_clients_leave_no_state(spark, tmp_path):
+    """A client without requests for a window behind the watermark is forgotten."""
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    kept = []
+    for times in ([("a", 0.5), ("a", 1), ("b", 2)], [("c", 1000)], [("c", 1001)], [("a", 1001.5), ("a", 1002)]):
+        add(spark, folder, times)
+        query = (
+            throttle_stream(requests(spark, folder), 2, 60, lateness=100)
+            .writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert kept[-2] == 1 and kept[-1] == 2
+    times = {"a": [0.5, 1, 1001.5, 1002], "b": [2], "c": [1000, 1001]}
+    assert decided(spark.read.parquet(out)) == expected(times, 2, 60)
+
+
 def test_audit_stream_equals_the_batch_report(spark, tmp_path):
     lines, pairs, checkpoint = (str(tmp_path / n) for n in ("lines", "pairs", "cp"))
 
