@@ -11,14 +11,13 @@ from habitus.config import DEFAULTS, SERVED_COLUMNS, SEVERITIES, UNKNOWN, Settin
 from habitus.functions.levels import is_drift_only, is_flagged, levels_from, rank_of
 from habitus.functions.text import history_reason, table_reason
 from habitus.functions.times import day_text
-from habitus.session import cut_lineage
 
 # Bounds of a page.
 DEFAULT_LIMIT = 500
 MAX_LIMIT = 5000
 
-# Offsets up to here are cheap for a top-k.
-DEEP_OFFSET = 100_000
+#: Actors, chosen by hash, whose names part the ranking into ranges.
+BOUNDS = 255
 
 _CONTEXT = ("role", "department", "team")
 
@@ -176,8 +175,8 @@ def threats(
 ) -> ThreatPage:
     """A page of the ranked threats and, apart from it, the number of all matches.
 
-    The page is a top-k (no full sort), or for a deep offset a selection among ranges;
-    the total is a plain count.
+    The page is a top-k within the part of the ranking it lies in (``ranked_page``); the
+    total is a plain count.
     """
     if not 1 <= limit <= MAX_LIMIT:
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
@@ -186,10 +185,7 @@ def threats(
     found = matching_threats(
         scores, min_severity, include_drift, user, department, regex, settings
     )
-    if offset <= DEEP_OFFSET:
-        page = ranked(found, settings).offset(offset).limit(limit)
-    else:
-        page = deep_page(found, offset, limit, settings)
+    page = ranked_page(found, offset, limit, settings)
     total = found.agg(F.count(F.lit(1)).alias("total_matching"))
     return ThreatPage(total, limit, offset, serving_record(page))
 
@@ -241,28 +237,61 @@ def user_headers(scores: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
-def deep_page(
+def ranked_page(
     found: DataFrame, offset: int, limit: int, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """A page of the ranking without a top-k that holds ``offset`` rows in every task.
-
-    The matches are written once in ranges of the ranking. Their sizes (one number per
-    partition) tell which ranges the page lies in, and only those are sorted.
+    """Rows ``offset`` to ``offset + limit`` of the ranking, whatever the offset.
+
+    A top-k alone would hold ``offset`` rows in every task. The ranking is parted into
+    cells by score and, within a score, by ranges of actors whose bounds are a bounded
+    number of actor names. One pass counts the cells (scores are sums of a few weights,
+    so they are few); the cells before the page are skipped, and only those it lies in
+    are read and ranked. Bounds and scores enter both passes as literals, so the passes
+    agree however often they run, and comparisons with them are pushed into the scan.
+    Nothing is skipped on the first page, so it needs no counts.
     """
-    order = (F.desc("severity_score"), settings.actor, settings.day)
-    ranges = cut_lineage(
-        found.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges"
-    )
-    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("rows")).collect()
-    wanted, before, skipped = [], 0, 0
-    for number, rows in sorted(tuple(size) for size in sizes):
+    if offset == 0:
+        return ranked(found, settings).limit(limit)
+    actor, score = F.col(settings.actor), F.col("severity_score")
+    names = found.select(actor).where(actor.isNotNull()).distinct()
+    bounds = [r[0] for r in names.orderBy(F.xxhash64(actor), actor).limit(BOUNDS).collect()]
+    bounds.sort()
+    place = F.lit(0)
+    if bounds:
+        place = F.size(F.filter(F.lit(bounds), lambda bound: bound <= actor))
+    cell = F.when(actor.isNull(), -1).otherwise(place)
+    sizes = found.groupBy("severity_score", cell.alias("cell")).count().collect()
+    rank = lambda r: (r[0] is None, -(r[0] or 0), r[1])
+    inside, before, skipped = F.lit(False), 0, 0
+    for value, number, rows in sorted(map(tuple, sizes), key=rank):
         if before + rows <= offset:
             skipped = before + rows
         elif before < offset + limit:
-            wanted.append(number)
+            own = score.eqNullSafe(F.lit(value))
+            if number < 0:
+                own = own & actor.isNull()
+            if number > 0:
+                own = own & (actor >= F.lit(bounds[number - 1]))
+            if 0 <= number < len(bounds):
+                own = own & (actor < F.lit(bounds[number]))
+            inside = inside | own
         before += rows
-    inside = ranges.where(F.col("_range").isin(wanted)).drop("_range")
-    return ranked(inside, settings).offset(offset - skipped).limit(limit)
+    return ranked(found.where(inside), settings).offset(offset - skipped).limit(limit)
+
+
+def page_after(
+    found: DataFrame,
+    after: tuple,
+    limit: int,
+    settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """The page behind a row given by its (score, actor, day): a top-k without any offset."""
+    score, actor, day = after
+    here, name, date = F.col("severity_score"), F.col(settings.actor), F.col(settings.day)
+    later = (here < score) | (
+        (here == score) & ((name > actor) | ((name == actor) & (date > F.lit(day))))
+    )
+    return ranked(found.where(later), settings).limit(limit)
 
 
 class Timeline(NamedTuple):

@@ -168,11 +168,12 @@ _BREAKDOWN = ", ".join(
 _PREVIEW = f'"user", {_DAY}, severity, severity_score, role, department, reasons'
 
 
+def _matching(where: str) -> str:
+    return f"{_SCORES} SELECT {_RECORD} FROM threat_base AS scores WHERE {where}"
+
+
 def _page(where: str, limit: int = 500, offset: int = 0) -> str:
-    return (
-        f"{_SCORES} SELECT {_RECORD} FROM threat_base AS scores WHERE {where} "
-        f"{_RANKED} LIMIT {limit} OFFSET {offset}"
-    )
+    return f"{_matching(where)} {_RANKED} LIMIT {limit} OFFSET {offset}"
 
 
 _ANY = "severity <> 'Normal'"
@@ -345,6 +346,13 @@ FROM levels LEFT JOIN scores USING (severity) GROUP BY severity""",
     "threats_page": _page(_ANY),
     "threats_second_page": _page(_ANY, 100, 100),
     "threats_deep_page": _page(_ANY, 500, 2000),
+    "threats_page_after": _page(_ANY, 100, 100),
+    "matching_high": _matching("severity IN ('High', 'Critical')"),
+    "matching_include_drift": _matching("severity = 'Critical' OR drift_flag"),
+    "matching_normal": _matching("true"),
+    "matching_search": _matching(f"{_ANY} AND \"user\" ILIKE '%1%'"),
+    "matching_search_regex": _matching(f"{_ANY} AND regexp_matches(\"user\", '^[1-3].$', 'i')"),
+    "matching_department": _matching(f"{_ANY} AND department = 'NATION_7'"),
     "threats_high": _page("severity IN ('High', 'Critical')", 5000),
     "threats_include_drift": _page("severity = 'Critical' OR drift_flag", 5000),
     "threats_normal": _page("true", 5000),

@@ -367,9 +367,16 @@ def _total(**options) -> Query:
     return _served(lambda scores: serving.threats(scores, **options).total_matching)
 
 
-def _deep_page(scores: DataFrame) -> DataFrame:
+def _page_after(scores: DataFrame) -> DataFrame:
+    """The second page of a hundred, asked for by the last row of the first."""
     found = serving.matching_threats(scores)
-    return serving.serving_record(serving.deep_page(found, 2000, 500))
+    last = serving.ranked(found).limit(100).select("severity_score", "user", "day").tail(1)
+    return serving.serving_record(serving.page_after(found, tuple(last[0]), 100))
+
+
+def _matching(**options) -> Query:
+    """All rows of a filter, without a page."""
+    return _served(lambda scores: serving.serving_record(serving.matching_threats(scores, **options)))
 
 
 def _display(scores: DataFrame) -> DataFrame:
@@ -432,7 +439,14 @@ QUERIES: dict[str, Query] = {
     "run_summary": _served(serving.run_summary),
     "threats_page": _page(),
     "threats_second_page": _page(limit=100, offset=100),
-    "threats_deep_page": _served(_deep_page),
+    "threats_deep_page": _page(limit=500, offset=2000),
+    "threats_page_after": _served(_page_after),
+    "matching_high": _matching(min_severity="High"),
+    "matching_include_drift": _matching(min_severity="Critical", include_drift=True),
+    "matching_normal": _matching(min_severity="Normal"),
+    "matching_search": _matching(user="1"),
+    "matching_search_regex": _matching(user="^[1-3].$", regex=True),
+    "matching_department": _matching(department="NATION_7"),
     "threats_high": _page(min_severity="High", limit=5000),
     "threats_include_drift": _page(min_severity="Critical", include_drift=True, limit=5000),
     "threats_normal": _page(min_severity="Normal", limit=5000),

@@ -46,14 +46,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
-    """``df`` as a table written to the shared folder; without one it is recomputed.
+    """``df`` as a table written to the shared folder.
 
     Unlike a checkpoint the table is columnar, so later steps read only what they use.
-    The folder keeps it until it is cleaned, as it keeps checkpoints.
+    The folder keeps it until it is cleaned, as it keeps checkpoints. A cluster without
+    such a folder is an error: recomputing instead would be slow without a word.
     """
-    spark = df.sparkSession
-    if shared_folder(spark) is None:
-        return df
-    path = scratch_path(spark, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

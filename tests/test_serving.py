@@ -85,28 +85,34 @@ def test_pages_do_not_overlap(scores):
     assert {total for total, _ in parts} == {6}
 
 
-def test_deep_pages_are_the_same_pages(scores, monkeypatch):
-    shallow = [page(scores, limit=2, offset=o) for o in range(8)]
-    monkeypatch.setattr(serving, "DEEP_OFFSET", -1)
-    assert [page(scores, limit=2, offset=o) for o in range(8)] == shallow
-
-
-def test_a_deep_page_across_many_ranges(spark, scores, monkeypatch):
+def test_a_deep_page_across_many_cells(spark, scores, monkeypatch):
+    """With bounds sampled anew for every job, and no folder to keep anything in."""
     many = scores.where("user = 'abc'").crossJoin(spark.range(700).withColumnRenamed("id", "k"))
     many = many.selectExpr(
-        "concat('u', k) as user",
-        *[c for c in scores.columns if c not in ("user", "severity_score")],
+        "if(k = 13, null, concat('u', k % 300)) as user",
+        *[c for c in scores.columns if c not in ("user", "severity_score", "day")],
+        "date_add(day, cast(k as int)) as day",
         "cast(k % 9 as double) as severity_score",
     )
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "5")
+    monkeypatch.setattr("habitus.session.scratch_path", lambda *a: pytest.fail("nothing is written"))
     try:
-        expected = page(many, limit=300, offset=555)
-        monkeypatch.setattr(serving, "DEEP_OFFSET", 10)
-        assert page(many, limit=300, offset=555) == expected
-        assert len(expected[1]) == 300
-        assert page(many, limit=300, offset=1300)[1] == page(many, limit=400, offset=1000)[1][300:]
+        total, everything = page(many, limit=5000)
+        for bounds in (255, 20, 1):
+            monkeypatch.setattr(serving, "BOUNDS", bounds)
+            for offset in (1, 299, 555, 1300, total - 3, total):
+                assert page(many, limit=300, offset=offset) == (total, everything[offset : offset + 300])
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+
+
+def test_the_page_behind_a_row(scores):
+    everything = serving.ranked(serving.matching_threats(scores)).collect()
+    after = [r for r in everything if r.user is not None]
+    for k, r in enumerate(after):
+        found = serving.matching_threats(scores.where("user IS NOT NULL"))
+        rows = serving.page_after(found, (r.severity_score, r.user, r.day), 3).collect()
+        assert [(x.user, x.day) for x in rows] == [(x.user, x.day) for x in after[k + 1 : k + 4]]
 
 
 def test_min_severity_and_drift(scores):

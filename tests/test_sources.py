@@ -184,6 +184,12 @@ def test_no_machine_local_folder_on_a_cluster():
         scratch_path(cluster, "x")
 
 
+def test_cutting_the_lineage_needs_a_folder(spark, monkeypatch):
+    monkeypatch.setattr("habitus.session.shared_folder", lambda session: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        cut_lineage(spark.range(5))
+
+
 def test_a_local_session_gets_its_own_folder_once():
     local = FakeSession("local[2]")
     first = shared_folder(local)
