@@ -5,10 +5,14 @@ Shape of the work:
 * ``fit`` reads the table once, to count equal vectors. Counts of activity take few
   distinct values, so this map-side combined count is far smaller than the table;
   everything else in ``fit`` runs on it.
-* Subsamples come from thinning each vector's multiplicity, seeded by the vector. That
-  has the distribution of sampling rows, is the same under any partitioning or retry,
-  and its size does not depend on the table or on how often one vector occurs.
-* Trees are built in parallel, one group of at most ``subsample`` rows per tree.
+* Each tree draws exactly ``subsample`` rows (or all, if there are fewer) without
+  replacement: one rank from each of as many equal strata of the rows, ordered by a hash of
+  their vector. Ranks come from md5, and lead to vectors by sums of multiplicities per
+  hash bucket and, within a bucket, per vector. So neither the size of the table nor a hot
+  vector matters, no row is left out of the draw, and the sample is the same under any
+  partitioning or retry, and in any engine that has md5.
+* Trees are built in parallel, one group of at most ``subsample`` rows per tree; feature and
+  value of a split come from md5 as well.
 * The model is ``trees`` fixed-size arrays (about 1 MB by default), small by
   construction, and is broadcast.
 * ``transform`` is a map: no shuffle and no join, so a vector shared by a third of all
@@ -21,14 +25,16 @@ integers.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +44,7 @@ from habitus.session import cut_lineage
 
 _FIXED = 1 << 24  # fixed-point steps per unit of path length
 _BUCKET_BITS = 18  # a selection pass brings at most 2**18 counts to the driver
-_POOL_ROWS = 1 << 16  # expected size of the pool all subsamples are drawn from
+_KEY_DIGITS = 3  # hexadecimal digits of a vector's hash that choose its bucket
 _EULER = 0.5772156649015329
 
 
@@ -55,8 +61,38 @@ def tree_height(subsample: int) -> int:
     return max(1, math.ceil(math.log2(max(subsample, 2))))
 
 
+def _digest(*parts: int) -> str:
+    return hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+
+
+def split_draws(seed: int, tree: int) -> Callable[[int], tuple[int, float]]:
+    """For each slot of a tree: a number that picks the feature, and a share of its range."""
+
+    def draw(slot: int) -> tuple[int, float]:
+        digits = _digest(seed, tree, slot)
+        return int(digits[:8], 16), int(digits[8:21], 16) / 2.0**52
+
+    return draw
+
+
+def drawn_ranks(total: int, settings: Settings = DEFAULTS) -> np.ndarray:
+    """The ranks of each tree's sample, one from each stratum (trees x sample)."""
+    size = min(settings.subsample, total)
+    bounds = [k * total // size for k in range(size + 1)]
+    return np.array(
+        [
+            [
+                low + int(_digest(settings.seed, tree, k)[:15], 16) % (high - low)
+                for k, (low, high) in enumerate(zip(bounds, bounds[1:]))
+            ]
+            for tree in range(settings.trees)
+        ],
+        dtype=np.int64,
+    )
+
+
 def grow_tree(
-    points: np.ndarray, height: int, rng: np.random.Generator
+    points: np.ndarray, height: int, draw: Callable[[int], tuple[int, float]]
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One tree as a complete binary tree of the given height.
 
@@ -77,8 +113,9 @@ def grow_tree(
             first = (slot + 1) * span - leaves
             value[first : first + span] = round((depth + average_path(len(here))) * _FIXED)
             continue
-        chosen = int(varying[rng.integers(len(varying))])
-        cut = rng.uniform(low[chosen], high[chosen])
+        pick, share = draw(slot)
+        chosen = int(varying[pick % len(varying)])
+        cut = low[chosen] + share * (high[chosen] - low[chosen])
         if cut >= high[chosen]:
             cut = low[chosen]
         feature[slot], threshold[slot] = chosen, cut
@@ -137,77 +174,52 @@ def vector_counts(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
-def _thin(share: float, seed: int):
-    """Copies of each vector that survive when each row is kept with ``share``."""
-
-    @F.pandas_udf(T.LongType())
-    def copies(key: pd.Series, rows: pd.Series) -> pd.Series:
-        kept = [
-            np.random.default_rng([seed, int(k) & (2**64 - 1)]).binomial(int(n), share)
-            for k, n in zip(key, rows)
-        ]
-        return pd.Series(kept, dtype="int64")
-
-    return copies
-
-
-def _below(share: float) -> Column:
-    """A hash under this bound occurs with the given probability."""
-    return F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64)))
-
-
-def sample_pool(counts: DataFrame, total: int, settings: Settings = DEFAULTS) -> DataFrame:
-    """A pool of about 2**16 rows (all rows of a smaller table): vector and copy number.
-
-    A vector that occurs once is kept or dropped by its hash; only the others need a
-    binomial draw in Python.
-    """
-    if total <= _POOL_ROWS:
-        kept = counts.withColumn("copies", F.col("rows"))
-    else:
-        share = _POOL_ROWS / total
-        key = F.xxhash64(F.lit(settings.seed), *settings.features)
-        single = counts.where((F.col("rows") == 1) & (key <= _below(share)))
-        repeated = counts.where(F.col("rows") > 1)
-        copies = _thin(share, settings.seed)(key, F.col("rows"))
-        kept = single.withColumn("copies", F.col("rows")).unionByName(
-            repeated.withColumn("copies", copies)
-        )
-    return (
-        kept.where(F.col("copies") > 0)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*settings.features, "copy")
+def with_keys(counts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Add ``key``, the md5 of the vector as text, and ``bucket``, its first digits."""
+    key = F.md5(F.concat_ws(",", *[F.col(f).cast("string") for f in settings.features]))
+    return counts.withColumn("key", key).withColumn(
+        "bucket", F.conv(F.substring("key", 1, _KEY_DIGITS), 16, 10).cast("int")
     )
 
 
-def tree_samples(pool: DataFrame, total: int, settings: Settings = DEFAULTS) -> DataFrame:
-    """Candidates of each tree: about twice ``subsample`` pool rows, with a draw number.
+def tree_samples(
+    keyed: DataFrame, sizes: dict[int, int], settings: Settings = DEFAULTS
+) -> DataFrame:
+    """``tree`` and vector of each drawn row.
 
-    Every tree draws independently by hash; its ``subsample`` smallest draw numbers are
-    its sample. The generous share makes a short draw practically impossible, and a
-    short one is still a valid (smaller) sample.
+    ``sizes``: rows per bucket. The driver turns trees x subsample ranks, whose number does
+    not depend on the table, into a bucket and a place in it; the bucket's vectors are
+    numbered by running sums.
     """
-    share = min(1.0, 2.0 * settings.subsample / max(1, min(total, _POOL_ROWS)))
-    trees = F.explode(F.sequence(F.lit(0), F.lit(settings.trees - 1))).alias("tree")
-    draw = F.xxhash64(F.lit(settings.seed), "tree", *settings.features, "copy")
-    width = pool.sparkSession.sparkContext.defaultParallelism
+    spark = keyed.sparkSession
+    buckets = np.array(sorted(sizes))
+    ends = np.cumsum([sizes[b] for b in buckets])
+    ranks = drawn_ranks(int(ends[-1]), settings)
+    at = np.searchsorted(ends, ranks.ravel(), "right")
+    draws = pa.table(
+        {
+            "tree": np.repeat(np.arange(len(ranks), dtype=np.int32), ranks.shape[1]),
+            "bucket": buckets[at].astype(np.int32),
+            "place": ranks.ravel() - (ends[at] - np.array([sizes[b] for b in buckets])[at]),
+        }
+    )
+    line = Window.partitionBy("bucket").orderBy("key", *settings.features)
+    numbered = keyed.withColumn("end", F.sum("rows").over(line))
+    inside = (F.col("place") >= F.col("end") - F.col("rows")) & (F.col("place") < F.col("end"))
     return (
-        pool.repartition(width, *settings.features, "copy")
-        .select("*", trees)
-        .withColumn("draw", draw)
-        .where(F.col("draw") <= _below(share))
+        numbered.join(F.broadcast(spark.createDataFrame(draws)), "bucket")
+        .where(inside)
+        .select("tree", *settings.features)
     )
 
 
 def _tree_builder(settings: Settings, height: int):
     names = list(settings.features)
 
-    def build(candidates: pd.DataFrame) -> pd.DataFrame:
-        tree = int(candidates["tree"].iloc[0])
-        ordered = candidates.sort_values(["draw", *names, "copy"])
-        points = ordered[names].to_numpy(dtype=np.float64)[: settings.subsample]
-        rng = np.random.default_rng([settings.seed, tree])
-        feature, threshold, value = grow_tree(points, height, rng)
+    def build(sample: pd.DataFrame) -> pd.DataFrame:
+        tree = int(sample["tree"].iloc[0])
+        points = sample[names].to_numpy(dtype=np.float64)
+        feature, threshold, value = grow_tree(points, height, split_draws(settings.seed, tree))
         return pd.DataFrame(
             {"tree": [tree], "feature": [feature], "threshold": [threshold], "value": [value]}
         )
@@ -291,12 +303,14 @@ def _no_trees(settings: Settings) -> IsolationForestModel:
     return IsolationForestModel(settings, none, none, none, 0)
 
 
-def fit_trees(counts: DataFrame, total: int, settings: Settings = DEFAULTS) -> IsolationForestModel:
+def fit_trees(
+    keyed: DataFrame, sizes: dict[int, int], settings: Settings = DEFAULTS
+) -> IsolationForestModel:
     """Grow the trees in parallel on samples of the counted vectors."""
-    sample_size = min(settings.subsample, total)
-    candidates = tree_samples(sample_pool(counts, total, settings), total, settings)
+    sample_size = min(settings.subsample, sum(sizes.values()))
     grown = (
-        candidates.groupBy("tree")
+        tree_samples(keyed, sizes, settings)
+        .groupBy("tree")
         .applyInPandas(
             _tree_builder(settings, tree_height(sample_size)),
             "tree int, feature array<int>, threshold array<double>, value array<long>",
@@ -313,13 +327,19 @@ def fit_trees(counts: DataFrame, total: int, settings: Settings = DEFAULTS) -> I
     )
 
 
+def bucket_sizes(keyed: DataFrame) -> dict[int, int]:
+    """Rows per bucket: at most 16**3 numbers, whose sum is the size of the table."""
+    return dict(map(tuple, keyed.groupBy("bucket").agg(F.sum("rows")).collect()))
+
+
 def fit_forest(df: DataFrame, settings: Settings = DEFAULTS) -> IsolationForestModel:
     """Fit the forest and its contamination quantile on all rows of ``df``."""
-    counts = cut_lineage(vector_counts(df, settings))
-    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    counts = cut_lineage(with_keys(vector_counts(df, settings), settings))
+    sizes = bucket_sizes(counts)
+    total = sum(sizes.values())
     if total == 0:
         return _no_trees(settings)
-    model = fit_trees(counts, total, settings)
+    model = fit_trees(counts, sizes, settings)
     totals = cut_lineage(
         counts.select(model.path_total(counts).alias("total"), "rows")
         .groupBy("total")

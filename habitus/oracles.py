@@ -150,6 +150,93 @@ scores AS (
   FROM drifted),
 threat_base AS (SELECT * FROM scores WHERE severity <> 'Normal' OR drift_flag)"""
 
+_LOW = ", ".join(f"min(p[{k}])" for k in range(1, 6))
+_HIGH = ", ".join(f"max(p[{k}])" for k in range(1, 6))
+_PATH = """CASE WHEN {0} <= 1 THEN 0.0::DOUBLE WHEN {0} = 2 THEN 1.0::DOUBLE
+  ELSE 2.0::DOUBLE * (ln(({0} - 1)::DOUBLE) + 0.5772156649015329::DOUBLE)
+     - 2.0::DOUBLE * ({0} - 1)::DOUBLE / {0}::DOUBLE END"""
+
+
+def _split(ranges: str) -> str:
+    """Varying features of each (t, slot), the one that splits it and where."""
+    return f"""
+  SELECT *, CASE WHEN raw >= hi[chosen] THEN lo[chosen] ELSE raw END AS cut FROM (
+    SELECT *, lo[chosen] + (('0x' || substr(h, 9, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE)
+        * (hi[chosen] - lo[chosen]) AS raw FROM (
+      SELECT *, varying[1 + ('0x' || substr(h, 1, 8))::BIGINT % greatest(1, len(varying))] AS chosen FROM (
+        SELECT *, md5('42:' || t || ':' || slot) AS h,
+          list_filter([1, 2, 3, 4, 5], lambda k: hi[k] > lo[k]) AS varying FROM ({ranges}))))"""
+
+
+def _forest(days: str) -> str:
+    """The forest grown level by level, and each distinct vector walked down every tree.
+
+    ``vector_scores`` has iso_score_raw and iso_anomaly by vector; ``threshold`` the quantile.
+    """
+    point = "[" + ", ".join(f"CAST(coalesce({name}, 0) AS DOUBLE)" for name in FEATURES) + "]"
+    over = "OVER (PARTITION BY t, slot)"
+    low = ", ".join(f"min(p[{k}]) {over}" for k in range(1, 6))
+    high = ", ".join(f"max(p[{k}]) {over}" for k in range(1, 6))
+    inside = f"SELECT *, [{low}] AS lo, [{high}] AS hi FROM grown WHERE depth < (SELECT height FROM size)"
+    whole = f"SELECT t, slot, depth, count(*) AS n, [{_LOW}] AS lo, [{_HIGH}] AS hi FROM grown GROUP BY ALL"
+    return f"""
+vectors AS (
+  SELECT p, count(*) AS rows, md5(array_to_string(list_transform(p, lambda x: x::VARCHAR), ',')) AS key
+  FROM (SELECT {point} AS p FROM {days}) GROUP BY p),
+numbered AS (SELECT *, CAST(sum(rows) OVER (ORDER BY key, p) AS BIGINT) AS upto FROM vectors),
+size AS (
+  SELECT n, m, greatest(1, ceil(log2(greatest(m, 2))))::INT AS height
+  FROM (SELECT sum(rows)::BIGINT AS n, least(256, sum(rows))::BIGINT AS m FROM vectors)),
+draws AS (
+  SELECT t, k * n // m + ('0x' || substr(md5('42:' || t || ':' || k), 1, 15))::BIGINT
+    % ((k + 1) * n // m - k * n // m) AS at_rank
+  FROM range(200) trees(t), range(256) strata(k), size WHERE k < m),
+grown AS (
+  SELECT t, 0::BIGINT AS slot, 0 AS depth, p
+  FROM draws JOIN numbered ON at_rank >= upto - rows AND at_rank < upto
+  UNION ALL
+  SELECT t, 2 * slot + CASE WHEN p[chosen] > cut THEN 2 ELSE 1 END, depth + 1, p
+  FROM ({_split(inside)}) WHERE len(varying) > 0),
+nodes AS (
+  SELECT t, slot, depth, n, chosen, cut, len(varying) = 0 OR depth = (SELECT height FROM size) AS leaf
+  FROM ({_split(whole)})),
+walked AS (
+  SELECT p, t, 0::BIGINT AS slot FROM vectors, range(200) trees(t)
+  UNION ALL
+  SELECT p, t, 2 * slot + CASE WHEN p[chosen] > cut THEN 2 ELSE 1 END
+  FROM walked JOIN nodes USING (t, slot) WHERE NOT leaf),
+path_totals AS (
+  SELECT p, CAST(sum(CAST(round((depth + {_PATH.format("n")}) * 16777216) AS BIGINT)) AS BIGINT) AS total
+  FROM walked JOIN nodes USING (t, slot) WHERE leaf GROUP BY p),
+ranked_totals AS (
+  SELECT total, sum(sum(rows)) OVER (ORDER BY total) AS upto
+  FROM path_totals JOIN vectors USING (p) GROUP BY total),
+threshold AS (
+  SELECT (SELECT min(total) FROM ranked_totals WHERE upto > floor(0.02::DOUBLE * (n - 1))) AS low,
+    coalesce((SELECT min(total) FROM ranked_totals WHERE upto > floor(0.02::DOUBLE * (n - 1)) + 1),
+      (SELECT max(total) FROM ranked_totals)) AS high,
+    0.02::DOUBLE * (n - 1) - floor(0.02::DOUBLE * (n - 1)) AS fraction,
+    greatest({_PATH.format("m")}, 1e-12::DOUBLE) * 16777216::DOUBLE * 200 AS scale, n FROM size),
+vector_scores AS (
+  SELECT p, s - (low_s + (high_s - low_s) * fraction) AS iso_score_raw FROM (
+    SELECT p, fraction, -pow(2.0::DOUBLE, -(total::DOUBLE / scale)) AS s,
+      -pow(2.0::DOUBLE, -(low::DOUBLE / scale)) AS low_s, -pow(2.0::DOUBLE, -(high::DOUBLE / scale)) AS high_s
+    FROM path_totals, threshold))"""
+
+
+_POINT = "[" + ", ".join(f"CAST(coalesce(d.{name}, 0) AS DOUBLE)" for name in FEATURES) + "]"
+_BY_MODEL = f"({_RULE_SCORE} + CASE WHEN iso_score_raw < 0 THEN 2 ELSE 0 END)"
+_DETECTED = f"""{_SHIPPING_DRIFT.replace("WITH", "WITH RECURSIVE", 1)}, {_forest("shipping_features")},
+scores AS (
+  SELECT d."user", d.day, role, department, team, {_level(_BY_MODEL)} AS severity,
+         {_BY_MODEL} AS severity_score,
+         {_reasons(_RULE_TEXTS + ", CASE WHEN iso_score_raw < 0 THEN " + _MODEL_TEXT + " END")} AS reasons,
+         {", ".join(FEATURES)}, iso_score_raw < 0 AS iso_anomaly, iso_score_raw,
+         {_each("drift_z_# > 3", glue=" OR ")} AS drift_flag,
+         concat_ws('; ', {_DRIFT_TEXTS}) AS drift_reasons
+  FROM drifted d JOIN vector_scores v ON v.p = {_POINT}),
+threat_base AS (SELECT * FROM scores WHERE severity <> 'Normal' OR drift_flag)"""
+
 _DAY = "strftime(day, '%Y-%m-%d') AS day"
 _RECORD_PARTS = {
     "day": _DAY,
@@ -268,6 +355,12 @@ _DISPLAY = """CASE WHEN NOT drift_flag THEN reasons
        WHEN severity <> 'Normal' THEN reasons ELSE drift_reasons END AS history_reason"""
 _OUTLIER = "(off_hours_usb_count >= 3 OR logon_count >= 5)"
 _BONUS = f"({_RULE_SCORE} + CASE WHEN {_OUTLIER} THEN 2 ELSE 0 END)"
+_STATS = f"""{_SCORES} SELECT count(DISTINCT "user") AS total_users,
+  count(*) AS total_user_days, count(*) FILTER (severity <> 'Normal') AS total_flagged,
+  {_BREAKDOWN}, count(*) FILTER (drift_flag) AS drift_flagged,
+  count(*) FILTER (severity = 'Normal' AND drift_flag) AS drift_only,
+  strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day
+  FROM scores"""
 _SUMMARY = f"""{_SCORES} SELECT count(*) AS user_days,
   count(*) FILTER (severity <> 'Normal') AS flagged,
   count(*) FILTER (severity = 'Normal' AND drift_flag) AS drift_only FROM scores"""
@@ -330,12 +423,7 @@ ORACLES: dict[str, str] = {
     "WHERE severity = 'Normal' AND drift_flag",
     "severity_breakdown": f"{_SCORES} SELECT severity, count(*) AS user_days FROM scores "
     "GROUP BY severity",
-    "stats": f"""{_SCORES} SELECT count(DISTINCT "user") AS total_users,
-  count(*) AS total_user_days, count(*) FILTER (severity <> 'Normal') AS total_flagged,
-  {_BREAKDOWN}, count(*) FILTER (drift_flag) AS drift_flagged,
-  count(*) FILTER (severity = 'Normal' AND drift_flag) AS drift_only,
-  strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day
-  FROM scores""",
+    "stats": _STATS,
     "stats_record": f"""{_SCORES},
 levels AS (SELECT unnest(['Normal', 'Low', 'Medium', 'High', 'Critical']) AS severity)
 SELECT (SELECT count(*) FROM scores) AS total_user_days, severity, count("user") AS user_days,
@@ -388,6 +476,17 @@ FROM levels LEFT JOIN scores USING (severity) GROUP BY severity""",
     "layout_totals": f"{_SCORES} SELECT count(*) AS rows FROM scores",
     "resolve_scores": _SUMMARY,
     "preview_csv": f"{_SCORES} SELECT {_PREVIEW} FROM scores WHERE {_ANY} {_RANKED} LIMIT 20",
+    "iforest_scores": f"""{("WITH " + _EVENT_DAYS).replace("WITH", "WITH RECURSIVE", 1)}, {_forest("event_features")}
+SELECT "user", {_DAY}, {", ".join(FEATURES)}, iso_score_raw < 0 AS iso_anomaly,
+  round(iso_score_raw, 9) AS iso_score_raw
+FROM event_features d JOIN vector_scores v ON v.p = {_POINT}""",
+    "iforest_threshold": f"""{("WITH " + _EVENT_DAYS).replace("WITH", "WITH RECURSIVE", 1)}, {_forest("event_features")}
+SELECT n AS rows, low AS low_total, high AS high_total, round(fraction, 6) AS fraction FROM threshold""",
+    "full_detection": f"{_DETECTED} SELECT {_RECORD} FROM scores",
+    "stats_with_model": _STATS.replace(_SCORES, _DETECTED, 1),
+    "run_summary_with_model": _SUMMARY.replace(_SCORES, _DETECTED, 1),
+    "threats_page_with_model": _page(_ANY).replace(_SCORES, _DETECTED, 1),
+    "top_threats_with_model": f"{_DETECTED} SELECT {_PREVIEW} FROM scores WHERE {_ANY} {_RANKED} LIMIT 20",
     "iforest_vectors": _events(
         f"SELECT {_each('CAST(# AS DOUBLE) AS #')}, count(*) AS rows "
         f"FROM event_features GROUP BY ALL"

@@ -12,6 +12,7 @@ from habitus.operators.drift import drift_signal, recent_means
 from habitus.operators.forest import IsolationForestModel, fit_forest
 from habitus.operators.rules import rule_scores
 from habitus.operators.severity import final_severity, flatten_reasons
+from habitus.session import cut_lineage
 
 
 def score_days(
@@ -44,6 +45,8 @@ def score_days(
 def detect(features: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """The full detection with a model fitted on the same table.
 
-    ``features`` is read for the fit, the baseline and the scores: give it a stored table.
+    The table is written to the shared folder first, as the fit, the baseline and the scores
+    each read it.
     """
-    return score_days(features, fit_forest(features, settings), settings)
+    stored = cut_lineage(features, "actor-days")
+    return score_days(stored, fit_forest(stored, settings), settings)

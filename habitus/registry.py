@@ -271,15 +271,33 @@ def drift_only(scores: DataFrame) -> DataFrame:
 def iforest_scores(spark: SparkSession, folder: str) -> DataFrame:
     days = event_features(spark, folder)
     scored = forest.isolation_forest_score(days)
-    return _text_day(scored.select("user", "day", *FEATURES, "iso_anomaly", "iso_score_raw"))
+    raw = F.round("iso_score_raw", 9).alias("iso_score_raw")
+    return _text_day(scored.select("user", "day", *FEATURES, "iso_anomaly", raw))
+
+
+def iforest_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    """The path totals that the contamination quantile lies between, and its place."""
+    model = forest.fit_forest(event_features(spark, folder))
+    row = (model.quantile_low, model.quantile_high, round(model.quantile_fraction, 6))
+    scored = event_features(spark, folder).agg(F.count(F.lit(1)).alias("rows"))
+    return scored.select("rows", *[F.lit(v).alias(n) for v, n in zip(row, ("low_total", "high_total", "fraction"))])
 
 
 def iforest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return forest.vector_counts(event_features(spark, folder))
 
 
+def detected_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """All detection steps, the model included."""
+    return detect(shipping_features(spark, folder))
+
+
 def full_detection(spark: SparkSession, folder: str) -> DataFrame:
-    return _text_day(detect(shipping_features(spark, folder)))
+    return serving.serving_record(detected_scores(spark, folder))
+
+
+def _detected(query: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: query(detected_scores(spark, folder))
 
 
 # ------------------------------------------------------------------ access
@@ -478,7 +496,14 @@ QUERIES: dict[str, Query] = {
     "preview_csv": preview_csv,
     "iforest_vectors": iforest_vectors,
     "iforest_scores": iforest_scores,
+    "iforest_threshold": iforest_threshold,
     "full_detection": full_detection,
+    "stats_with_model": _detected(serving.stats),
+    "run_summary_with_model": _detected(serving.run_summary),
+    "threats_page_with_model": _detected(lambda scores: serving.threats(scores).results),
+    "top_threats_with_model": _detected(
+        lambda scores: _text_day(serving.top_threats(scores).select(*PREVIEW_COLUMNS))
+    ),
     "client_keys": client_keys,
     "access_audit_report": access_audit_report,
     "access_audit_json": access_audit_json,

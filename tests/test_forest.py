@@ -59,7 +59,7 @@ def walk(points, feature, threshold, value):
 def test_a_tree_isolates_its_sample():
     rng = np.random.default_rng(1)
     points = rng.integers(0, 50, size=(64, 5)).astype(float)
-    feature, threshold, value = forest.grow_tree(points, 6, np.random.default_rng(2))
+    feature, threshold, value = forest.grow_tree(points, 6, forest.split_draws(2, 0))
     assert len(feature) == 63 and len(value) == 64
     leaves = Counter()
     for point in points:
@@ -74,7 +74,7 @@ def test_a_tree_isolates_its_sample():
 
 def test_leaf_values_are_depth_plus_the_expected_rest():
     points = np.array([[0.0], [0.0], [0.0], [10.0]])
-    feature, threshold, value = forest.grow_tree(points, 2, np.random.default_rng(0))
+    feature, threshold, value = forest.grow_tree(points, 2, lambda slot: (0, 0.5))
     lone = forest.path_totals(np.array([[10.0]]), feature[None], threshold[None], value[None])
     rest = forest.path_totals(np.array([[0.0]]), feature[None], threshold[None], value[None])
     step = 1 << 24
@@ -151,30 +151,53 @@ def test_the_reason_is_added_where_reasons_exist(days, model):
         assert r.reasons == expected
 
 
-def test_thinning_keeps_its_share_of_a_hot_vector(spark):
-    """A third of ten million rows share one vector; the pool stays small and fair."""
-    total = 9_000_000
+def test_ranks_are_one_of_each_stratum():
+    for total in (1, 2, 63, 64, 65, 1000, 10**12):
+        ranks = forest.drawn_ranks(total, SMALL)
+        size = min(64, total)
+        assert ranks.shape == (40, size)
+        for row in ranks.tolist():
+            assert len(set(row)) == size
+            assert all(k * total // size <= r < (k + 1) * total // size for k, r in enumerate(row))
+    assert len({tuple(r) for r in forest.drawn_ranks(10**6, SMALL).tolist()}) == 40
+
+
+def drawn(spark, counts, settings):
+    keyed = forest.with_keys(counts, settings)
+    sizes = forest.bucket_sizes(keyed)
+    return forest.tree_samples(keyed, sizes, settings), sizes
+
+
+def test_samples_are_exact_and_fair(spark):
+    """A third of nine million rows share one vector; every tree gets its exact number of rows."""
     counts = spark.range(200).selectExpr(
         "if(id = 0, 3000000L, 30150L) as rows",
         *[f"cast(id + {i} as double) as {f}" for i, f in enumerate(FEATURES)],
     )
-    pool = forest.sample_pool(counts, total).groupBy("logon_count").count().collect()
-    sizes = {r.logon_count: r["count"] for r in pool}
-    assert sum(sizes.values()) == pytest.approx(1 << 16, rel=0.03)
-    assert sizes[0.0] == pytest.approx((1 << 16) / 3, rel=0.05)
-    candidates = forest.tree_samples(forest.sample_pool(counts, total), total)
-    per_tree = [r["count"] for r in candidates.groupBy("tree").count().collect()]
-    assert len(per_tree) == 200 and min(per_tree) >= 256 and max(per_tree) < 1024
-
-
-def test_thinning_keeps_its_share_of_vectors_that_occur_once(spark):
-    counts = spark.range(200_000).selectExpr(
-        "1L as rows", *[f"cast(id + {i} as double) as {f}" for i, f in enumerate(FEATURES)]
+    settings = Settings(trees=50, subsample=500)
+    samples, _ = drawn(spark, counts, settings)
+    rows = samples.groupBy("tree", "logon_count").count().collect()
+    per_tree = Counter()
+    for r in rows:
+        per_tree[r.tree] += r["count"]
+    assert set(per_tree.values()) == {500} and len(per_tree) == 50
+    hot = sum(r["count"] for r in rows if r.logon_count == 0)
+    assert hot == pytest.approx(50 * 500 * 3_000_000 / (3_000_000 + 199 * 30_150), rel=0.02)
+
+
+def test_samples_come_from_all_rows_of_a_large_table(spark):
+    """Over 65,536 rows, nearly all vectors different, and samples larger than that."""
+    counts = spark.range(100_000).selectExpr(
+        "1L + id % 2 as rows", *[f"cast(id + {i} as double) as {f}" for i, f in enumerate(FEATURES)]
     )
-    pool = forest.sample_pool(counts, 200_000)
-    kept = pool.count()
-    assert kept == pytest.approx(1 << 16, rel=0.03)
-    assert pool.distinct().count() == kept
+    settings = Settings(trees=3, subsample=70_000)
+    samples, sizes = drawn(spark, counts, settings)
+    assert sum(sizes.values()) == 150_000
+    found = samples.groupBy("tree").agg(F.count("*").alias("n"), F.count_distinct("logon_count").alias("d")).collect()
+    assert [r.n for r in found] == [70_000] * 3
+    assert all(45_000 < r.d < 70_000 for r in found)
+    everything = drawn(spark, counts, Settings(trees=1, subsample=10**6))[0]
+    assert everything.count() == 150_000
 
 
 @pytest.mark.parametrize("rank", [0, 1, 2, 3, 500, 997, 998, 999])
