@@ -57,18 +57,24 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = session(os.environ.get("BENCH_CPUS", "8"))
     work = tempfile.mkdtemp(prefix="habitus-bench-")
-    paths = {name: f"{work}/{name}" for name in ("days", "scores", "serving")}
+    paths = {name: f"{work}/{name}" for name in ("days", "scores", "serving", "bucketed")}
 
     tables.write_table(registry.shipping_features(spark, folder), paths["days"])
     days = spark.read.parquet(paths["days"])
     model = forest.fit_forest(days)
     tables.write_table(score_days(days, model), paths["scores"])
     tables.write_serving(spark.read.parquet(paths["scores"]), paths["serving"])
+    tables.write_serving(spark.read.parquet(paths["scores"]), paths["bucketed"], buckets=64)
     scores = tables.read_served(spark, paths["scores"])
     served = tables.read_served(spark, paths["serving"])
     requests = samples.client_requests(spark, folder)
     limit, window = registry.LIMIT, registry.WINDOW
 
+    def timeline(path: str, buckets: int | None = None) -> list:
+        """One actor's days; each layout is opened anew, with the schema a reader keeps."""
+        days = tables.lookup(spark, path, "77", buckets=buckets, schema=scores.schema)
+        return serving.user_timeline(days, "77", one_task=True).days.collect()
+
     steps = {
         "feature_table_events": lambda: compute(registry.event_features(spark, folder)),
         "feature_table_lineitem": lambda: compute(registry.shipping_features(spark, folder)),
@@ -88,10 +94,9 @@ def main() -> None:
         "threats_page": lambda: serving.threats(served, "Medium").results.collect(),
         "threats_search": lambda: serving.threats(served, user="7").results.collect(),
         "user_headers": lambda: compute(serving.user_headers(served)),
-        "timeline_unsorted": lambda: serving.user_timeline(scores, "77").days.collect(),
-        "timeline_clustered": lambda: serving.user_timeline(
-            tables.lookup(spark, paths["serving"], "77"), "77", one_task=True
-        ).days.collect(),
+        "timeline_unsorted": lambda: timeline(paths["scores"]),
+        "timeline_clustered": lambda: timeline(paths["serving"]),
+        "timeline_bucketed": lambda: timeline(paths["bucketed"], 64),
         "audit_report": lambda: compute(
             access.audit_report(access.audit_pairs(samples.accesses(spark, folder)))
         ),

@@ -16,16 +16,21 @@ def _arguments() -> argparse.Namespace:
     parser.add_argument("--out", default="outputs", help="folder of the stage tables")
     steps = parser.add_subparsers(dest="step", required=True)
     steps.add_parser("load").add_argument("--data", default="data")
-    for name in ("features", "detect", "serving", "stats"):
+    for name in ("features", "detect", "stats"):
         steps.add_parser(name)
+    steps.add_parser("serving").add_argument("--buckets", type=int, help="folders by actor")
     page = steps.add_parser("threats")
     page.add_argument("--min-severity", default="Low")
     page.add_argument("--include-drift", action="store_true")
     page.add_argument("--user")
+    page.add_argument("--regex", action="store_true", help="--user is a pattern")
     page.add_argument("--department")
     page.add_argument("--limit", type=int, default=500)
     page.add_argument("--offset", type=int, default=0)
-    steps.add_parser("timeline").add_argument("user")
+    history = steps.add_parser("timeline")
+    history.add_argument("user")
+    history.add_argument("--buckets", type=int, help="as given to serving")
+    history.add_argument("--save", help="write the days to this folder (CSV) instead")
     return parser.parse_args()
 
 
@@ -43,7 +48,7 @@ def main() -> None:
     elif args.step == "detect":
         run_detection(spark, args.out).show()
     elif args.step == "serving":
-        prepare_serving(spark, args.out).show()
+        prepare_serving(spark, args.out, buckets=args.buckets).show()
     elif args.step == "stats":
         stats(resolve_scores(spark, args.out)).show(vertical=True)
     elif args.step == "threats":
@@ -55,14 +60,20 @@ def main() -> None:
             args.department,
             args.limit,
             args.offset,
+            args.regex,
         )
         page.total_matching.show()
         page.results.show(args.limit, truncate=False)
     else:
-        days = lookup(spark, resolve_path(spark, args.out), args.user)
+        days = lookup(spark, resolve_path(spark, args.out), args.user, buckets=args.buckets)
         timeline = user_timeline(days, args.user)
         timeline.header.show(vertical=True)
-        timeline.days.show(10_000, truncate=False)
+        if args.save:
+            timeline.days.write.mode("overwrite").option("header", True).csv(args.save)
+        else:
+            print(*timeline.days.columns, sep="\t")
+            for day in timeline.days.toLocalIterator():
+                print(*day, sep="\t")
 
 
 if __name__ == "__main__":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from habitus.config import DEFAULTS, Settings
@@ -44,40 +44,65 @@ def sample_rows(
 
 
 def describe(features: DataFrame, columns: tuple[str, ...] = PROFILED) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles of each column.
+    """Count, mean, deviation, extremes and exact quartiles of each column of whole numbers.
 
-    Values are first counted per column with a map-side combine, so the final
-    aggregation sees one row per distinct value instead of one per table row. Counts
-    and hours take few distinct values, however long the table is.
+    Equal rows of the columns are counted first, with a map-side combine: counts and hours
+    take few distinct values, so that only few rows are then told apart by column. Moments
+    are exact sums of whole numbers; quartiles come from running counts over the sorted
+    distinct values, which stream and spill.
     """
-    pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
+    rows_of = features.groupBy(*[F.col(c).cast("long").alias(c) for c in columns]).agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
     values = (
-        features.selectExpr(f"stack({len(columns)}, {pairs}) as (feature, value)")
+        rows_of.selectExpr(f"stack({len(columns)}, {pairs}) as (feature, value)", "_rows")
         .where(F.col("value").isNotNull())
         .groupBy("feature", "value")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        .agg(F.sum("_rows").alias("rows"))
     )
-    value, rows = F.col("value"), F.col("rows")
+    exact, rows = F.col("value").cast("decimal(18,0)"), F.col("rows").cast("decimal(18,0)")
     moments = values.groupBy("feature").agg(
         F.sum("rows").alias("count"),
-        F.sum(value * rows).alias("total"),
-        F.sum(value * value * rows).alias("squares"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.percentile("value", [0.25, 0.5, 0.75], F.col("rows")).alias("quartiles"),
+        F.sum(exact * rows).alias("total"),
+        F.sum((exact * exact).cast("decimal(38,0)") * rows).alias("squares"),
+        F.min("value").cast("double").alias("min"),
+        F.max("value").cast("double").alias("max"),
     )
     count, total = F.col("count"), F.col("total")
-    variance = (count * F.col("squares") - total * total) / F.nullif(
+    places = {f"p{round(100 * q)}": F.lit(q) * (count - 1) for q in (0.25, 0.5, 0.75)}
+    upto = F.sum("rows").over(Window.partitionBy("feature").orderBy("value"))
+    ranked = values.withColumn("upto", upto).join(F.broadcast(moments), "feature")
+
+    def first_over(place: Column) -> Column:
+        return F.min(F.when(F.col("upto") > place, F.col("value"))).cast("double")
+
+    sides = [
+        side
+        for name, place in places.items()
+        for side in (
+            first_over(F.floor(place)).alias(f"{name}_low"),
+            first_over(F.floor(place) + 1).alias(f"{name}_high"),
+        )
+    ]
+    keys = ("feature", "count", "total", "squares", "min", "max")
+    found = ranked.groupBy(*keys).agg(*sides)
+
+    def quartile(name: str) -> Column:
+        low, place = F.col(f"{name}_low"), places[name]
+        high = F.coalesce(F.col(f"{name}_high"), low)
+        return (low + (high - low) * (place - F.floor(place))).alias(name)
+
+    n = count.cast("decimal(18,0)")
+    variance = (n * F.col("squares") - total * total).cast("double") / F.nullif(
         (count * (count - 1)).cast("double"), F.lit(0.0)
     )
-    return moments.select(
+    return found.select(
         "feature",
         "count",
-        (total / count).alias("mean"),
+        (total.cast("double") / count).alias("mean"),
         F.sqrt(variance).alias("std"),
         "min",
-        F.get("quartiles", F.lit(0)).alias("p25"),
-        F.get("quartiles", F.lit(1)).alias("p50"),
-        F.get("quartiles", F.lit(2)).alias("p75"),
+        *[quartile(name) for name in places],
         "max",
     )

@@ -372,7 +372,8 @@ ORACLES: dict[str, str] = {
         f"SELECT '{name}' AS log, count(*) AS rows, "
         f"epoch_us(min(date)) AS first_date_us, epoch_us(max(date)) AS last_date_us FROM {name}"
         for name in ("logon", "device")
-    ),
+    )
+    + " UNION ALL SELECT 'users', count(*), NULL, NULL FROM users",
     "csv_logon": f"WITH {_LOGS} SELECT {_CSV} FROM logon",
     "csv_device": f"WITH {_LOGS} SELECT {_CSV} FROM device",
     "csv_users": f"""WITH {_LOGS} SELECT user_id, role, department, team,
@@ -473,7 +474,10 @@ FROM levels LEFT JOIN scores USING (severity) GROUP BY severity""",
     "serving_roundtrip": f"{_SCORES} SELECT {_RECORD} FROM scores",
     "serving_lookup": f"{_SCORES} SELECT {_RECORD} FROM scores WHERE \"user\" = '7'",
     "serving_lookup_bucketed": f"{_SCORES} SELECT {_RECORD} FROM scores WHERE \"user\" = '7'",
-    "layout_totals": f"{_SCORES} SELECT count(*) AS rows FROM scores",
+    "layout_totals": f"{_SCORES} SELECT count(*) AS rows, "
+    "CAST(ceil(count(*) / 20000) AS BIGINT) AS row_groups, 1 AS files FROM scores",
+    "layout_buckets": f"{_SCORES} SELECT count(*) AS rows, 4 AS buckets FROM scores",
+    "resolve_serving": _SUMMARY + " WHERE severity <> 'Low'",
     "resolve_scores": _SUMMARY,
     "preview_csv": f"{_SCORES} SELECT {_PREVIEW} FROM scores WHERE {_ANY} {_RANKED} LIMIT 20",
     "iforest_scores": f"""{("WITH " + _EVENT_DAYS).replace("WITH", "WITH RECURSIVE", 1)}, {_forest("event_features")}

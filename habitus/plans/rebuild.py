@@ -68,8 +68,9 @@ def prepare_serving(
     out: str,
     settings: Settings = DEFAULTS,
     partitions: int | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Write the clustered table; returns its rows, row groups, files and bytes."""
     scores = read_table(spark, f"{out}/{SCORE_TABLE}", "run the detection step")
-    write_serving(scores, f"{out}/{SERVING_TABLE}", settings, partitions)
-    return layout_totals(spark, f"{out}/{SERVING_TABLE}", settings)
+    write_serving(scores, f"{out}/{SERVING_TABLE}", settings, partitions, buckets)
+    return layout_totals(spark, f"{out}/{SERVING_TABLE}")

@@ -74,6 +74,13 @@ def load_summary(spark: SparkSession, folder: str) -> DataFrame:
         )
         for name, log in named.items()
     ]
+    directory = profile.load_summary(samples.users(spark, folder).withColumn("date", F.lit(None)))
+    blank = F.lit(None).cast("long")
+    parts.append(
+        directory.select(
+            F.lit("users").alias("log"), "rows", blank.alias("first_date_us"), blank.alias("last_date_us")
+        )
+    )
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -104,9 +111,21 @@ def serving_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def layout_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """One file, so that its row groups follow from the rows."""
     path = scratch_path(spark, "serving")
-    tables.write_serving(shipping_scores(spark, folder), path)
-    return tables.layout_totals(spark, path).select("rows")
+    tables.write_serving(shipping_scores(spark, folder), path, partitions=1)
+    return tables.layout_totals(spark, path).select("rows", "row_groups", "files")
+
+
+def layout_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of each folder, each of which has whole actors, summed up from its files."""
+    path = scratch_path(spark, "serving")
+    tables.write_serving(shipping_scores(spark, folder), path, buckets=4)
+    report = tables.layout_report(spark, path)
+    parts = report.groupBy(F.regexp_extract("file", "=([0-9]+)/", 1).alias("bucket"))
+    return parts.agg(F.sum("rows").alias("n")).agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("buckets")
+    )
 
 
 def resolve_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,6 +134,15 @@ def resolve_scores(spark: SparkSession, folder: str) -> DataFrame:
     return serving.run_summary(tables.resolve_scores(spark, path))
 
 
+def resolve_serving(spark: SparkSession, folder: str) -> DataFrame:
+    """Both tables are there, with different rows: the clustered one is preferred."""
+    path = scratch_path(spark, "outputs")
+    scores = shipping_scores(spark, folder)
+    tables.write_table(scores, f"{path}/{tables.SCORE_TABLE}")
+    tables.write_serving(scores.where("severity <> 'Low'"), f"{path}/{tables.SERVING_TABLE}")
+    return serving.run_summary(tables.resolve_scores(spark, path))
+
+
 def serving_lookup(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "serving")
     tables.write_serving(shipping_scores(spark, folder), path)
@@ -492,7 +520,9 @@ QUERIES: dict[str, Query] = {
     "serving_lookup": serving_lookup,
     "serving_lookup_bucketed": serving_lookup_bucketed,
     "layout_totals": layout_totals,
+    "layout_buckets": layout_buckets,
     "resolve_scores": resolve_scores,
+    "resolve_serving": resolve_serving,
     "preview_csv": preview_csv,
     "iforest_vectors": iforest_vectors,
     "iforest_scores": iforest_scores,

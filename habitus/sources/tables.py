@@ -6,9 +6,12 @@ import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from habitus.config import DEFAULTS, PREVIEW_COLUMNS, Settings
 
@@ -42,9 +45,16 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, remedy: str = "run the step before") -> DataFrame:
+def read_table(
+    spark: SparkSession,
+    path: str,
+    remedy: str = "run the step before",
+    schema: StructType | None = None,
+) -> DataFrame:
+    """A stored table. A known ``schema`` saves the job that reads it from a footer."""
     with guard_missing(path, remedy):
-        return spark.read.parquet(path)
+        reader = spark.read.schema(schema) if schema is not None else spark.read
+        return reader.parquet(path)
 
 
 def _bucket(actor: Column, buckets: int) -> Column:
@@ -94,8 +104,14 @@ def write_serving(
     writer.parquet(path)
 
 
-def read_served(spark: SparkSession, path: str, settings: Settings = DEFAULTS) -> DataFrame:
-    return read_table(spark, path, "run the detection step").select(*settings.served_columns)
+def read_served(
+    spark: SparkSession,
+    path: str,
+    settings: Settings = DEFAULTS,
+    schema: StructType | None = None,
+) -> DataFrame:
+    table = read_table(spark, path, "run the detection step", schema)
+    return table.select(*settings.served_columns)
 
 
 def resolve_path(spark: SparkSession, folder: str) -> str:
@@ -122,9 +138,12 @@ def lookup(
     actor: str,
     settings: Settings = DEFAULTS,
     buckets: int | None = None,
+    schema: StructType | None = None,
 ) -> DataFrame:
     """All days of one actor; the equality is pushed into the Parquet scan.
 
+    A reader that keeps the table's ``schema`` (that of ``read_served``) is spared a job.
+
     With ``buckets``, as given to ``write_serving``, only the actor's folder is listed
     and read. Where that folder does not exist the whole table is searched.
     """
@@ -132,35 +151,49 @@ def lookup(
     if buckets:
         folder = f"{path}/{_BUCKET_PREFIX}{buckets}={_bucket_number(actor, buckets)}"
         try:
-            table = read_table(spark, folder)
+            table = read_table(spark, folder, schema=schema)
         except MissingSource:
             table = None
     if table is None:
-        table = read_table(spark, path, "run the detection step")
+        table = read_table(spark, path, "run the detection step", schema)
     return table.where(F.col(settings.actor) == F.lit(actor)).select(*settings.served_columns)
 
 
-def layout_report(
-    spark: SparkSession, path: str, settings: Settings = DEFAULTS
-) -> DataFrame:
-    """Rows, row groups and bytes per file; reads no data column."""
-    return (
-        read_table(spark, path, "write the serving layout")
-        .select(
-            F.col("_metadata.file_name").alias("file_name"),
-            F.col("_metadata.file_size").alias("bytes"),
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows and row groups of each file, from its own footer."""
+    for batch in batches:
+        found = [pq.ParquetFile(pa.py_buffer(c.as_buffer())).metadata for c in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                batch.column(1),
+                pa.array([m.num_rows for m in found], pa.int64()),
+                pa.array([m.num_row_groups for m in found], pa.int64()),
+            ],
+            names=["file", "bytes", "rows", "row_groups"],
         )
-        .groupBy("file_name", "bytes")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn(
-            "row_groups", F.ceil(F.col("rows") / F.lit(settings.row_group_rows)).cast("long")
+
+
+def layout_report(spark: SparkSession, path: str) -> DataFrame:
+    """Rows, row groups and bytes of each file (by its path), as they were written.
+
+    The footers are read by the tasks that get the files, whatever store they lie in.
+    """
+    with guard_missing(path, "write the serving layout"):
+        files = (
+            spark.read.format("binaryFile")
+            .option("pathGlobFilter", "*.parquet")
+            .option("recursiveFileLookup", True)
+            .load(path)
         )
+    return files.select("path", "length", "content").mapInArrow(
+        _footers, "file string, bytes long, rows long, row_groups long"
     )
 
 
-def layout_totals(spark: SparkSession, path: str, settings: Settings = DEFAULTS) -> DataFrame:
+def layout_totals(spark: SparkSession, path: str) -> DataFrame:
     """One row: rows, row groups, files and bytes of a clustered table."""
-    return layout_report(spark, path, settings).agg(
+    return layout_report(spark, path).agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum("row_groups"), F.lit(0)).alias("row_groups"),
         F.count(F.lit(1)).alias("files"),

@@ -105,7 +105,7 @@ def test_layout_is_lossless_clustered_and_prunable(spark, scores, tmp_path):
     assert all(a[1] <= b[0] for a, b in zip(sorted(ranges), sorted(ranges)[1:]))
     assert sum(low <= "U040" <= high for low, high in ranges) <= 2
 
-    totals = tables.layout_totals(spark, path, settings).first()
+    totals = tables.layout_totals(spark, path).first()
     assert (totals.rows, totals.files, totals.row_groups) == (80 * 61, 3, groups)
     found = tables.lookup(spark, path, "U040")
     assert found.count() == 61
@@ -116,6 +116,9 @@ def test_a_bucketed_lookup_reads_one_folder(spark, scores, tmp_path):
     path = str(tmp_path / "serving")
     tables.write_serving(scores, path, partitions=3, buckets=8)
     assert len(glob.glob(f"{path}/actor_bucket_of_8=*")) == 8
+    files = {f"file:{name}": pq.ParquetFile(name).metadata for name in glob.glob(f"{path}/*/*.parquet")}
+    report = {r.file: (r.rows, r.row_groups) for r in tables.layout_report(spark, path).collect()}
+    assert report == {name: (m.num_rows, m.num_row_groups) for name, m in files.items()}
     assert tables.read_served(spark, path).columns == list(SERVED_COLUMNS)
     assert tables.read_served(spark, path).count() == 80 * 61
     found = tables.lookup(spark, path, "U040", buckets=8)
