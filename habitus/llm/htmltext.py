@@ -2,8 +2,9 @@
 
 A page is read once from left to right into flat blocks: text between tags that break lines. For
 each block the tree sees its word count and link density, those of the block before and after
-it, and whether it lies in markup that names it content (article, main) or something else
-(menus, headers, footers, asides, forms; or classes, ids and roles that say so). The tree is
+it, whether it lies in markup that names it content (article, main; or beside such markup, or the
+page has none), and whether in markup that names it something else (menus, headers, footers,
+asides, forms; or classes, ids and roles that say so). The tree is
 grown by Gini impurity on the small labelled table ``LABELLED`` below.
 
 Text of the blocks found is decoded, its white space folded, and joined in page order.
@@ -31,7 +32,8 @@ FEATURES = (
     "content_markup", "other_markup",
 )
 
-#: Labelled blocks: the features in the order above, then 1 for main text.
+#: Labelled blocks: the features in the order above, then 1 for main text. Content markup is 1
+#: within it, -1 outside of it, and 0 on pages that have none.
 LABELLED = (
     # Menus, link lists and breadcrumbs.
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0),
@@ -47,6 +49,10 @@ LABELLED = (
     (30, 0.0, 50, 0.0, 0, 0.0, 0, 1, 0), (7, 0.2, 40, 0.0, 0, 0.0, 0, 0, 0),
     (60, 0.0, 50, 0.0, 45, 0.0, 0, 1, 0), (25, 0.0, 3, 0.0, 20, 0.0, 1, 1, 0),
     (2, 0.0, 60, 0.0, 25, 0.0, 1, 1, 0), (4, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0),
+    # Text beside the article of a page.
+    (40, 0.0, 6, 0.0, 50, 0.0, -1, 0, 0), (90, 0.1, 40, 0.0, 35, 0.0, -1, 0, 0),
+    (25, 0.0, 2, 1.0, 45, 0.0, -1, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, -1, 0, 0),
+    (150, 0.02, 9, 0.0, 12, 0.0, -1, 0, 0), (18, 0.0, 30, 0.0, 28, 0.0, -1, 0, 0),
     # Headings and paragraphs of articles, short ones and ones with links among them.
     (7, 0.0, 8, 0.0, 40, 0.0, 1, 0, 1), (1, 0.0, 30, 0.0, 44, 0.0, 1, 0, 1),
     (2, 0.0, 9, 0.0, 0, 0.0, 1, 0, 1), (9, 0.0, 1, 1.0, 80, 0.0, 1, 0, 1),
@@ -191,6 +197,8 @@ def features(found: list[tuple[str, float, int, int]]) -> np.ndarray:
     own = np.array([(len(t.split()), d) for t, d, _, _ in found], float).reshape(-1, 2)
     edge = np.zeros((1, 2))
     markup = np.array([(c, o) for _, _, c, o in found], float).reshape(-1, 2)
+    if markup[:, 0].any():
+        markup[markup[:, 0] == 0, 0] = -1
     return np.hstack([own, np.vstack([edge, own])[:-1], np.vstack([own, edge])[1:], markup])
 
 
