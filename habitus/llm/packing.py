@@ -12,14 +12,16 @@ is; very long texts are encoded whole; columns other than the two used are not l
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from habitus.llm.store import empty_text, in_order, part_offsets
+from habitus.llm.store import empty_text, store
 from habitus.llm.vocab import END_ID, encoder, filled, slices
 
 FULL = 2048
@@ -33,36 +35,41 @@ def lengths(n: int, full: int = FULL) -> list[int]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, full: int = FULL, ids: bool = False) -> DataFrame:
-    """(doc_id, doc_tokens, start, length, ids_crc32[, ids]) for each piece of each document.
+    """(doc_id, doc_tokens, start, length, ids_crc32, part, place[, ids]) for each piece.
 
     ``tokenizer``: path of the vocabulary file, the same on every machine. ``full``: a power of
-    two. ``ids``: also return the piece's ids, for writers of training files.
+    two. ``ids``: also return the piece's ids, for writers of training files. ``part`` is the
+    task's partition and ``place`` the number of pieces of this length before it in the task.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode, part_, seen = encoder(tokenizer), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             names = batch.column(0)
             for first, texts in slices(filled(batch.column(1))):
                 flat, at = encode(texts)
-                rows: list[list] = [[], [], [], [], [], []]
+                rows: list[list] = [[], [], [], [], [], [], []]
                 for k in range(len(texts)):
                     own = np.append(flat[at[k] : at[k + 1]], END_ID).astype("<u4")
                     start = 0
                     for length in lengths(len(own), full):
                         part = own[start : start + length]
-                        row = (first + k, len(own), start, length, zlib.crc32(part.tobytes()), part)
+                        row = (first + k, len(own), start, length, zlib.crc32(part.tobytes()), seen[length], part)
                         for column, value in zip(rows, row, strict=True):
                             column.append(value)
                         start += length
+                        seen[length] += 1
                 columns = [names.take(pa.array(rows[0], pa.int64()))]
-                columns += [pa.array(c, pa.int64()) for c in rows[1:5]]
+                columns += [pa.array(c, pa.int64()) for c in rows[1:6]]
+                columns.append(pa.array([part_] * len(rows[0]), pa.int32()))
                 if ids:
-                    columns.append(pa.array([p.astype(np.int32) for p in rows[5]], pa.list_(pa.int32())))
+                    ends = np.concatenate([[0], np.cumsum(rows[3])]).astype(np.int32)
+                    values = np.concatenate([*rows[6], np.empty(0, "<u4")]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
                 yield pa.RecordBatch.from_arrays(columns, names=out)
 
-    out = ["doc_id", "doc_tokens", "start", "length", "ids_crc32"] + ["ids"] * ids
-    schema = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long"
+    out = ["doc_id", "doc_tokens", "start", "length", "ids_crc32", "place", "part"] + ["ids"] * ids
+    schema = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, place long, part int"
     return docs.select(F.col("doc_id").cast("long"), empty_text()).mapInArrow(
         cut, schema + ", ids array<int>" * ids
     )
@@ -71,15 +78,22 @@ def pieces(docs: DataFrame, tokenizer: str, full: int = FULL, ids: bool = False)
 def pack(docs: DataFrame, tokenizer: str, full: int = FULL, ids: bool = False) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``.
 
-    Sequences are numbered without gaps, bucket after bucket from the shortest on, and by
-    document within a bucket. Only the narrow piece rows are sorted, never the texts.
+    Sequences are numbered without gaps, bucket after bucket from the shortest on, and within a
+    bucket as the documents lie in the table. Tasks count the pieces of each length as they
+    write them; the counts of all tasks (a row for each task and length) give each its first
+    number. Nothing is sorted or shuffled.
     """
-    order = ["length", "doc_id", "start", "ids_crc32"]
-    placed = in_order(pieces(docs, tokenizer, full, ids), order, "pieces")
-    numbered = placed.join(part_offsets(placed, F.lit(1)), "_part")
-    return numbered.select(
+    spark = docs.sparkSession
+    placed = store(pieces(docs, tokenizer, full, ids), "pieces")
+    counts = placed.groupBy("length", "part").count().collect()
+    base, first = 0, []
+    for row in sorted(counts):
+        first.append((row["length"], row["part"], base))
+        base += row["count"]
+    numbers = spark.createDataFrame(first, "length long, part int, first long")
+    return placed.join(F.broadcast(numbers), ["length", "part"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        (F.col("_base") + F.col("_at")).alias("sequence_id"),
+        (F.col("first") + F.col("place")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
         *["ids"] * ids,
     )

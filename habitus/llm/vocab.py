@@ -11,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps between batches; further words are encoded when they come.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 #: Texts are encoded in slices of about so many bytes.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 4_000_000
 
 END_ID = 1
 _LAST_STOP = r"([a-z])([.,])(\s|$)"
@@ -89,6 +89,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         stop = max(start + 1, int(np.searchsorted(sizes, before + limit, "right")))
         yield start, texts.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def filled(texts: pa.Array) -> pa.Array:
