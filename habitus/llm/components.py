@@ -36,13 +36,15 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         around = now.select(F.col("high").alias("u"), F.col("low").alias("v")).unionByName(
             now.select(F.col("low").alias("u"), F.col("high").alias("v"))
         )
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select(
-            "u", F.least("u", "m").alias("m")
-        )
+        least = around.groupBy("u").agg(F.min("v").alias("m"))
+        # Stored, so that the join below has plain inputs: only those are split where skewed.
+        least = store(least.select("u", F.least("u", "m").alias("m")), name)
         large = (
             around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+            .distinct()
+        )
+        large = store(large, name)
+        low = store(large.groupBy("u").agg(F.min("v").alias("m")), name)
         joined = large.join(low, "u")
         rounds = (
             joined.where("v <> m").select(F.col("v").alias("high"), F.col("m").alias("low"))

@@ -277,7 +277,9 @@ def near_duplicates(docs: DataFrame, length: int = 3, most: int = BITS) -> DataF
     is named by the smallest doc_id that is reachable.
     """
     rows = store(fingerprints(docs, length), "prints")
-    near = links(rows.select("bits").distinct(), most)
+    # Each fingerprint makes some 150 keys: deal them to all tasks, however few bytes they are.
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = links(rows.select("bits").distinct().repartition(width), most)
     known = rows.where("doc_id IS NOT NULL")
     several = known.groupBy("doc_id").agg(F.min("bits").alias("a"), F.max("bits").alias("z"))
     several = small(store(several.where("a <> z").select("doc_id", "a"), "several"))
@@ -289,7 +291,8 @@ def near_duplicates(docs: DataFrame, length: int = 3, most: int = BITS) -> DataF
         .join(own, "bits", "left")
         .withColumn("class", F.coalesce("root", "bits"))
     )
-    named = least.groupBy("class").agg(F.min("least").alias("component_id"))
+    # Stored, so that the joins have plain inputs and a class with very many rows is split.
+    named = store(least.groupBy("class").agg(F.min("least").alias("component_id")), "named")
     # A class for each fingerprint: the ones without links are classes of their own.
     lone = rows.join(own, "bits", "left").withColumn("class", F.coalesce("root", "bits"))
     return lone.join(named, "class", "left").select(
