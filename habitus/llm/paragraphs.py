@@ -1,18 +1,21 @@
 """Substring deduplication by paragraph MinHash banding.
 
-Paragraphs are the lines of a text and, within longer lines, the pieces between content-defined
-cuts: a line is cut before a word whose three-word hash is the smallest within ``REACH`` words on
-either side. Such cuts depend on nearby words only, so a passage that is repeated in other
-surroundings is cut alike, and one of over fifty words has whole pieces in common.
+Paragraphs are the lines of a text, and pieces of ``PIECE`` words from content-defined places on: a
+piece begins at a word whose three-word hash is the smallest within ``REACH`` words on either
+side. Such places depend on nearby words only, so a passage that is repeated in other surroundings
+has the same pieces, wherever its lines are broken.
 
 Each line of at least ``LEAST`` words is a set of five-word shingles. Its MinHash signature is cut
 into bands, as many as give ``RECALL`` at the similarity ``SIMILARITY`` (``bands_for``). Lines that
 share a band are joined; the exact Jaccard similarity of their shingles must reach
-``SIMILARITY``; components of the verified links are the classes, and of each class the first
-occurrence (by doc_id, then place) stays and all others are removals. A piece of a line is
-linked where all of its words are equal, the case of one band of the whole signature: what is
-only alike is found through the lines. So an edited line is a removal if it is 0.8 alike as a
-whole, and else its untouched pieces are.
+``SIMILARITY``; components of the verified links are the classes. A piece is linked where all of
+its words are equal, the case of one band of the whole signature: what is only alike is found
+through the lines. So an edited line is repeated if it is 0.8 alike as a whole, and else its
+untouched pieces are.
+
+In each document, paragraphs that are repeated and touch or overlap form a run. Runs of fewer than
+``RUN_WORDS`` words are left alone: a stock phrase is no passage. Of each class the first
+occurrence left (by doc_id, then place) stays and all others are removals.
 
 Texts are read twice, once for all paragraphs in narrow rows and once for the shingles of the
 lines that share a band with another. Contents are pre-aggregated, so that a passage in a third
@@ -20,7 +23,7 @@ of all documents is one row where it is compared. Contents that share a band are
 groups of at most two times ``BLOCK``: a band with more is dealt to one group for each pair of its
 blocks. Only links that join two trees leave a group.
 
-Cases: null and blank texts, and paragraphs of fewer than ``LEAST`` words, never appear; a paragraph that a document repeats is removed from its second occurrence on;
+Cases: null and blank texts, and lines of fewer than ``LEAST`` words, never appear; a paragraph that a document repeats is removed from its second occurrence on;
 repeated rows of one doc_id are occurrences at the same place, and share one fate; rows with a null doc_id come last in the choice of what stays; empty tables give no rows;
 columns other than doc_id and text are not looked at.
 """
@@ -32,7 +35,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from habitus.llm.bloom import bloom, maybe, sifted
@@ -44,10 +47,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.98
 ROWS = 2
-#: Words of the shortest paragraph.
+#: Words of the shortest line that is compared.
 LEAST = 8
-#: Least distance of cuts.
-REACH = 6
+#: Least distance of the beginnings of pieces, and the words of each.
+REACH, PIECE = 3, 16
+#: Words of the shortest run of repeated paragraphs that counts.
+RUN_WORDS = 25
 #: Contents compared at once.
 BLOCK = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -71,48 +76,43 @@ def _joined(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def _cuts(line: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether a piece begins at each word; ``line``: the number of the line of each word."""
+def _begins(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Words at which pieces begin; ``text``: the number of the text of each word."""
     n = len(hashes)
-    first = np.ones(n, bool)
-    first[1:] = line[1:] != line[:-1]
     if n < 2 * REACH + 1:
-        return first
+        return np.empty(0, np.int64)
     key = _joined(hashes, 3)
-    edge = np.full(REACH, np.iinfo(np.uint64).max)
-    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, key, edge]), 2 * REACH + 1)
-    least = np.empty(n, bool)
-    for k in range(0, n, 1 << 18):
+    around = np.lib.stride_tricks.sliding_window_view(key, 2 * REACH + 1)
+    found = []
+    for k in range(0, len(around), 1 << 18):
         window = around[k : k + (1 << 18)]
-        least[k : k + (1 << 18)] = (window.min(1) == window[:, REACH]) & (window[:, :REACH].min(1) != window[:, REACH])
-    # A cut needs its surroundings within the line.
-    inside = np.zeros(n, bool)
-    inside[REACH : n - REACH] = line[: n - 2 * REACH] == line[2 * REACH :]
-    return first | (least & inside)
+        middle = window[:, REACH]
+        least = (window[:, :REACH].min(1) > middle) & (window[:, REACH + 1 :].min(1) >= middle)
+        found.append(np.flatnonzero(least) + k + REACH)
+    at = np.concatenate(found)
+    at = at[at + PIECE <= n]
+    # The surroundings and the piece lie within the text.
+    return at[(text[at - REACH] == text[at + REACH]) & (text[at] == text[at + PIECE - 1])]
 
 
 def _paragraphs(words) -> tuple[np.ndarray, ...]:
-    """(text, first word, end word, whole line) of all paragraphs with enough words."""
+    """(text, first word, end word, whole line) of all lines with enough words, and all pieces."""
     n = len(words.start)
     if not n:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)
     breaks = np.flatnonzero(words.data == 10)
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     line = np.searchsorted(breaks, words.start) + text
-    begins = np.ones(n, bool)
-    begins[1:] = line[1:] != line[:-1]
-    lines = np.flatnonzero(begins)
+    starts = np.ones(n, bool)
+    starts[1:] = line[1:] != line[:-1]
+    lines = np.flatnonzero(starts)
     ends = np.append(lines[1:], n)
-    pieces = np.flatnonzero(_cuts(line, words.hash))
-    stops = np.append(pieces[1:], n)
-    own = np.zeros(n + 1, np.int64)
-    own[lines] = ends
-    part = own[pieces] != stops  # a line without a cut is no piece of itself
-    first = np.concatenate([lines, pieces[part]])
-    end = np.concatenate([ends, stops[part]])
-    whole = np.arange(len(first)) < len(lines)
-    use = end - first >= LEAST
-    return text[first[use]], first[use], end[use], whole[use]
+    enough = ends - lines >= LEAST
+    lines, ends = lines[enough], ends[enough]
+    pieces = _begins(text, words.hash)
+    first = np.concatenate([lines, pieces])
+    end = np.concatenate([ends, pieces + PIECE])
+    return text[first], first, end, np.arange(len(first)) < len(lines)
 
 
 def _contents(words, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -351,12 +351,32 @@ def near_lines(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY
     return _verified(dealt.join(store(sets, "shingles"), "content"), similarity)
 
 
-def duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _in_runs(rows: DataFrame, least: int) -> DataFrame:
+    """Repeated paragraphs of runs of at least ``least`` words.
+
+    A document's paragraphs are put in order by themselves. Without a doc_id they cannot be told
+    apart by document, and count each for itself.
+    """
+    end = F.col("start") + F.col("words")
+    before = Window.partitionBy("doc_id").orderBy("start", "words").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc_id").orderBy("start", "words").rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.coalesce(F.col("start") > F.max(end).over(before), F.lit(True))
+    known = rows.where("doc_id IS NOT NULL").withColumn("_begins", F.when(begins, F.col("start")))
+    known = known.withColumn("_run", F.max("_begins").over(upto))
+    run = Window.partitionBy("doc_id", "_run")
+    known = known.withColumn("_words", F.max(end).over(run) - F.col("_run"))
+    return known.where(F.col("_words") >= least).select(*rows.columns).unionByName(
+        rows.where(F.col("doc_id").isNull() & (F.col("words") >= least))
+    )
+
+
+def duplicates(docs: DataFrame, similarity: float = SIMILARITY, run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, start, words, line, class_doc_id, class_start, removed) of every paragraph that
     occurs more than once, near copies included.
 
     ``start``, ``words``: its place in words (letters and digits); ``line``: a whole line, else a
-    piece of one; the class is named by the occurrence that stays; ``removed``: all others.
+    piece; the class is named by the occurrence that stays; ``removed``: all others. Paragraphs of
+    one document may overlap.
     """
     found = store(occurrences(docs), "paragraphs")
     again = found.groupBy("content").count().where("count > 1").select("content")
@@ -368,12 +388,13 @@ def duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
     named = store(named, "named")
     rows = sifted(found.drop("bands"), "content", bloom(named, "content")).join(named, "content")
-    rows = store(rows.drop("content"), "members")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "start", "words"))
-    kept = rows.groupBy("class").agg(first.alias("first"))
-    stays = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "start", "words")
+    rows = store(_in_runs(rows.drop("content"), run_words), "members")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "start", "words")
+    kept = rows.groupBy("class").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    # Stored, so that the join has plain inputs and a class with very many rows is split.
+    kept = small(store(kept.where("n > 1").select("class", "first"), "kept"))
     return rows.join(kept, "class").select(
         "doc_id", "start", F.col("words").cast("long").alias("words"), F.col("whole").alias("line"),
         F.col("first.doc_id").alias("class_doc_id"), F.col("first.start").alias("class_start"),
-        (~stays.eqNullSafe(F.col("first"))).alias("removed"),
+        (~place.eqNullSafe(F.col("first"))).alias("removed"),
     )

@@ -59,7 +59,7 @@ def case(words):
 @pytest.mark.parametrize("block", [paragraphs.BLOCK, 3])
 def test_line_classes_equal_those_of_all_pairs(make_docs, case, monkeypatch, block):
     monkeypatch.setattr(paragraphs, "BLOCK", block)
-    rows = paragraphs.duplicates(make_docs(case)).where("line").collect()
+    rows = paragraphs.duplicates(make_docs(case), run_words=1).where("line").collect()
     got = {}
     for r in rows:
         got.setdefault((r.class_doc_id, r.class_start), set()).add((r.doc_id, r.start))
@@ -79,6 +79,7 @@ def test_passages_in_other_surroundings(make_docs, case):
         assert own and all(33 <= r.start and r.start + r.words <= 33 + 70 for r in own)
         assert all(20 <= r.class_doc_id <= 20 + k for r in own)
         assert any(r.class_doc_id == 20 and r.removed == (k > 0) for r in own)
+        assert max(r.start + r.words for r in own) - min(r.start for r in own) >= 45
     assert not {r.doc_id for r in rows} & {*range(8), 63, 64, 65, 66}
     one = {(r.class_doc_id, r.class_start): 0 for r in rows}
     for r in rows:
@@ -91,15 +92,33 @@ def test_no_documents(make_docs):
     assert paragraphs.duplicates(make_docs([None, "", "a b"])).count() == 0
 
 
-def test_cuts_depend_on_nearby_words_only(words):
+def test_pieces_depend_on_nearby_words_only(words):
     passage = words(5, 200)
     texts = [passage, words(6, 31) + " " + passage + " " + words(7, 9)]
     found = []
     for text, shift in zip(texts, (0, 31), strict=True):
         w = Words(pa.array([text]), plain=True)
-        cuts = np.flatnonzero(paragraphs._cuts(np.zeros(len(w.start), int), w.hash)) - shift
-        found.append({c for c in cuts if 10 <= c < 185})
-    assert found[0] == found[1] and len(found[0]) > 8
+        cuts = paragraphs._begins(np.zeros(len(w.start), int), w.hash) - shift
+        found.append({c for c in cuts.tolist() if 5 <= c < 185})
+    assert found[0] == found[1] and len(found[0]) > 12
+
+
+def test_passages_of_fifty_words_are_found(make_docs, words):
+    """Each in two documents, amid other words and broken into other lines."""
+    docs = []
+    for k in range(150):
+        passage = words(50_000 + k, 51).split()
+        for j in range(2):
+            own = words(60_000 + 2 * k + j, 20).split() + passage + words(70_000 + 2 * k + j, 20).split()
+            own[30 + 9 * j] += "\n"
+            docs.append((2 * k + j, " ".join(own)))
+    docs += [(1000 + k, words(80_000 + k, 90)) for k in range(150)]
+    docs += [(2000 + k, words(85_000 + k, 40) + "\n" + words(3, 15)) for k in range(50)]
+    rows = paragraphs.duplicates(make_docs(docs)).collect()
+    found = {r.doc_id for r in rows}
+    assert len(found & set(range(300))) >= 296
+    assert not [d for d in found if d >= 1000]
+    assert {r.doc_id for r in rows if r.removed} <= {d for d in range(300) if d % 2}
 
 
 def test_bands_reach_the_recall():
