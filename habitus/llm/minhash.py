@@ -87,8 +87,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(empty_a & empty_b, 1.0).when(empty_a | empty_b, 0.0).otherwise(corrected)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text, next row's columns by window): see ``compared``.
+def _ranged(docs: DataFrame) -> DataFrame:
+    """(range, guest, doc_id, text): the rows such that each one's successor is in its range.
 
     Rows in the order of doc_id, nulls first, then text; after the last comes the first. Rows are
     dealt to ranges of doc_id whose bounds are approximate quantiles, several for each shuffle
@@ -136,7 +136,7 @@ def compared(docs: DataFrame) -> DataFrame:
     many first code points of the next row's text, or by all of it.
     """
     order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
-    rows = with_next(docs).withColumn("next_text", F.lead("text").over(order))
+    rows = _ranged(docs).withColumn("next_text", F.lead("text").over(order))
     rows = with_codes(rows, "text", "codes").withColumn("next_codes", F.lead("codes").over(order))
     rows = rows.where("NOT guest")
     half = F.floor(F.length("text") / 2).cast("int")

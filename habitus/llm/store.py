@@ -57,28 +57,10 @@ def one_row_per_id(df: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def in_order(df: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
-    """``df`` stored in ranges of ``order``, each row with its range and place in it.
-
-    Adds ``_part`` (ascending with the order) and ``_at`` (from 0). Range bounds are drawn
-    anew by each job, so the numbers are only fixed by being written.
-    """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in order])
-    sorted_rows = sorted_rows.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
-    placed = sorted_rows.select(
-        "*",
-        F.spark_partition_id().alias("_part"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"),
-    )
-    return store(placed, name)
-
-
 def part_offsets(df: DataFrame, amount: Column) -> DataFrame:
-    """(_part, _base): sum of ``amount`` over all earlier ranges; a row per range, broadcast.
+    """(_part, _base): sum of ``amount`` over all rows of an earlier ``_part``, broadcast.
 
-    The number of ranges is the shuffle width, whatever the number of rows.
+    A row for each part; parts are the tasks that wrote ``df``, whatever its number of rows.
     """
     spark = df.sparkSession
     totals = df.groupBy("_part").agg(F.sum(amount).alias("total")).collect()
