@@ -67,22 +67,25 @@ class Linear:
         return _sigmoid(total)
 
 
-def _fit(row: np.ndarray, word: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Linear:
-    """A ridge logistic model over the words that stand out among the positive rows."""
+def _fit(row: np.ndarray, code: np.ndarray, names: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Linear:
+    """A ridge logistic model over the words that stand out among the positive rows.
+
+    ``row``, ``code``: distinct words of each row, as places in ``names``.
+    """
     n, chained = len(y), earlier.shape[1]
     if not y.any():
         return Linear(np.empty(0, np.uint64), np.empty(0), np.zeros(chained), -30.0)
-    names, code = np.unique(word, return_inverse=True)
     among = np.bincount(code, y[row], len(names))
     seen = np.bincount(code, minlength=len(names))
     rate = y.mean()
     excess = (among - rate * seen) / np.sqrt(rate * (1 - rate) * seen + 1e-9)
     chosen = np.flatnonzero((excess >= EXCESS) & (among >= 2))
     chosen = np.sort(chosen[np.lexsort((names[chosen], -excess[chosen]))][:FEATURES])
-    place = np.full(len(names), -1)
+    place = np.full(len(names), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    use = place[code] >= 0
-    rows, columns = row[use], place[code[use]]
+    columns = place[code]
+    use = columns >= 0
+    rows, columns = row[use], columns[use]
     weights, links, bias = np.zeros(len(chosen)), np.zeros(chained), float(np.log(rate / (1.000001 - rate)))
     for _ in range(_STEPS):  # damped Newton steps on the diagonal
         p = _sigmoid(bias + earlier @ links + np.bincount(rows, weights[columns], n))
@@ -106,21 +109,23 @@ def fit_chain(
     ``row``, ``word``: distinct words of each row; ``targets``: 0 or 1 by row and category;
     ``fold``: fold of each row.
     """
+    names, code, count = np.unique(word, return_inverse=True, return_counts=True)
+    often = count[code] >= 2  # no model uses a word of a single row
+    row, code = row[often].astype(np.int32), code[often].astype(np.int32)
     apart = np.zeros(targets.shape)
     chain = []
     for k in range(targets.shape[1]):
         earlier, y = apart[:, :k], targets[:, k].astype(float)
         for f in range(FOLDS):
             inside, held = fold != f, np.flatnonzero(fold == f)
-            index = np.cumsum(inside) - 1
+            if not inside.any() or not len(held):
+                continue
             use = inside[row]
-            model = _fit(index[row[use]], word[use], earlier[inside], y[inside]) if inside.any() else None
-            if model is not None and len(held):
-                place = np.full(len(y), -1)
-                place[held] = np.arange(len(held))
-                out = place[row] >= 0
-                apart[held, k] = model.of(place[row[out]], word[out], earlier[held])
-        chain.append(_fit(row, word, earlier, y))
+            index = (np.cumsum(inside) - 1).astype(np.int32)
+            model = _fit(index[row[use]], code[use], names, earlier[inside], y[inside])
+            place = np.cumsum(~inside) - 1
+            apart[held, k] = model.of(place[row[~use]], names[code[~use]], earlier[held])
+        chain.append(_fit(row, code, names, earlier, y))
     return chain, apart
 
 
@@ -186,10 +191,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Line
     lists = table["words"].combine_chunks() if len(table) else pa.array([], pa.list_(pa.int64()))
     lists = lists.take(pa.array(order))
     sizes = np.diff(lists.offsets.to_numpy())
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     word = lists.flatten().to_numpy().view(np.uint64)
-    targets = np.stack([toxic & english, toxic & ~english, toxic], 1)
     fold = mixed(table["doc_id"].to_numpy()[order].view(np.uint64)) % np.uint64(FOLDS)
+    del table, lists
+    targets = np.stack([toxic & english, toxic & ~english, toxic], 1)
     return fit_chain(row, word, targets, fold.astype(int))[0]
 
 
