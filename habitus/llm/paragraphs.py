@@ -14,8 +14,11 @@ through the lines. So an edited line is repeated if it is 0.8 alike as a whole,
 untouched pieces are.
 
 In each document, paragraphs that are repeated and touch or overlap form a run. Runs of fewer than
-``RUN_WORDS`` words are left alone: a stock phrase is no passage. Of each class the first
-occurrence left (by doc_id, then place) stays and all others are removals.
+``RUN_WORDS`` words are left alone: a stock phrase is no passage. With ``lines`` this holds for
+pieces only: every repeated line of at least so many words is returned, in a run or not, so that
+``lines=1`` returns all, and with them whole documents of one short line. Lines of fewer than
+``SHINGLE`` words are repeated only where they are equal. Of each class the first occurrence left
+(by doc_id, then place) stays and all others are removals.
 
 Texts are read twice, once for all paragraphs in narrow rows and once for the shingles of the
 lines that share a band with another. Contents are pre-aggregated, so that a passage in a third
@@ -23,7 +26,7 @@ of all documents is one row where it is compared. Contents that share a band are
 groups of at most two times ``BLOCK``: a band with more is dealt to one group for each pair of its
 blocks. Only links that join two trees leave a group.
 
-Cases: null and blank texts, and lines of fewer than ``LEAST`` words, never appear; a paragraph that a document repeats is removed from its second occurrence on;
+Cases: null and blank texts never appear, nor do lines of fewer than ``LEAST`` words (or ``lines``); a paragraph that a document repeats is removed from its second occurrence on;
 repeated rows of one doc_id are occurrences at the same place, and share one fate; rows with a null doc_id come last in the choice of what stays; empty tables give no rows;
 columns other than doc_id and text are not looked at.
 """
@@ -47,7 +50,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.98
 ROWS = 2
-#: Words of the shortest line that is compared.
+#: Words of the shortest line that is compared, unless ``lines`` tells.
 LEAST = 8
 #: Least distance of the beginnings of pieces, and the words of each.
 REACH, PIECE = 3, 16
@@ -95,8 +98,8 @@ def _begins(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return at[(text[at - REACH] == text[at + REACH]) & (text[at] == text[at + PIECE - 1])]
 
 
-def _paragraphs(words) -> tuple[np.ndarray, ...]:
-    """(text, first word, end word, whole line) of all lines with enough words, and all pieces."""
+def _paragraphs(words, least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """(text, first word, end word, whole line) of all lines of ``least`` words, and all pieces."""
     n = len(words.start)
     if not n:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)
@@ -107,7 +110,7 @@ def _paragraphs(words) -> tuple[np.ndarray, ...]:
     starts[1:] = line[1:] != line[:-1]
     lines = np.flatnonzero(starts)
     ends = np.append(lines[1:], n)
-    enough = ends - lines >= LEAST
+    enough = ends - lines >= least
     lines, ends = lines[enough], ends[enough]
     pieces = _begins(text, words.hash)
     first = np.concatenate([lines, pieces])
@@ -151,26 +154,28 @@ def _once(content: np.ndarray) -> np.ndarray:
     return np.sort(np.unique(content, return_index=True)[1])
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(content, doc_id, start, words, whole, bands): all paragraphs of all rows.
 
-    ``content``: hash of the words; ``start``: first word; ``bands``: band keys of a line, only at
-    its first occurrence among the rows that a task reads together.
+    ``content``: hash of the words; ``start``: first word; ``bands``: band keys of a line that has
+    shingles, only at its first occurrence among the rows that a task reads together.
     """
     many = bands_for()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, _, words in words_of(batch.column(1), plain=True):
-                text, first, end, whole = _paragraphs(words)
+                text, first, end, whole = _paragraphs(words, least)
                 if not len(first):
                     continue
                 content = _contents(words, first, end)
                 count = np.zeros(len(first), np.int64)
-                new = np.flatnonzero(whole)
+                new = np.flatnonzero(whole & (end - first >= SHINGLE))
                 new = new[_once(content[new])]
                 count[new] = many
-                keys = _bands(first[new], end[new], _joined(words.hash, SHINGLE), many)
+                keys = np.empty((0, many), np.uint64)
+                if len(new):
+                    keys = _bands(first[new], end[new], _joined(words.hash, SHINGLE), many)
                 ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -228,13 +233,14 @@ def _shared(banded: DataFrame) -> DataFrame:
     return ranked.mapInArrow(run, "key long, content long, place long")
 
 
-def _shingles(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def _shingles(docs: DataFrame, bits: np.ndarray, least: int = LEAST) -> DataFrame:
     """(content, shingles): sorted distinct shingles of the lines that pass a filter of contents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, words in words_of(batch.column(0), plain=True):
-                text, first, end, whole = _paragraphs(words)
+                text, first, end, whole = _paragraphs(words, least)
+                whole &= end - first >= SHINGLE
                 if not whole.any():
                     continue
                 first, end = first[whole], end[whole]
@@ -333,7 +339,9 @@ def _verified(groups: DataFrame, similarity: float) -> DataFrame:
     return ranked.select(*order, "content", "shingles").mapInArrow(run, "a long, b long")
 
 
-def near_lines(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_lines(
+    docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY, least: int = LEAST
+) -> DataFrame:
     """(a, b): verified links between contents of the lines among ``found`` occurrences."""
     banded = found.where("size(bands) > 0").select(F.explode("bands").alias("key"), "content")
     shared = store(_shared(banded), "shared")
@@ -346,13 +354,13 @@ def near_lines(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY
         .select("key", "content", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     )
     wanted = shared.select("content").distinct()
-    sets = _shingles(docs, bloom(wanted, "content"))
+    sets = _shingles(docs, bloom(wanted, "content"), least)
     sets = sets.join(wanted, "content", "left_semi").dropDuplicates(["content"])
     return _verified(dealt.join(store(sets, "shingles"), "content"), similarity)
 
 
-def _in_runs(rows: DataFrame, least: int) -> DataFrame:
-    """Repeated paragraphs of runs of at least ``least`` words.
+def _in_runs(rows: DataFrame, least: int, lines: bool = False) -> DataFrame:
+    """Repeated paragraphs of runs of at least ``least`` words; with ``lines``, all whole lines too.
 
     A document's paragraphs are put in order by themselves. Without a doc_id they cannot be told
     apart by document, and count each for itself.
@@ -365,22 +373,27 @@ def _in_runs(rows: DataFrame, least: int) -> DataFrame:
     known = known.withColumn("_run", F.max("_begins").over(upto))
     run = Window.partitionBy("doc_id", "_run")
     known = known.withColumn("_words", F.max(end).over(run) - F.col("_run"))
-    return known.where(F.col("_words") >= least).select(*rows.columns).unionByName(
-        rows.where(F.col("doc_id").isNull() & (F.col("words") >= least))
+    line = F.lit(lines) & F.col("whole")
+    return known.where(line | (F.col("_words") >= least)).select(*rows.columns).unionByName(
+        rows.where(F.col("doc_id").isNull() & (line | (F.col("words") >= least)))
     )
 
 
-def duplicates(docs: DataFrame, similarity: float = SIMILARITY, run_words: int = RUN_WORDS) -> DataFrame:
+def duplicates(
+    docs: DataFrame, similarity: float = SIMILARITY, run_words: int = RUN_WORDS, lines: int | None = None
+) -> DataFrame:
     """(doc_id, start, words, line, class_doc_id, class_start, removed) of every paragraph that
     occurs more than once, near copies included.
 
     ``start``, ``words``: its place in words (letters and digits); ``line``: a whole line, else a
     piece; the class is named by the occurrence that stays; ``removed``: all others. Paragraphs of
-    one document may overlap.
+    one document may overlap. ``lines``: words from which a repeated whole line is returned
+    whatever the run it is in; None holds lines to ``run_words`` as well.
     """
-    found = store(occurrences(docs), "paragraphs")
+    least = LEAST if lines is None else lines
+    found = store(occurrences(docs, least), "paragraphs")
     again = found.groupBy("content").count().where("count > 1").select("content")
-    classes = store(components(near_lines(docs, found, similarity), "alike"), "classes")
+    classes = store(components(near_lines(docs, found, similarity, least), "alike"), "classes")
     named = (
         again.withColumn("root", F.lit(None).cast("long"))
         .unionByName(classes.withColumnRenamed("node", "content"))
@@ -388,7 +401,7 @@ def duplicates(docs: DataFrame, similarity: float = SIMILARITY, run_words: int =
     )
     named = store(named, "named")
     rows = sifted(found.drop("bands"), "content", bloom(named, "content")).join(named, "content")
-    rows = store(_in_runs(rows.drop("content"), run_words), "members")
+    rows = store(_in_runs(rows.drop("content"), run_words, lines is not None), "members")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "start", "words")
     kept = rows.groupBy("class").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     # Stored, so that the join has plain inputs and a class with very many rows is split.

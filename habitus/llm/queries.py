@@ -101,7 +101,7 @@ def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return paragraphs.duplicates(table(spark, folder, "documents"))
+    return paragraphs.duplicates(table(spark, folder, "documents"), lines=1)
 
 
 def op6_repair(spark: SparkSession, folder: str) -> DataFrame:

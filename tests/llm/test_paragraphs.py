@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from habitus.llm import bloom, paragraphs
+from habitus.llm.queries import QUERIES
 from habitus.llm.words import Words
 
 
@@ -87,6 +88,22 @@ def test_passages_in_other_surroundings(make_docs, case):
     assert min(one.values()) >= 1
 
 
+def test_every_repeated_line_is_returned(spark, make_docs, words, tmp_path):
+    """Lines of 2 to 24 words between other text, near copies, and whole documents of one line."""
+    docs = []
+    for k, n in enumerate((2, 4, 5, 7, 8, 12, 20, 24)):
+        docs += [(10 * k + j, f"{words(100 + 10 * k + j, 30)}\n{words(k, n)}\n{words(300 + 10 * k + j, 30)}") for j in range(2)]
+    docs += [(200, words(9, 9)), (201, words(9, 9).upper()), (202, words(8, 3)), (203, words(8, 3)), (None, words(8, 3))]
+    near = words(77, 24)
+    docs += [(210, f"{words(500, 30)}\n{near}"), (211, f"{words(501, 30)}\n{near.rsplit(' ', 1)[0]} edited")]
+    make_docs(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op5_paragraphs"](spark, str(tmp_path)).where("line").collect()
+    got = {(r.doc_id, r.start, r.words, r.class_doc_id, r.removed) for r in rows}
+    want = {(10 * k + j, 30, n, 10 * k, j > 0) for k, n in enumerate((2, 4, 5, 7, 8, 12, 20, 24)) for j in range(2)}
+    want |= {(200, 0, 9, 200, False), (201, 0, 9, 200, True), (202, 0, 3, 202, False), (203, 0, 3, 202, True), (None, 0, 3, 202, True)}
+    assert got == want | {(210, 30, 24, 210, False), (211, 30, 24, 210, True)}
+
+
 def test_no_documents(make_docs):
     assert paragraphs.duplicates(make_docs(["x"]).where("false")).count() == 0
     assert paragraphs.duplicates(make_docs([None, "", "a b"])).count() == 0
