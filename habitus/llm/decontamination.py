@@ -13,7 +13,8 @@ block, never shuffled. Only verified overlaps are aggregated.
 Cases: null and blank texts, of documents or items, have no words and no overlaps; items shorter
 than a mask are looked for as a whole; repeated items are reported by each item_id, repeated
 rows of a document as one; rows with a null doc_id or item_id are reported with that null; empty
-tables give no rows; other columns are not looked at.
+tables give no rows; other columns are not looked at. ``clean`` decides for each row by itself,
+whatever other rows have its doc_id or none.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BLOCK_ROWS = 200_000
 RUN = 4096
 
 _SPAN = len(MASKS[0])
+#: Column of the numbers of rows.
+_ROW = "_row_number"
 
 
 def _words(df: DataFrame, key: str) -> DataFrame:
@@ -132,6 +135,9 @@ def overlaps(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFra
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no overlap with any item, with all their columns."""
-    gone = store(overlaps(docs, items).select("doc_id").distinct(), "contaminated")
-    return without_ids(docs, gone)
+    """The rows of ``docs`` that have no overlap with any item, with all their columns."""
+    # Stored, so that the number of a row is the same wherever it is read.
+    rows = store(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    found = overlaps(rows.select(F.col(_ROW).alias("doc_id"), "text"), items)
+    gone = store(found.select(F.col("doc_id").alias(_ROW)).distinct(), "contaminated")
+    return without_ids(rows, gone, _ROW).drop(_ROW)

@@ -84,6 +84,14 @@ def test_clean_documents_stay(case):
     assert set(range(12)) <= ids and {52, 53} <= ids and not ids & {20, 30, 50, 54, None}
 
 
+def test_clean_rows_beside_contaminated_ones_stay(case, spark, words):
+    _, items, _, items_df = case
+    rows = [(None, items[1][1]), (None, words(500, 30)), (None, None), (7, items[0][1]), (7, words(501, 30)), (8, words(502, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {(r.doc_id, r.text) for r in D.clean(docs, items_df).collect()}
+    assert kept == {rows[1], rows[2], rows[4], rows[5]}
+
+
 def test_empty_tables(case):
     _, _, docs_df, items_df = case
     assert D.overlaps(docs_df.where("false"), items_df).count() == 0
