@@ -7,8 +7,10 @@ brute force on small fixtures.
 
 from __future__ import annotations
 
+from habitus.llm.centroids import DIMENSIONS, K, ROUNDS, SCALE, SEED
 from habitus.llm.decontamination import MASKS, SHARE, WINDOW
 from habitus.llm.pii import CONTEXT, CONTEXT_BONUS, CONTEXT_CHARS, KINDS, PRIOR
+from habitus.llm.spelling import EVERY, LEAST_COUNT, LEAST_LENGTH, LETTERS, TIMES
 
 # The patterns as the contract states them; for iban the word boundary is the ASCII one.
 _PATTERNS = {
@@ -141,8 +143,124 @@ SELECT doc_id, item_id, b.size AS window_words, b.equal_words, -b.back AS doc_wo
   FROM e WHERE equal_words >= ceil({SHARE} * size) GROUP BY doc_id, item_id)
 """
 
+_OP11 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(3 * sum(size) AS BIGINT) AS bound,
+    CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight
+  FROM d GROUP BY source),
+-- Sources by the share at which they reach their bound: those before a source are at theirs.
+l AS (
+  SELECT *, (SELECT sum(size) FROM d) - coalesce(sum(bound) OVER (ORDER BY bound / weight, source NULLS LAST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+  FROM s),
+f AS (SELECT rest, open_weight FROM l WHERE CAST(rest AS DOUBLE) * weight / open_weight <= bound ORDER BY bound / weight, source NULLS LAST LIMIT 1),
+t AS (
+  SELECT source, source_size, coalesce(least(CAST(bound AS DOUBLE),
+    CAST((SELECT rest FROM f) AS DOUBLE) * weight / (SELECT open_weight FROM f)), bound) AS target
+  FROM s),
+q AS (
+  SELECT row_number() OVER () AS r, d.doc_id, d.source, d.key, d.size, t.source_size, t.target,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key ROWS UNBOUNDED PRECEDING) AS queue_end
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT r, size, sum(size) OVER (ORDER BY CAST((round - 1) * source_size + queue_end AS DOUBLE) / target, key,
+    source NULLS FIRST, round ROWS UNBOUNDED PRECEDING) AS words
+  FROM q, (VALUES (1), (2), (3)) AS rounds(round) WHERE size > 0 AND target > 0),
+n AS (SELECT r, count(*) AS copies FROM c WHERE words <= (SELECT sum(size) FROM d) GROUP BY r)
+SELECT doc_id, size, source_size, target, CAST(coalesce(copies, 0) * size AS BIGINT) AS taken,
+  CAST(coalesce(copies, 0) AS INTEGER) AS copies, source
+FROM q LEFT JOIN n USING (r)
+"""
+
+_OP12 = f"""
+WITH RECURSIVE t AS (
+  SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, b:
+      CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(256)) AS i))),
+r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    translate(unnest(regexp_extract_all(text, '[{LETTERS}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+g AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS bytes FROM r WHERE length(run) >= {LEAST_LENGTH} GROUP BY ALL),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce([4294967295] || list_transform(range(length(bytes) // 2),
+    lambda k: CAST('0x' || substr(bytes, 2 * k + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS h
+  FROM g, t),
+v AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % {EVERY} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM h)
+  WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+p AS (SELECT word, n, unnest(range(length(word) + 1)) AS i FROM v),
+e AS MATERIALIZED (SELECT word, n, i < length(word) AS skips, substr(word, 1, i) AS head, substr(word, i + 2) AS tail, substr(word, i + 1) AS rest FROM p),
+a AS (
+  SELECT x.word, y.word AS near FROM e x JOIN e y ON x.skips AND y.skips AND x.head = y.head AND x.tail = y.tail AND x.word <> y.word
+  UNION SELECT x.word, y.word FROM e x JOIN e y ON x.skips AND x.head = y.head AND x.tail = y.rest),
+b AS (SELECT word, near FROM a UNION SELECT near, word FROM a),
+m AS (
+  SELECT b.word, count(*) AS n_near, min(struct_pack(less := -v.n, form := b.near)) AS best
+  FROM b JOIN v ON v.word = b.near GROUP BY b.word),
+f AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= {TIMES} * v.n THEN best.form END AS form,
+    CASE WHEN -best.less >= {TIMES} * v.n THEN -best.less END AS form_n
+  FROM v LEFT JOIN m USING (word)),
+w AS (
+  SELECT word, word AS root FROM f
+  UNION ALL SELECT w.word, f.form FROM w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form, CAST(f.form_n AS BIGINT) AS form_n, w.root
+FROM f JOIN (SELECT w.word, w.root FROM w JOIN f ON f.word = w.root WHERE f.form IS NULL) w ON w.word = f.word
+"""
+
+
+def _assign(round_: int) -> str:
+    gap = "(k.v[i] - c.v[i])"
+    return f"""
+a{round_} AS MATERIALIZED (
+  SELECT k.r, any_value(k.v) AS v, min(struct_pack(d := CAST(list_sum(list_transform(range(1, {DIMENSIONS + 1}),
+    lambda i: {gap} * {gap})) AS BIGINT), c := c.c)) AS best
+  FROM k, c{round_} c GROUP BY k.r)"""
+
+
+def _move(round_: int) -> str:
+    return f"""
+c{round_ + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(m.v, o.v) AS v FROM c{round_} o LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+      SELECT best.c AS c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n
+      FROM a{round_}, (SELECT unnest(range(1, {DIMENSIONS + 1})) AS i) GROUP BY best.c, i)
+    GROUP BY c) m USING (c))"""
+
+
+_OP13 = f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT c, v FROM (
+    SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v FROM k)
+  WHERE c < {K}),
+{",".join(_assign(n) + "," + _move(n) for n in range(ROUNDS))},
+{_assign(ROUNDS)},
+i AS (SELECT best.c AS c, CAST(sum(best.d) AS BIGINT) AS total FROM a{ROUNDS} GROUP BY best.c)
+SELECT k.vec_id, CAST(a.best.c AS INTEGER) AS cluster, a.best.d AS distance, i.total AS cluster_inertia,
+  (SELECT CAST(sum(total) AS BIGINT) FROM i) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{ROUNDS} a JOIN k USING (r) JOIN i ON i.c = a.best.c JOIN c{ROUNDS} c ON c.c = a.best.c
+"""
+
 ORACLES: dict[str, str] = {
     "op3_pii": _OP3,
     "op4_url_filters": _OP4,
     "op8_decontamination": _OP8,
+    "op11_mixing": _OP11,
+    "op12_spelling": _OP12,
+    "op13_centroids": _OP13,
 }

@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from habitus.llm import (
+    centroids,
     decontamination,
     htmltext,
     minhash,
+    mixing,
     packing,
     paragraphs,
     pii,
     repair,
     simhash,
+    spelling,
     toxicity,
     urlfilter,
 )
@@ -128,10 +131,23 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return htmltext.extract(table(spark, folder, "pages"))
 
 
+def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.runs(table(spark, folder, "documents")))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.summed(*centroids.cluster(table(spark, folder, "embeddings")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_packing, op2_toxicity, op3_pii, op4_url_filters, op5_paragraphs, op6_repair, op7_simhash,
-        op8_decontamination, op9_minhash, op10_main_text,
+        op8_decontamination, op9_minhash, op10_main_text, op11_mixing, op12_spelling, op13_centroids,
     )
 }

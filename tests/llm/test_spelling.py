@@ -1,0 +1,116 @@
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from habitus.llm import spelling
+
+
+def near(a: str, b: str) -> bool:
+    """Exactly one inserted, deleted or replaced code point."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def plain(counts: dict, least: int = 2, times: int = 10) -> dict:
+    words = {w: n for w, n in counts.items() if n >= least}
+    out = {}
+    for w, n in words.items():
+        around = [v for v in words if near(v, w)]
+        best = min(around, key=lambda v: (-words[v], v), default=None)
+        form = best if best and words[best] >= times * n else None
+        out[w] = [n, len(around), form, words.get(form)]
+    for w, row in out.items():
+        root = w
+        while out[root][2]:
+            root = out[root][2]
+        row.append(root)
+    return {w: tuple(r) for w, r in out.items()}
+
+
+def result(df) -> dict:
+    rows = df.collect()
+    assert len({r["word"] for r in rows}) == len(rows)
+    return {r["word"]: (r["n"], r["n_near"], r["form"], r["form_n"], r["root"]) for r in rows}
+
+
+def occurrences(spark, counts):
+    rows = [(w,) for w, n in counts.items() for _ in range(n)]
+    return spark.createDataFrame(rows, "word string").repartition(3)
+
+
+def test_variants_equal_all_pairs(spark):
+    rng = random.Random(5)
+    counts = Counter()
+    for _ in range(60):
+        word = "".join(rng.choices("abcé", k=rng.randint(1, 7)))
+        counts[word] += rng.choice((2, 3, 40, 500))
+        for _ in range(4):
+            k = rng.randrange(len(word) + 1)
+            other = rng.choice((word[:k] + word[k + 1 :], word[:k] + rng.choice("abÿ") + word[k:], word[:k] + "c" + word[k + 1 :]))
+            if other:
+                counts[other] += rng.choice((1, 2, 2, 4))
+    assert result(spelling.variants(occurrences(spark, counts))) == plain(counts)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.dictionaries(st.text("ab", min_size=1, max_size=5), st.sampled_from((1, 2, 20, 200)), max_size=25))
+def test_small_alphabets(spark, counts):
+    assert result(spelling.variants(occurrences(spark, {**counts, "zz": 2}))) == plain({**counts, "zz": 2})
+
+
+def test_every_neighbour_once(spark):
+    words = ["aaaa", "aaa", "aaaaa", "aaba", "abaa", "baaa", "aab", "b", "a", "c"]
+    known = spelling.vocabulary(occurrences(spark, dict.fromkeys(words, 2)))
+    by = {r["w"]: r["word"] for r in known.collect()}
+    assert [by[k] for k in range(len(by))] == sorted(words)
+    pairs = [(by[r["a"]], by[r["b"]]) for r in spelling.near_words(spelling.dictionary(known)).collect()]
+    assert sorted(pairs) == sorted((a, b) for a in words for b in words if near(a, b))
+
+
+def test_runs(spark, make_docs):
+    texts = [
+        (1, "Reading READING reading; re-reading Straße naïveté ÀÉÎÕÜÿ×÷ short a1b2c3 Zürichberg's"),
+        (2, None), (3, ""), (None, "Reading without identity"), (None, "Reading without identity"),
+        *[(k, f"variation number{k} Something LONGERWORD " * 3) for k in range(10, 80)],
+    ]
+    got = Counter(r["word"] for r in spelling.runs(make_docs(texts)).collect())
+    want = Counter()
+    for i, text in texts:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 31 == 0:
+                k = h % len(run)
+                run = run[:k] + run[k + 1 :]
+            if len(run) >= 7:
+                want[run] += 1
+    assert got == want
+    assert result(spelling.variants(spelling.runs(make_docs(texts)))) == plain(want)
+
+
+def test_very_long_words(spark):
+    long = "ab" * 40_000
+    counts = {long: 2, long + "c": 30, long[:500] + "x" + long[501:]: 3, long[1:]: 2, "abababab": 2}
+    got = result(spelling.variants(occurrences(spark, counts)))
+    assert got[long][1:4] == (3, long + "c", 30) and got["abababab"] == (2, 0, None, None, "abababab")
+    assert got[long[1:]] == (2, 1, None, None, long[1:])
+
+
+def test_chains_and_ties(spark):
+    counts = {"aaaaaaaa": 2, "aaaaaaab": 20, "aaaaaabb": 200, "aaaaabbb": 2000, "aaaabbbb": 20000, "caaaaaaa": 20, "aaaaaaac": 20}
+    got = result(spelling.variants(occurrences(spark, counts)))
+    assert got == plain(counts)
+    assert got["aaaaaaaa"] == (2, 3, "aaaaaaab", 20, "aaaabbbb")
+
+
+def test_no_words(spark, make_docs):
+    assert spelling.variants(spelling.runs(make_docs(["x"]).where("false"))).count() == 0
+    assert spelling.variants(spelling.runs(make_docs([None, "", "a b c"]))).count() == 0
