@@ -5,8 +5,10 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from habitus.llm import spelling
 
@@ -70,11 +72,36 @@ def test_every_neighbour_once(spark):
     words = ["aaaa", "aaa", "aaaaa", "aaba", "abaa", "baaa", "aab", "b", "a", "c"]
     known = spelling.vocabulary(occurrences(spark, dict.fromkeys(words, 2)))
     by = {r["w"]: r["word"] for r in known.collect()}
-    assert [by[k] for k in range(len(by))] == sorted(words)
+    assert [by[k] for k in range(len(by))] == sorted(words)  # equal counts: by code point
     pairs = [(by[r["a"]], by[r["b"]]) for r in spelling.near_words(spelling.dictionary(known)).collect()]
     assert sorted(pairs) == sorted((a, b) for a in words for b in words if near(a, b))
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges of a few words, so that nodes go on over several."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_nodes_are_numbered_once(spark, many_ranges):
+    rng = random.Random(3)
+    words = {"".join(rng.choices("abé", k=rng.randint(1, 9))) for _ in range(400)} | {"a" * k for k in range(1, 60)}
+    known = spelling.vocabulary(occurrences(spark, dict.fromkeys(words, 2)))
+    for key in (F.col("word"), F.reverse("word")):
+        rows = spelling.trie(known, key).collect()
+        assert len(rows) == len(words)
+        number = {}
+        for r in rows:
+            assert len(r["nodes"]) == len(r["key"]) + 1
+            for depth, node in enumerate(r["nodes"]):
+                assert number.setdefault(r["key"][:depth], node) == node
+        assert len(set(number.values())) == len(number)
+
+
 def test_runs(spark, make_docs):
     texts = [
         (1, "Reading READING reading; re-reading Straße naïveté ÀÉÎÕÜÿ×÷ short a1b2c3 Zürichberg's"),
