@@ -98,16 +98,18 @@ def _borders(ranges: DataFrame) -> dict[int, tuple[int, int, np.ndarray, str | N
     rows = ranges.groupBy("_part").agg(
         F.min("key").alias("first"), F.max("key").alias("last"), F.sum(F.length("key") + 1).alias("nodes")
     ).orderBy("_part")
-    found, base, last, bases, common, before = {}, 0, None, [], [], None
+    found, base, last, bases, common, inside, before = {}, 0, None, [], [], [], None
     for row in rows.toLocalIterator():
         common.append(-1 if last is None else shared(last, row["first"]))
         if before is not None:
             found[before] = (*found[before][:3], last[: common[-1]])
         bases.append(base)
+        # Back over the ranges that lie wholly below a node, and over the one in which it begins.
         inherited, depth = np.empty(common[-1] + 1, np.int64), common[-1] + 1
         for at in range(len(bases) - 1, 0, -1):
-            depth = min(depth, common[at] + 1)
             inherited[:depth] = bases[at]
+            depth = min(depth, inside[at - 1] + 1, common[at - 1] + 1)
+        inside.append(shared(row["first"], row["last"]))
         before, base, last = row["_part"], base + row["nodes"], row["last"]
         found[before] = (bases[-1], base, inherited, None)
     return found

@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 from habitus.llm import spelling
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges of a few words, so that nodes go on over several."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def near(a: str, b: str) -> bool:
     """Exactly one inserted, deleted or replaced code point."""
     if len(a) == len(b):
@@ -48,7 +58,7 @@ def occurrences(spark, counts):
     return spark.createDataFrame(rows, "word string").repartition(3)
 
 
-def test_variants_equal_all_pairs(spark):
+def test_variants_equal_all_pairs(spark, many_ranges):
     rng = random.Random(5)
     counts = Counter()
     for _ in range(60):
@@ -77,16 +87,6 @@ def test_every_neighbour_once(spark):
     assert sorted(pairs) == sorted((a, b) for a in words for b in words if near(a, b))
 
 
-@pytest.fixture
-def many_ranges(spark):
-    """Ranges of a few words, so that nodes go on over several."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "37")
-    yield
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-
-
 def test_nodes_are_numbered_once(spark, many_ranges):
     rng = random.Random(3)
     words = {"".join(rng.choices("abé", k=rng.randint(1, 9))) for _ in range(400)} | {"a" * k for k in range(1, 60)}
