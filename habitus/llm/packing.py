@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from habitus.llm.store import empty_text, store
+from habitus.llm.store import earlier_sums, empty_text, small, store
 from habitus.llm.vocab import END_ID, encoder, filled, slices
 
 FULL = 2048
@@ -80,18 +80,13 @@ def pack(docs: DataFrame, tokenizer: str, full: int = FULL, ids: bool = False) -
 
     Sequences are numbered without gaps, bucket after bucket from the shortest on, and within a
     bucket as the documents lie in the table. Tasks count the pieces of each length as they
-    write them; the counts of all tasks (a row for each task and length) give each its first
-    number. Nothing is sorted or shuffled.
+    write them; running sums of these counts (a row for each task and length) give each its first
+    number. No piece is sorted or shuffled while the counts are few enough to be broadcast.
     """
-    spark = docs.sparkSession
     placed = store(pieces(docs, tokenizer, full, ids), "pieces")
-    counts = placed.groupBy("length", "part").count().collect()
-    base, first = 0, []
-    for row in sorted(counts):
-        first.append((row["length"], row["part"], base))
-        base += row["count"]
-    numbers = spark.createDataFrame(first, "length long, part int, first long")
-    return placed.join(F.broadcast(numbers), ["length", "part"]).select(
+    counts = placed.groupBy("length", "part").agg(F.count("*").alias("pieces"))
+    numbers = earlier_sums(counts, ("length", "part"), "pieces", "first").select("length", "part", "first")
+    return placed.join(small(numbers), ["length", "part"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.col("first") + F.col("place")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),

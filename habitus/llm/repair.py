@@ -172,6 +172,12 @@ class Shard:
         """Ids of the k-th document."""
         return self.decode(self.symbols[self.first[k] : self.first[k + 1]])
 
+    def documents(self) -> list[np.ndarray]:
+        """Ids of every document, each from its own first symbol on; one look-up for the whole shard."""
+        ids = self.all()
+        ends = np.concatenate([[0], np.cumsum(self.sizes[self.symbols])])[self.first]
+        return [ids[start:stop] for start, stop in zip(ends[:-1], ends[1:], strict=True)]
+
     def read_range(self, k: int, start: int, stop: int) -> np.ndarray:
         """Ids from ``start`` to ``stop`` of the k-th document; other symbols are not decoded."""
         own = self.symbols[self.first[k] : self.first[k + 1]]
@@ -242,8 +248,8 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
         for batch in batches:
             for k in range(len(batch)):
                 own = Shard(batch.column(3)[k].as_buffer())
-                n = len(own.before) - 1
-                each = [own.document(d) for d in range(n)]
+                each = own.documents()
+                n = len(each)
                 arrays = [
                     pa.array([batch.column(0)[k].as_py()] * n, pa.int32()),
                     pa.array([batch.column(1)[k].as_py()] * n, pa.int32()),

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from habitus.session import scratch_path
 
 #: A table is broadcast only if it was counted and has at most so many (narrow) rows.
 BROADCAST_ROWS = 200_000
+#: Tasks whose counts are summed together.
+BLOCK = 1024
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -57,16 +58,34 @@ def one_row_per_id(df: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def earlier_sums(totals: DataFrame, order: tuple[str, ...], amount: str, out: str) -> DataFrame:
+    """``totals`` with ``out``: the sum of ``amount`` over all rows before in ``order``; stored.
+
+    The last column of ``order`` numbers tasks. Sums are taken over blocks of ``BLOCK`` tasks and then
+    within each, so neither the driver nor one task sees a row of every task of a large table.
+    """
+    *by, last = order
+    block = F.floor(F.col(last) / BLOCK).cast("long").alias("_block")
+    totals = store(totals.select("*", block), "totals")
+    rows = (Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    sums = totals.groupBy(*by, "_block").agg(F.sum(amount).alias("_sum"))
+    sums = sums.select(
+        *[F.col(c).alias(f"_{c}") for c in by], F.col("_block").alias("_own"),
+        F.coalesce(F.sum("_sum").over(Window.orderBy(*by, "_block").rowsBetween(*rows)), zero).alias("_blocks"),
+    )
+    same = F.col("_block") == F.col("_own")
+    for c in by:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    within = F.coalesce(F.sum(amount).over(Window.partitionBy(*by, "_block").orderBy(last).rowsBetween(*rows)), zero)
+    found = totals.join(sums, same).select(*totals.columns, (F.col("_blocks") + within).alias(out))
+    return store(found.drop("_block"), "offsets")
+
+
 def part_offsets(df: DataFrame, amount: Column) -> DataFrame:
-    """(_part, _base): sum of ``amount`` over all rows of an earlier ``_part``, broadcast.
+    """(_part, _base): sum of ``amount`` over all rows of an earlier ``_part``.
 
-    A row for each part; parts are the tasks that wrote ``df``, whatever its number of rows.
+    A row for each part, broadcast if they are few; parts are the tasks that wrote ``df``.
     """
-    spark = df.sparkSession
-    totals = df.groupBy("_part").agg(F.sum(amount).alias("total")).collect()
-    base, rows = 0, []
-    for row in sorted(totals, key=lambda r: r["_part"]):
-        rows.append((row["_part"], base))
-        base += row["total"] or 0
-    kind = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_base", T.LongType())])
-    return F.broadcast(spark.createDataFrame(rows, kind))
+    totals = df.groupBy("_part").agg(F.coalesce(F.sum(amount), F.lit(0)).cast("long").alias("_total"))
+    return small(earlier_sums(totals, ("_part",), "_total", "_base").select("_part", "_base"))

@@ -4,10 +4,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from habitus.llm import packing, vocab
+from habitus.llm import packing, store, vocab
 
 ODD = [
     "", None, "   ", "Plain words, and more. It's we'll they've 12345 x2y", "ÉCOLE Straße ΣΑΣ    été  z",
@@ -40,6 +43,16 @@ def test_sample_ids_are_the_tokenizers(vocabulary, spark, sample):
     assert got == expected(texts, vocabulary)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcstvemlrdAZéÀßÿ×ªµİſ01²'.,&#|<> \t\n\x1f\xa0\u0301", max_size=24))
+def test_ids_of_any_mixture(one):
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    encode = vocab.encoder(path)
+    flat, at = encode(pa.array([one, "x " + one + "'s", ""], pa.large_string()))
+    got = [[*map(int, flat[a:b]), 1] for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert got == [[*encode.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in (one, "x " + one + "'s", "")]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 2047, 2048, 2049, 4096, 5000])
 def test_lengths(n):
     parts = packing.lengths(n)
@@ -71,3 +84,14 @@ def test_pieces_hold_every_id_once(make_docs, vocabulary):
 def test_no_documents(make_docs, spark, vocabulary):
     none = make_docs(["x"]).where("false")
     assert packing.pack(none, vocabulary).count() == 0
+
+
+def test_running_counts_over_many_tasks(spark):
+    rows = [(length, part, (part * 7 + length) % 5 + 1) for length in (1, 4) for part in range(0, 5000, 3)]
+    totals = spark.createDataFrame(rows, "length long, part int, n long")
+    got = {(r.length, r.part): r.base for r in store.earlier_sums(totals, ("length", "part"), "n", "base").collect()}
+    base = 0
+    for length, part, n in sorted(rows):
+        assert got.pop((length, part)) == base
+        base += n
+    assert not got

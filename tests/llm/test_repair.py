@@ -30,6 +30,7 @@ def test_round_trip_and_ranges(seed):
     assert (shard.all() == ids).all() and len(shard.rules) > 20
     assert len(shard.symbols) < 0.6 * len(ids)
     rng = random.Random(seed)
+    assert [d.tolist() for d in shard.documents()] == [d.tolist() for d in docs]
     for k, doc in enumerate(docs):
         assert (shard.document(k) == doc).all()
         for _ in range(5):
