@@ -17,9 +17,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from habitus import registry, samples
-from habitus.operators import access, baseline, drift, forest, profile, serving
+from habitus.operators import access, baseline, drift, forest, profile, search, serving
+from habitus.plans import incremental
 from habitus.plans.detection import detect, score_days
-from habitus.sources import tables
+from habitus.sources import manifest, tables
 
 RUNS = 3
 
@@ -57,7 +58,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = session(os.environ.get("BENCH_CPUS", "8"))
     work = tempfile.mkdtemp(prefix="habitus-bench-")
-    paths = {name: f"{work}/{name}" for name in ("days", "scores", "serving", "bucketed")}
+    paths = {name: f"{work}/{name}" for name in ("days", "scores", "serving", "bucketed", "actors", "moments")}
 
     tables.write_table(registry.shipping_features(spark, folder), paths["days"])
     days = spark.read.parquet(paths["days"])
@@ -67,6 +68,12 @@ def main() -> None:
     tables.write_serving(spark.read.parquet(paths["scores"]), paths["bucketed"], buckets=64)
     scores = tables.read_served(spark, paths["scores"])
     served = tables.read_served(spark, paths["serving"])
+    manifest.write_manifest(spark, paths["serving"])
+    opened = manifest.ServedTable(spark, paths["serving"], scores.schema)
+    tables.write_table(search.distinct_actors(scores), paths["actors"])
+    actors = tables.read_table(spark, paths["actors"])
+    cuts = registry.cuts(days, 20)[-2:]
+    incremental.advance(spark, paths["moments"], days, cuts[0])
     requests = samples.client_requests(spark, folder)
     limit, window = registry.LIMIT, registry.WINDOW
 
@@ -97,6 +104,10 @@ def main() -> None:
         "timeline_unsorted": lambda: timeline(paths["scores"]),
         "timeline_clustered": lambda: timeline(paths["serving"]),
         "timeline_bucketed": lambda: timeline(paths["bucketed"], 64),
+        "timeline_manifest": lambda: serving.user_timeline(opened.lookup("77"), "77", one_task=True).days.collect(),
+        "search_stored": lambda: serving.serving_record(search.search_threats(served, actors, "77")).collect(),
+        "baseline_next_slice": lambda: compute(incremental.next_moments(spark, paths["moments"], days, cuts[1])),
+        "compact_with_totals": lambda: serving.write_compact(served, f"{work}/compact-timed"),
         "audit_report": lambda: compute(
             access.audit_report(access.audit_pairs(samples.accesses(spark, folder)))
         ),

@@ -15,15 +15,15 @@ from pyspark.sql import types as T
 from habitus.config import DEFAULTS, Settings
 
 
-def _is_integral(df: DataFrame, feature: str) -> bool:
+def is_integral(df: DataFrame, feature: str) -> bool:
     return isinstance(df.schema[feature].dataType, T.IntegralType)
 
 
-def _sums(df: DataFrame, settings: Settings) -> dict[str, Column]:
+def sums(df: DataFrame, settings: Settings) -> dict[str, Column]:
     """The aggregates a baseline is made of, by name."""
     found = {}
     for feature in settings.features:
-        if _is_integral(df, feature):
+        if is_integral(df, feature):
             wide = F.col(feature).cast("decimal(19,0)")
             found[f"_n_{feature}"] = F.count(feature)
             found[f"_s_{feature}"] = F.sum(feature)
@@ -34,12 +34,12 @@ def _sums(df: DataFrame, settings: Settings) -> dict[str, Column]:
     return found
 
 
-def _mean_and_std(df: DataFrame, feature: str) -> tuple[Column, Column]:
-    """Mean and sample spread from the columns of ``_sums``.
+def _mean_and_std(feature: str, exact: bool) -> tuple[Column, Column]:
+    """Mean and sample spread from the columns of ``sums``.
 
     The spread is NULL where there is no second value or no variation.
     """
-    if not _is_integral(df, feature):
+    if not exact:
         return F.col(f"_avg_{feature}"), F.nullif(F.col(f"_std_{feature}"), F.lit(0.0))
     count, total, squares = (F.col(f"_{kind}_{feature}") for kind in "nsq")
     whole = "decimal(20,0)"
@@ -49,10 +49,11 @@ def _mean_and_std(df: DataFrame, feature: str) -> tuple[Column, Column]:
     return mean, F.when((count > 1) & (numerator > 0), F.sqrt(variance))
 
 
-def _baseline_columns(df: DataFrame, settings: Settings) -> dict[str, Column]:
+def baseline_columns(exact: dict[str, bool], settings: Settings) -> dict[str, Column]:
+    """``mean_*`` and ``std_*`` over the columns of ``sums``; ``exact``: which features are integers."""
     columns = {}
     for feature in settings.features:
-        columns[f"mean_{feature}"], columns[f"std_{feature}"] = _mean_and_std(df, feature)
+        columns[f"mean_{feature}"], columns[f"std_{feature}"] = _mean_and_std(feature, exact[feature])
     return columns
 
 
@@ -63,12 +64,11 @@ def z_of(value: Column, mean: Column, std: Column) -> Column:
 
 def actor_baseline(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """``mean_*`` and ``std_*`` per actor, over the whole history."""
-    sums = _sums(df, settings)
-    baseline = _baseline_columns(df, settings)
+    baseline = baseline_columns({f: is_integral(df, f) for f in settings.features}, settings)
     return (
         df.where(F.col(settings.actor).isNotNull())
         .groupBy(settings.actor)
-        .agg(*[total.alias(name) for name, total in sums.items()])
+        .agg(*[total.alias(name) for name, total in sums(df, settings).items()])
         .select(settings.actor, *[column.alias(name) for name, column in baseline.items()])
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from habitus.config import DEFAULTS, SERVED_COLUMNS, SEVERITIES, UNKNOWN, Settings
@@ -94,6 +94,33 @@ def stats(scores: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
+def observed_totals(scores: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, Observation]:
+    """``scores`` with the totals of ``stats``, but the number of actors, counted as rows pass by.
+
+    The observation has them once an action has run over all rows. Keep them ahead of any shuffle, in
+    the stage that writes, where each row is counted once also if a task is repeated.
+    """
+    severity, drift = F.col("severity"), F.col("drift_flag")
+    seen = Observation()
+    return scores.observe(
+        seen,
+        F.count(F.lit(1)).alias("total_user_days"),
+        F.count_if(is_flagged(severity)).alias("total_flagged"),
+        *_breakdown(severity),
+        F.count_if(drift).alias("drift_flagged"),
+        F.count_if(is_drift_only(severity, drift)).alias("drift_only"),
+        day_text(F.min(settings.day)).alias("first_day"),
+        day_text(F.max(settings.day)).alias("last_day"),
+    ), seen
+
+
+def write_compact(scores: DataFrame, path: str, settings: Settings = DEFAULTS) -> dict:
+    """Write the compact base set of threats and return the totals of all rows, from one scan."""
+    passing, seen = observed_totals(scores, settings)
+    compact(threat_base(passing)).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def stats_record(scores: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """The totals with the breakdown as a map and the range as a struct."""
     by_level = [x for name in SEVERITIES for x in (F.lit(name), F.col(name.lower()))]

@@ -375,6 +375,10 @@ ORACLES: dict[str, str] = {
     )
     + " UNION ALL SELECT 'users', count(*), NULL, NULL FROM users",
     "csv_logon": f"WITH {_LOGS} SELECT {_CSV} FROM logon",
+    "csv_logon_rejects": f"""WITH {_LOGS},
+marked AS (SELECT *, coalesce(pc = '3' AND activity = 'Logoff', false) AS wrong FROM logon)
+SELECT {_CSV}, NULL AS line, NULL AS file_kind FROM marked WHERE NOT wrong
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'n/a,' || "user" || ',' || pc || ',' || activity, 'csv' FROM marked WHERE wrong""",
     "csv_device": f"WITH {_LOGS} SELECT {_CSV} FROM device",
     "csv_users": f"""WITH {_LOGS} SELECT user_id, role, department, team,
   CASE WHEN c_acctbal >= 0 THEN strftime(DATE '2009-12-31' + c_nationkey, '%Y-%m-%d 00:00:00')
@@ -401,8 +405,10 @@ ORACLES: dict[str, str] = {
     ),
     "repeated_users": "SELECT c_mktsegment || '/' || c_nationkey AS user_id, "
     "count(*) AS entries FROM customer GROUP BY 1 HAVING count(*) > 1",
+    "baseline_merged": f"{_SHIPPING_Z} SELECT * FROM baseline",
     "actor_baseline": f"{_SHIPPING_Z} SELECT * FROM baseline",
     "zscores": f'{_SHIPPING_Z} SELECT "user", {_DAY}, {_each("z_#, mean_#, std_#")} FROM scored_z',
+    "zscores_merged": f'{_SHIPPING_Z} SELECT "user", {_DAY}, {_each("z_#, mean_#, std_#")} FROM scored_z',
     "zscores_events": f"WITH {_EVENT_DAYS}, {_with_z('event_features')} "
     f'SELECT "user", {_DAY}, {_each("z_#")} FROM scored_z',
     "rule_scores": f'{_SHIPPING_Z} SELECT "user", {_DAY}, {_RULE_SCORE} AS rule_score FROM scored_z',
@@ -419,6 +425,7 @@ ORACLES: dict[str, str] = {
     "FROM scored_z",
     "drift_zscores": f'{_SHIPPING_DRIFT} SELECT "user", {_DAY}, '
     f"{_each('recent_#, drift_z_#')} FROM drifted",
+    "drift_stream": f'{_SCORES} SELECT "user", {_DAY}, drift_flag, drift_reasons FROM scores',
     "drift_signal": f'{_SCORES} SELECT "user", {_DAY}, drift_flag, drift_reasons FROM scores',
     "drift_only": f'{_SCORES} SELECT "user", {_DAY}, severity, drift_reasons FROM scores '
     "WHERE severity = 'Normal' AND drift_flag",
@@ -474,8 +481,21 @@ FROM levels LEFT JOIN scores USING (severity) GROUP BY severity""",
     "serving_roundtrip": f"{_SCORES} SELECT {_RECORD} FROM scores",
     "serving_lookup": f"{_SCORES} SELECT {_RECORD} FROM scores WHERE \"user\" = '7'",
     "serving_lookup_bucketed": f"{_SCORES} SELECT {_RECORD} FROM scores WHERE \"user\" = '7'",
-    "layout_totals": f"{_SCORES} SELECT count(*) AS rows, "
-    "CAST(ceil(count(*) / 20000) AS BIGINT) AS row_groups, 1 AS files FROM scores",
+    "timeline_manifest": f"{_SCORES} SELECT {_RECORD} FROM scores WHERE \"user\" = '7'",
+    "rescored_day": f"WITH {_EVENT_DAYS}, {_with_z('event_features')} "
+    f'SELECT "user", {_DAY}, {_each("z_#")} FROM scored_z',
+    "compact_with_stats": f"""{_SCORES} SELECT count(*) AS total_user_days,
+  count(*) FILTER (severity <> 'Normal') AS total_flagged, {_BREAKDOWN},
+  count(*) FILTER (drift_flag) AS drift_flagged,
+  count(*) FILTER (severity = 'Normal' AND drift_flag) AS drift_only,
+  strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day,
+  count(*) FILTER (severity <> 'Normal' OR drift_flag) AS threats FROM scores""",
+    "stored_search": _matching(f"{_ANY} AND \"user\" ILIKE '%1%'"),
+    "source_guards": f"""{_SCORES} SELECT rows, "case", error FROM (SELECT count(*) AS rows FROM scores),
+  (VALUES ('missing table', 'MissingSource'), ('limit 0', 'ValueError'), ('limit 5001', 'ValueError'),
+          ('offset -1', 'ValueError'), ('limit 5000', '')) AS cases("case", error)""",
+    "layout_totals": f"{_SCORES} SELECT count(*) AS rows, true AS fewest_groups, "
+    "least(500, count(*)) AS largest_group FROM scores",
     "layout_buckets": f"{_SCORES} SELECT count(*) AS rows, 4 AS buckets FROM scores",
     "resolve_serving": _SUMMARY + " WHERE severity <> 'Low'",
     "resolve_scores": _SUMMARY,

@@ -3,21 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from habitus import samples
-from habitus.config import FEATURES, PREVIEW_COLUMNS
+from habitus.config import DEFAULTS, FEATURES, PREVIEW_COLUMNS
 from habitus.functions.clients import client_key
 from habitus.functions.times import day_text
-from habitus.operators import access, baseline, drift, features, forest, profile, rules, serving
+from habitus.operators import (
+    access,
+    baseline,
+    drift,
+    features,
+    forest,
+    moments,
+    profile,
+    rules,
+    search,
+    serving,
+)
 from habitus.operators.severity import final_severity, flatten_reasons
+from habitus.plans import incremental
 from habitus.plans.detection import detect, score_days
 from habitus.session import scratch_path
-from habitus.sources import logs, tables
+from habitus.sources import logs, manifest, tables
 from habitus.streaming import access as live
+from habitus.streaming import drift as live_drift
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,10 +126,16 @@ def serving_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def layout_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """One file, so that its row groups follow from the rows."""
+    """Rows of several files, and whether each has as few row groups of at most 500 rows as possible."""
     path = scratch_path(spark, "serving")
-    tables.write_serving(shipping_scores(spark, folder), path, partitions=1)
-    return tables.layout_totals(spark, path).select("rows", "row_groups", "files")
+    small = replace(DEFAULTS, row_group_rows=500)
+    tables.write_serving(shipping_scores(spark, folder), path, small)
+    report = tables.layout_report(spark, path).where("rows > 0")
+    fewest = F.ceil(F.col("rows") / small.row_group_rows)
+    return report.agg(
+        F.sum("rows").alias("rows"), F.bool_and(F.col("row_groups") == fewest).alias("fewest_groups"),
+        F.max("largest_group").alias("largest_group"),
+    )
 
 
 def layout_buckets(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,6 +177,80 @@ def serving_lookup_bucketed(spark: SparkSession, folder: str) -> DataFrame:
     return serving.user_timeline(days, "7", one_task=True).days
 
 
+def timeline_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """A lookup that opens the files the manifest names."""
+    path = scratch_path(spark, "serving")
+    tables.write_serving(shipping_scores(spark, folder), path)
+    manifest.write_manifest(spark, path)
+    served = manifest.ServedTable(spark, path, tables.read_served(spark, path).schema)
+    return serving.user_timeline(served.lookup("7"), "7", one_task=True).days
+
+
+def rescored_day(spark: SparkSession, folder: str) -> DataFrame:
+    """All days are written, one with scores that are missing; that day is then scored and rewritten."""
+    path = scratch_path(spark, "days")
+    scored = baseline.zscores(event_features(spark, folder)).select(*_z_columns(("z",)))
+    last = scored.agg(F.max("day")).first()[0]
+    stale = {f"z_{f}": F.when(F.col("day") < F.lit(last), F.col(f"z_{f}")) for f in FEATURES}
+    tables.write_days(scored.withColumns(stale), path)
+    tables.write_days(scored.where(F.col("day") == F.lit(last)), path)
+    return _text_day(tables.read_table(spark, path, schema=scored.schema))
+
+
+def compact_with_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of all rows, and the rows of the base set that the same scan wrote."""
+    path, stored = scratch_path(spark, "compact"), scratch_path(spark, "scores")
+    shipping_scores(spark, folder).write.parquet(stored)
+    totals = serving.write_compact(tables.read_served(spark, stored), path)
+    written = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("threats"))
+    return written.select(*[F.lit(value).alias(name) for name, value in totals.items()], "threats")
+
+
+def stored_search(spark: SparkSession, folder: str) -> DataFrame:
+    """A search by part of the name, through the stored table of actors."""
+    stored, path = scratch_path(spark, "scores"), scratch_path(spark, "actors")
+    shipping_scores(spark, folder).write.parquet(stored)
+    scores = tables.read_served(spark, stored)
+    search.distinct_actors(scores).write.parquet(path)
+    return serving.serving_record(search.search_threats(scores, spark.read.parquet(path), "1"))
+
+
+def csv_logon_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """A log in which lines of one machine have no date: good rows, and the text of the others."""
+    path = scratch_path(spark, "logon-csv")
+    broken = samples.logon(spark, folder).withColumn("at", F.date_format("date", "M/d/yyyy HH:mm:ss"))
+    broken = broken.withColumn("at", F.when((F.col("pc") == "3") & (F.col("activity") == "Logoff"), "n/a").otherwise(F.col("at")))
+    broken.select(F.col("at").alias("date"), "user", "pc", "activity").write.option("header", True).csv(path)
+    scan = logs.scan_log_parts(spark, path)
+    blank = F.lit(None).cast("string")
+    good = scan.rows.select(_stamp("date"), "user", "pc", "activity", blank.alias("line"), blank.alias("file_kind"))
+    kind = F.regexp_extract("file", r"\.([a-z]+)$", 1).alias("file_kind")
+    wrong = scan.rejects.select(*[blank.alias(n) for n in ("date", "user", "pc", "activity")], "line", kind)
+    return good.unionByName(wrong)
+
+
+def source_guards(spark: SparkSession, folder: str) -> DataFrame:
+    """The errors that guard a reader, by name: a table that is missing, a page out of bounds."""
+    scores = shipping_scores(spark, folder)
+
+    def error(step: Callable[[], object]) -> str:
+        try:
+            step()
+        except (ValueError, FileNotFoundError) as found:
+            return type(found).__name__
+        return ""
+
+    cases = {
+        "missing table": lambda: tables.read_table(spark, f"{folder}/no-such-table"),
+        "limit 0": lambda: serving.threats(scores, limit=0),
+        "limit 5001": lambda: serving.threats(scores, limit=serving.MAX_LIMIT + 1),
+        "offset -1": lambda: serving.threats(scores, offset=-1),
+        "limit 5000": lambda: serving.threats(scores, limit=serving.MAX_LIMIT),
+    }
+    found = F.array(*[F.struct(F.lit(name).alias("case"), F.lit(error(step)).alias("error")) for name, step in cases.items()])
+    return scores.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.inline(found))
+
+
 def preview_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "preview")
     tables.write_preview(serving.top_threats(shipping_scores(spark, folder)), path)
@@ -216,6 +311,36 @@ def _z_columns(kinds: tuple[str, ...]) -> list[str]:
     return ["user", "day", *[f"{kind}_{f}" for kind in kinds for f in FEATURES]]
 
 
+def cuts(days: DataFrame, parts: int) -> list[date]:
+    """The last days of equal stretches of time."""
+    low, high = days.agg(F.min("day"), F.max("day")).first()
+    return [low + (high - low) * k // parts for k in range(1, parts + 1)]
+
+
+def _stored_days(spark: SparkSession, folder: str, name: str = "days") -> DataFrame:
+    path = scratch_path(spark, name)
+    samples.shipping_days(spark, folder).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _folded(spark: SparkSession, days: DataFrame) -> DataFrame:
+    """The moments after five slices, each added by a run of its own."""
+    path = scratch_path(spark, "moments")
+    for until in cuts(days, 5):
+        found = incremental.advance(spark, path, days, until)
+    return found
+
+
+def baseline_merged(spark: SparkSession, folder: str) -> DataFrame:
+    return moments.baseline_of(_folded(spark, _stored_days(spark, folder)))
+
+
+def zscores_merged(spark: SparkSession, folder: str) -> DataFrame:
+    days = _stored_days(spark, folder)
+    scored = moments.zscores_with(days, _folded(spark, days))
+    return _text_day(scored.select(*_z_columns(("z", "mean", "std"))))
+
+
 def actor_baseline(spark: SparkSession, folder: str) -> DataFrame:
     return baseline.actor_baseline(samples.shipping_days(spark, folder))
 
@@ -285,6 +410,28 @@ def drift_signal(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def drift_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The first third of the days is history; the others arrive in four files, a batch each."""
+    path, source, out = (scratch_path(spark, name) for name in ("z-days", "day-files", "recent"))
+    baseline.zscores(samples.shipping_days(spark, folder)).write.parquet(path)
+    days = spark.read.parquet(path)
+    ends = cuts(days, 6)[1:]
+    history = days.where(F.col("day") <= F.lit(ends[0]))
+    for after, until in zip(ends[:-1], ends[1:], strict=True):
+        arrived = incremental.days_between(days, after, until)
+        arrived.repartition(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    with live_drift.list_state(spark):
+        run = (
+            live_drift.recent_means_stream(stream, live_drift.last_days(history))
+            .writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", scratch_path(spark, "stream"))
+        )
+        run.trigger(availableNow=True).start().awaitTermination()
+    recent = drift.recent_means(history).unionByName(spark.read.parquet(out).drop("late"))
+    return _text_day(drift.drift_signal(recent).select("user", "day", "drift_flag", "drift_reasons"))
+
+
 def drift_only(scores: DataFrame) -> DataFrame:
     return _text_day(
         scores.where((F.col("severity") == "Normal") & F.col("drift_flag")).select(
@@ -363,9 +510,9 @@ def access_audit_json(spark: SparkSession, folder: str) -> DataFrame:
 
 def access_audit_stream(spark: SparkSession, folder: str) -> DataFrame:
     lines, pairs = scratch_path(spark, "audit"), scratch_path(spark, "pairs")
-    samples.audit_lines(spark, folder).repartition(3).write.json(lines)
+    samples.audit_lines(spark, folder).repartition(20).write.json(lines)
     run = live.write_audit_pairs(
-        live.stream_audit(spark, lines), pairs, scratch_path(spark, "stream")
+        live.stream_audit(spark, lines, files_per_batch=1), pairs, scratch_path(spark, "stream")
     )
     run.trigger(availableNow=True).start().awaitTermination()
     return _report(live.read_audit_pairs(spark, pairs))
@@ -458,6 +605,7 @@ def _stats_long(scores: DataFrame) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "load_summary": load_summary,
     "csv_logon": csv_logon,
+    "csv_logon_rejects": csv_logon_rejects,
     "csv_device": csv_device,
     "csv_users": csv_users,
     "logon_features": logon_features,
@@ -469,7 +617,9 @@ QUERIES: dict[str, Query] = {
     "sample_rows": sample_rows,
     "repeated_users": repeated_users,
     "actor_baseline": actor_baseline,
+    "baseline_merged": baseline_merged,
     "zscores": zscores,
+    "zscores_merged": zscores_merged,
     "zscores_events": zscores_events,
     "rule_scores": rule_scores,
     "rule_reasons": rule_reasons,
@@ -478,6 +628,7 @@ QUERIES: dict[str, Query] = {
     "severity": severity,
     "drift_zscores": drift_zscores,
     "drift_signal": drift_signal,
+    "drift_stream": drift_stream,
     "drift_only": _served(drift_only),
     "severity_breakdown": _served(serving.severity_counts),
     "stats": _served(serving.stats),
@@ -519,6 +670,11 @@ QUERIES: dict[str, Query] = {
     "serving_roundtrip": serving_roundtrip,
     "serving_lookup": serving_lookup,
     "serving_lookup_bucketed": serving_lookup_bucketed,
+    "timeline_manifest": timeline_manifest,
+    "rescored_day": rescored_day,
+    "compact_with_stats": compact_with_stats,
+    "stored_search": stored_search,
+    "source_guards": source_guards,
     "layout_totals": layout_totals,
     "layout_buckets": layout_buckets,
     "resolve_scores": resolve_scores,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from habitus.functions.times import lenient_timestamp, strict_timestamp
+from habitus.functions.times import LOG_FORMAT, lenient_timestamp, strict_timestamp
 from habitus.sources.tables import guard_missing
 
 # The columns read from each file.
@@ -49,6 +51,46 @@ def scan_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("date", strict_timestamp(F.col("date")))
 
 
+class LogScan(NamedTuple):
+    rows: DataFrame
+    rejects: DataFrame
+
+
+def scan_log_parts(spark: SparkSession, path: str) -> LogScan:
+    """The good rows of a log, as ``scan_log`` has them, and apart the lines that are none.
+
+    ``rejects`` (file, line): the text of each line whose date or number of fields is wrong, and the
+    file it stands in. Both read the export; store the rejects if they are many.
+    """
+    with guard_missing(path, "put the CSV export there"):
+        header = spark.read.option("header", True).csv(path).columns
+    missing = [name for name in LOG_COLUMNS if name not in header]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    kinds = {"date": T.TimestampNTZType()}
+    fields = [T.StructField(name, kinds.get(name, T.StringType())) for name in header]
+    found = (
+        spark.read.schema(T.StructType([*fields, T.StructField("_line", T.StringType())]))
+        .option("header", True)
+        .option("columnNameOfCorruptRecord", "_line")
+        .option("timestampNTZFormat", LOG_FORMAT)
+        .option("columnPruning", False)
+        .csv(path)
+    )
+    wrong = F.col("_line").isNotNull()
+    # Always true: Spark parses a line only if a column of its own is asked for, too.
+    parsed = F.length(F.concat_ws("", *LOG_COLUMNS)) >= 0
+    return LogScan(
+        found.where(~wrong).select(*LOG_COLUMNS),
+        found.where(wrong & parsed).select(F.col("_metadata.file_path").alias("file"), F.col("_line").alias("line")),
+    )
+
+
+def reject_counts(rejects: DataFrame) -> DataFrame:
+    """(file, lines): rejected lines of each file that has any."""
+    return rejects.groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def scan_users(spark: SparkSession, path: str) -> DataFrame:
     """The user directory; a malformed date becomes NULL."""
     rows = _read_named_columns(spark, path, USER_COLUMNS)

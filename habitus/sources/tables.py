@@ -6,14 +6,14 @@ import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from habitus.config import DEFAULTS, PREVIEW_COLUMNS, Settings
+from habitus.sources import generations
+from habitus.sources.footers import read_footers
 
 # Table names inside an output folder.
 LOGON_TABLE = "logon"
@@ -57,6 +57,23 @@ def read_table(
         return reader.parquet(path)
 
 
+def write_days(df: DataFrame, path: str, settings: Settings = DEFAULTS) -> None:
+    """Write rows into a folder per day; only the days that ``df`` has are replaced.
+
+    Days are cut by ranges of (day, actor), so that a day of very many rows is several tasks. Spark
+    writes into a staging folder and swaps the folders of the days at the end: a lost job changes none.
+    """
+    keys = [settings.day, settings.actor]
+    (
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(settings.day)
+        .parquet(path)
+    )
+
+
 def _bucket(actor: Column, buckets: int) -> Column:
     """Checksum bucket of an actor; ``_bucket_number`` gives the same without a job."""
     return (F.crc32(actor) % buckets).cast("int")
@@ -77,7 +94,8 @@ def write_serving(
 
     Range partitioning on (actor, day) rather than on the actor alone lets a
     heavy actor span several files; the statistics of the small row groups then
-    let a lookup skip all others. ``partitions`` None leaves the width to the
+    let a lookup skip all others. Within bounds a group is skipped by its dictionary of actors, or
+    by a bloom filter where there are too many for one. ``partitions`` None leaves the width to the
     session and to adaptive execution.
 
     A table of very many files should also set ``buckets``: actors are then hashed
@@ -98,6 +116,8 @@ def write_serving(
         .write.mode("overwrite")
         .option("compression", "zstd")
         .option("parquet.block.row.count.limit", settings.row_group_rows)
+        .option(f"parquet.bloom.filter.enabled#{settings.actor}", "true")
+        .option(f"parquet.bloom.filter.expected.ndv#{settings.actor}", settings.row_group_rows)
     )
     if buckets:
         writer = writer.partitionBy(keys[0])
@@ -159,36 +179,14 @@ def lookup(
     return table.where(F.col(settings.actor) == F.lit(actor)).select(*settings.served_columns)
 
 
-def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows and row groups of each file, from its own footer."""
-    for batch in batches:
-        found = [pq.ParquetFile(pa.py_buffer(c.as_buffer())).metadata for c in batch.column(2)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(1),
-                pa.array([m.num_rows for m in found], pa.int64()),
-                pa.array([m.num_row_groups for m in found], pa.int64()),
-            ],
-            names=["file", "bytes", "rows", "row_groups"],
-        )
-
-
 def layout_report(spark: SparkSession, path: str) -> DataFrame:
-    """Rows, row groups and bytes of each file (by its path), as they were written.
+    """Bytes, rows and row groups of each file (by its path), as they were written.
 
-    The footers are read by the tasks that get the files, whatever store they lie in.
+    A task reads the end of its files only.
     """
-    with guard_missing(path, "write the serving layout"):
-        files = (
-            spark.read.format("binaryFile")
-            .option("pathGlobFilter", "*.parquet")
-            .option("recursiveFileLookup", True)
-            .load(path)
-        )
-    return files.select("path", "length", "content").mapInArrow(
-        _footers, "file string, bytes long, rows long, row_groups long"
-    )
+    if not generations.names(spark, path):
+        raise MissingSource(f"Missing {path}: write the serving layout.")
+    return read_footers(spark, path).select("file", "bytes", "rows", "row_groups", "largest_group")
 
 
 def layout_totals(spark: SparkSession, path: str) -> DataFrame:

@@ -23,32 +23,79 @@ from habitus.operators.access import (
     micros_to_ts,
     nullable,
 )
+from habitus.sources import generations
+
+#: Batches of audit pairs that lie in folders of their own.
+MERGE_EVERY = 8
 
 #: Seconds by which requests may come late, behind the newest one of any client.
 LATENESS_SECONDS = 3600
 
 
-def stream_audit(spark: SparkSession, path: str) -> DataFrame:
+def stream_audit(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Lookups from a folder that audit files keep arriving in."""
-    return lookups(spark.readStream.schema(AUDIT_SCHEMA).json(path))
+    files = spark.readStream.schema(AUDIT_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+    return lookups(files.json(path))
 
 
-def write_audit_pairs(accesses: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
-    """Write the pairs of each batch under its own number.
+def write_audit_pairs(
+    accesses: DataFrame, folder: str, checkpoint: str, merge_every: int = MERGE_EVERY
+) -> DataStreamWriter:
+    """Write the pairs of each batch under its own number, and merge the batches now and then.
 
-    The batch transform is the one the batch report uses. Nothing is kept between
-    batches, and a repeated batch overwrites its own folder.
+    The batch transform is the one the batch report uses. Nothing is kept between batches, and a
+    repeated batch overwrites its own folder, or is passed over if it is merged already. After every
+    ``merge_every`` batches they are added to the generation before (0: never).
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number <= _merged_until(spark, folder):
+            return
         audit_pairs(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        if merge_every and (number + 1) % merge_every == 0:
+            merge_audit_pairs(spark, folder, number)
 
     return accesses.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def _merged_until(spark: SparkSession, folder: str) -> int:
+    """Number of the last batch that is part of a generation, -1 without one."""
+    return int(generations.latest(spark, folder) or -1)
+
+
+def _batches(spark: SparkSession, folder: str) -> list[int]:
+    return sorted(int(n.removeprefix("batch=")) for n in generations.names(spark, f"{folder}/batch=*"))
+
+
+def merge_audit_pairs(spark: SparkSession, folder: str, until: int) -> None:
+    """Merge the batches up to ``until`` into one generation and remove their folders.
+
+    A batch counts either by its folder or by the newest generation, whose name says up to which
+    batch it goes; so a merge that is lost before or after its commit can be repeated.
+    """
+    if until > _merged_until(spark, folder):
+        pairs = _pairs(spark, folder, until)
+        generations.write(merge_pairs(pairs), folder, f"{until:012d}")
+    for number in _batches(spark, folder):
+        if number <= until:
+            generations.remove(spark, f"{folder}/batch={number}")
+
+
+def _pairs(spark: SparkSession, folder: str, until: int | None = None) -> DataFrame:
+    """Rows of the newest generation and of the batches after it."""
+    merged = _merged_until(spark, folder)
+    numbers = [n for n in _batches(spark, folder) if n > merged and (until is None or n <= until)]
+    fresh = [f"{folder}/batch={n}" for n in numbers]
+    if merged < 0:
+        return spark.read.parquet(*fresh) if fresh else spark.read.parquet(folder)
+    whole = generations.read(spark, folder, f"{merged:012d}")
+    return whole.unionByName(spark.read.schema(whole.schema).parquet(*fresh)) if fresh else whole
+
+
 def read_audit_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """All batches merged to one row per accessor and user."""
-    return merge_pairs(spark.read.parquet(folder).drop("batch"))
+    return merge_pairs(_pairs(spark, folder))
 
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
