@@ -215,7 +215,7 @@ def test_search_pushes_the_names(spark, scores, tmp_path):
         read = plan(found)
         assert found.isEmpty() or "In(user, [" in read or "EqualTo(user" in read
         assert "Contains" not in read and "RLIKE" not in read
-    beyond = search.search_threats(scores, actors, "1", most=1)
+    beyond = search.search_threats(scores, actors, "1", most=0)
     assert "contains(lower(user" in plan(beyond).lower() and rows(beyond) == rows(serving.matching_threats(scores, user="1"))
 
 
