@@ -3,8 +3,9 @@
 A seed is a fixed mask over nine neighbouring words that looks at six and ignores three. Test
 items and documents are hashed under each mask at every position and joined on the hash, so a
 substituted word only hides the positions where every mask looks at it. Around each hit the
-words of both texts are compared one by one over a window of ``WINDOW`` words of the item (all of
-it, if shorter); the overlap holds if at least ``SHARE`` of the words are equal.
+words of both texts are compared one by one over every window of ``WINDOW`` words of the item (all
+of it, if shorter) that holds the seed; the overlap holds if at least ``SHARE`` of the words of one
+are equal.
 
 Native: words, hashes, join and verification are column expressions. The seeds of the test items
 are broadcast in blocks of a counted, bounded number of rows; documents are read once for each
@@ -76,9 +77,10 @@ def _seeds(df: DataFrame, masks: list[tuple[int, str]]) -> DataFrame:
 
 
 def _item_seeds(items: DataFrame) -> tuple[DataFrame, list[tuple[int, str]]]:
-    """(item_id, near, back, seed) of all items, and the masks; short items have one for their length.
+    """(item_id, near, back, size, seed) of all items, and the masks; short items have one for their length.
 
-    ``near``: at most ``WINDOW`` words of the item around the seed; ``back``: the seed's place there.
+    ``near``: the words of all windows of ``size`` words of the item that hold the seed; ``back``: the
+    seed's place there.
     """
     words = store(_words(items, "item_id").withColumnRenamed("words", "item").where("size(item) > 0"), "items")
     short = words.where(F.size("item") < _SPAN).select(F.size("item").alias("n")).distinct().collect()
@@ -89,12 +91,14 @@ def _item_seeds(items: DataFrame) -> tuple[DataFrame, list[tuple[int, str]]]:
         for number, mask in masks[len(MASKS) :]
     ]
     size = F.least(F.lit(WINDOW), F.size("words"))
-    middle = F.col("at") - F.floor((size - _SPAN) / 2).cast("int")
-    first = F.greatest(F.lit(0), F.least(middle, F.size("words") - size))
+    beside = size - F.least(F.lit(_SPAN), F.size("words"))
+    first = F.greatest(F.lit(0), F.col("at") - beside)
+    end = F.least(F.size("words"), F.col("at") + size)
     seeds = reduce(DataFrame.unionByName, parts).select(
         "item_id",
-        F.slice("words", first + 1, size).alias("near"),
+        F.slice("words", first + 1, end - first).alias("near"),
         (F.col("at") - first).alias("back"),
+        size.alias("size"),
         "seed",
     )
     return store(seeds, "seeds"), masks
@@ -106,20 +110,27 @@ def overlaps(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFra
     seeds, masks = _item_seeds(items)
     blocks = -(-max(1, seeds.count()) // BLOCK_ROWS)
     placed = _seeds(_runs(_words(docs, "doc_id")), masks)
-    cut = F.greatest(F.lit(0), F.col("back") - F.col("at"))  # words of the window before the run
+    cut = F.greatest(F.lit(0), F.col("back") - F.col("at"))  # words of ``near`` before the run
     from_ = F.greatest(F.lit(0), F.col("at") - F.col("back"))
-    equal = F.expr("size(filter(transform(here, (w, k) -> w = get(near, k + cut)), same -> same))")
+    equal = F.expr("transform(near, (w, k) -> IF(k >= cut AND w = get(here, k - cut), 1, 0))")
+    windows = F.expr(
+        "transform(sequence(0, size(near) - size), s -> struct(s AS head,"
+        " aggregate(slice(equal, s + 1, size), 0, (n, x) -> n + coalesce(x, 0)) AS equal_words))"
+    )
     found = []
     for block in range(blocks):
         own = seeds.where(F.pmod("seed", F.lit(blocks)) == block) if blocks > 1 else seeds
         # Rows carry the few words around a hit, not the run. The explode keeps the comparison
         # out of the join, which would otherwise copy the run for each of its words.
         hits = placed.join(F.broadcast(own), "seed").select(
-            "doc_id", "item_id", "near", cut.alias("cut"), (F.col("base") + from_).alias("doc_word"),
+            "doc_id", "item_id", "near", "size", cut.alias("cut"), (F.col("base") + from_).alias("from"),
             F.slice("words", from_ + 1, F.size("near") - cut).alias("here"),
         )
-        hits = hits.select("*", F.explode_outer(F.array(equal)).alias("equal_words"))
-        hits = hits.withColumn("window_words", F.size("near"))
+        hits = hits.select("*", F.explode_outer(F.array(equal)).alias("equal"))
+        hits = hits.select("doc_id", "item_id", "size", "cut", "from", F.inline_outer(windows))
+        hits = hits.withColumn("window_words", F.col("size")).withColumn(
+            "doc_word", F.col("from") + F.greatest(F.lit(0), F.col("head") - F.col("cut"))
+        )
         found.append(hits.where(F.col("equal_words") >= F.ceil(share * F.col("window_words"))))
     best = F.max(F.struct("equal_words", "window_words", (-F.col("doc_word")).alias("back")))
     return (

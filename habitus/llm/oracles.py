@@ -71,7 +71,7 @@ FROM d LEFT JOIN g USING (r)
 
 _OP4 = r"""
 WITH c AS (
-  SELECT page_id, url, 1704067200 + (page_id * 7919) % 31104000 AS "at",
+  SELECT row_number() OVER () AS r, page_id, url, 1704067200 + (page_id * 7919) % 31104000 AS "at",
     nullif(regexp_replace(regexp_extract(lower(url),
       '^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.+$', ''), '') AS host
   FROM pages),
@@ -91,17 +91,16 @@ e AS (
   UNION ALL SELECT 'allow-urls', scope, value, 1704067200 + (k % 300) * 86400, NULL
   FROM n WHERE scope = 'url' AND k % 50 = 0),
 m AS (
-  SELECT c.page_id, c.url, c."at", e.list, e.scope, e.value, e.since
-  FROM c JOIN e ON c.host IS NOT NULL AND c."at" >= e.since AND (e.until IS NULL OR c."at" < e.until) AND (
+  SELECT c.r, e.list, e.scope, e.value, e.since
+  FROM c JOIN e ON c."at" >= e.since AND (e.until IS NULL OR c."at" < e.until) AND (
     e.scope = 'host' AND e.value = c.host
     OR e.scope = 'url' AND e.value = lower(trim(c.url, ' '))
     OR e.scope = 'domain' AND (e.value = c.host OR (ends_with(c.host, '.' || e.value) AND contains(e.value, '.')))))
-SELECT c.page_id, c.url, c."at", count(DISTINCT (m.list, m.scope, m.value)) FILTER (m.list IS NOT NULL) AS entries,
+SELECT any_value(c.page_id) AS page_id, any_value(c.url) AS url, any_value(c."at") AS "at",
+  count(DISTINCT (m.list, m.scope, m.value)) FILTER (m.list IS NOT NULL) AS entries,
   coalesce(string_agg(DISTINCT m.list, ',' ORDER BY m.list), '') AS lists, min(m.since) AS since,
   CASE WHEN bool_or(m.list LIKE 'allow%') THEN 'allow' WHEN count(m.list) > 0 THEN 'block' ELSE 'pass' END AS verdict
-FROM (SELECT DISTINCT page_id, url, "at", host FROM c) c
-LEFT JOIN m ON m.page_id IS NOT DISTINCT FROM c.page_id AND m.url IS NOT DISTINCT FROM c.url
-GROUP BY c.page_id, c.url, c."at"
+FROM c LEFT JOIN m USING (r) GROUP BY r
 """
 
 
@@ -128,15 +127,14 @@ dk AS (
   FROM dp, (SELECT DISTINCT len(w) AS n FROM i WHERE len(w) BETWEEN 1 AND {_SPAN - 1}) WHERE p + n <= len(w)),
 h AS (
   SELECT doc_id, item_id, ik.w AS item, dk.w AS words, dk.p AS here, ik.p AS there,
-    least({WINDOW}, len(ik.w)) AS size,
-    greatest(0, least(ik.p - CAST(floor((least({WINDOW}, len(ik.w)) - {_SPAN}) / 2.0) AS INT),
-      len(ik.w) - least({WINDOW}, len(ik.w)))) AS head
+    least({WINDOW}, len(ik.w)) AS size, least({_SPAN}, len(ik.w)) AS span
   FROM dk JOIN ik USING (key)),
+v AS (SELECT *, unnest(range(greatest(0, there - (size - span)), least(there, len(item) - size) + 1)) AS head FROM h),
 e AS (
   SELECT doc_id, item_id, size, greatest(0, here - there + head) AS doc_word,
     len(list_filter(range(size), lambda k: here - there + head + k >= 0
       AND coalesce(words[here - there + head + k + 1] = item[head + k + 1], false))) AS equal_words
-  FROM h)
+  FROM v)
 SELECT doc_id, item_id, b.size AS window_words, b.equal_words, -b.back AS doc_word FROM (
   SELECT doc_id, item_id, max(struct_pack(equal_words := CAST(equal_words AS BIGINT), size := CAST(size AS BIGINT),
     back := CAST(-doc_word AS BIGINT))) AS b

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from habitus.llm.components import components
-from habitus.llm.store import empty_text, small, store
+from habitus.llm.store import empty_text, small, store, without_ids
 
 #: Fingerprints of one key that a task compares at once.
 HELD = 1024
@@ -298,3 +298,36 @@ def near_duplicates(docs: DataFrame, length: int = 3, most: int = BITS) -> DataF
     return lone.join(named, "class", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+#: Column of the numbers of rows.
+_ROW = "_row_number"
+
+
+def deduplicated(docs: DataFrame, length: int = 3, most: int = BITS) -> DataFrame:
+    """One row of each group of near-duplicate rows of ``docs``, with all columns.
+
+    Rows are told apart by a number of their own: rows that repeat a doc_id, or have none, are linked
+    by their texts as any others. Of a group the row with the smallest doc_id stays (null last), of
+    equal ones the one whose text has the smallest md5, of equal texts any one.
+    """
+    # Stored, so that the number of a row is the same wherever it is read.
+    rows = store(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col(_ROW).alias("doc_id"), "text"), length, most)
+    groups = store(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups")
+    several = store(groups.groupBy("_group").count().where("count > 1").select("_group"), "several")
+    members = groups.join(small(several), "_group")
+    order = F.struct(
+        F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+        F.md5(empty_text()).alias("hash"), F.col(_ROW).alias("row"),
+    )
+    ranked = store(
+        rows.select(_ROW, order.alias("order")).join(members, F.col(_ROW) == F.col("_row")).select("_row", "_group", "order"),
+        "members",
+    )
+    first = store(ranked.groupBy("_group").agg(F.min("order").alias("first")), "first")
+    gone = store(
+        ranked.join(small(first), "_group").where(F.col("order.row") != F.col("first.row")).select(F.col("_row").alias(_ROW)),
+        "near-duplicates",
+    )
+    return without_ids(rows, gone, _ROW).drop(_ROW)

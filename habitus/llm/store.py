@@ -42,22 +42,6 @@ def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     return df.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
 
 
-def one_row_per_id(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row for each non-null key; rows without a key all stay.
-
-    Only the rows of keys that do repeat are shuffled.
-    """
-    repeated = store(
-        df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key),
-        "repeated",
-    )
-    again = small(repeated.select(F.col(key).alias("_again")))
-    match = F.col(key) == F.col("_again")
-    return df.join(again, match, "left_anti").unionByName(
-        df.join(again, match, "left_semi").dropDuplicates([key])
-    )
-
-
 def earlier_sums(totals: DataFrame, order: tuple[str, ...], amount: str, out: str) -> DataFrame:
     """``totals`` with ``out``: the sum of ``amount`` over all rows before in ``order``; stored.
 

@@ -8,12 +8,12 @@ predictions, so a later model learns how far an earlier one can be trusted on un
 
 Features are the distinct words of the whole text. A model keeps those that are more frequent
 among its category's documents than chance explains, at most ``FEATURES``; the choice is made
-anew within each fold. The models are fitted on at most ``SAMPLE`` labelled rows, chosen by a
-hash of doc_id; everything else covers all rows.
+anew within each fold. The models are fitted on at most ``SAMPLE`` labelled texts, distinct by
+doc_id and text and chosen by a hash of doc_id; everything else covers all rows.
 
 Cases: a null or empty text gives the probability without any word; a null label is no label;
-of several labels of one document the toxic one holds, and of a repeated doc_id each row is a
-training row; without any toxic label nothing is toxic; empty tables give no rows; columns
+of several labels of one document the toxic one holds, and each distinct text of a repeated
+doc_id is trained on once; without any toxic label nothing is toxic; empty tables give no rows; columns
 other than doc_id, text, lang and toxic are not looked at.
 """
 
@@ -155,7 +155,10 @@ def _entries(texts: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tupl
 
 
 def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, english, toxic, words) of at most ``sample`` labelled documents' rows."""
+    """(doc_id, english, toxic, words) of at most ``sample`` distinct (doc_id, text) with a label.
+
+    Rows that repeat both are one, English if one of them is.
+    """
     known = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -163,7 +166,12 @@ def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     )
     rows = docs.select(
         "doc_id", F.coalesce(F.col("lang") == "en", F.lit(False)).alias("english"), empty_text()
-    ).join(F.broadcast(known), "doc_id")
+    ).join(F.broadcast(known), "doc_id").withColumn("hash", F.xxhash64("text"))
+    # At most ``sample`` pairs, however many rows have one of the ids or one text.
+    chosen = rows.select("doc_id", "hash").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "hash").limit(sample)
+    rows = rows.join(F.broadcast(chosen), ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(
+        F.max("english").alias("english"), F.max("toxic").alias("toxic"), F.max("text").alias("text")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

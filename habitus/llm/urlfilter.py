@@ -60,13 +60,14 @@ def _keys(captures: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
         lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."),
     )
-    named = F.concat(
+    url = F.array(F.struct(F.lit("url").alias("scope"), F.lower(F.trim("url")).alias("value")))
+    hosts = F.concat(
         F.array(F.struct(F.lit("host").alias("scope"), F.col("host").alias("value"))),
         F.transform(parents, lambda p: F.struct(F.lit("domain").alias("scope"), p.alias("value"))),
-        F.array(F.struct(F.lit("url").alias("scope"), F.lower(F.trim("url")).alias("value"))),
     )
-    rows = captures.select("page_id", "url", "at", host.alias("host")).where("host IS NOT NULL AND at IS NOT NULL")
-    return rows.select("page_id", "url", "at", _period(F.col("at")).alias("period"), F.inline(named))
+    named = F.when(F.col("host").isNull(), url).otherwise(F.concat(hosts, url))
+    rows = captures.select("page_id", "url", "at", host.alias("host")).where("url IS NOT NULL AND at IS NOT NULL")
+    return rows.distinct().select("page_id", "url", "at", _period(F.col("at")).alias("period"), F.inline(named))
 
 
 def matches(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -93,18 +94,24 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """(page_id, url, at, entries, lists, since, verdict) for each capture.
 
     ``allow`` if any list whose name begins with "allow" names it, else ``block`` if any other
-    does, else ``pass``. ``since``: when the oldest of the active entries was added. Repeated
-    captures (equal page_id, url and time) have one row.
+    does, else ``pass``. ``since``: when the oldest of the active entries was added. Captures that
+    agree in page_id, url and time are judged once and returned as often as they stand in the table.
+    A URL without a host is met by entries for that URL only.
     """
     rows = captures.select("page_id", "url", "at")
     found = matches(captures, entries).select("page_id", "url", "at", "list", "scope", "value", "since")
     marked = rows.select("*", *[F.lit(None).cast("string").alias(c) for c in ("list", "scope", "value")])
     marked = marked.withColumn("since", F.lit(None).cast(captures.schema["at"].dataType))
+    marked = marked.withColumn("_copies", F.lit(1))
+    found = found.withColumn("_copies", F.lit(0))
     each = marked.unionByName(found).groupBy("page_id", "url", "at").agg(
+        F.sum("_copies").cast("int").alias("_copies"),
         F.count_distinct("list", "scope", "value").alias("entries"),
         F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"),
         F.min("since").alias("since"),
         F.coalesce(F.bool_or(F.startswith("list", F.lit("allow"))), F.lit(False)).alias("allowed"),
     )
     verdict = F.when(F.col("allowed"), "allow").when(F.col("entries") > 0, "block").otherwise("pass")
-    return each.withColumn("verdict", verdict).drop("allowed")
+    each = each.withColumn("verdict", verdict).drop("allowed")
+    again = F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")
+    return each.select("*", again).drop("_copy", "_copies")

@@ -93,5 +93,12 @@ def test_odd_rows_pass_every_stage(spark, sample, make_docs):
             rows = stage(spark, rows, sample)
         assert rows.count() == 0 or none is docs
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, sample).collect()
-    assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == [1, 3, 4]
-    assert sum(r.doc_id is None for r in kept) == 2
+    assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == [("3", "x y z"), ("4", "p q r s t"), ("None", "a b c")]
+    assert [r.doc_id for r in kept if not r.text] == [1]  # blank texts are one group
+
+
+def test_unrelated_rows_of_one_id_stay(spark, sample, words):
+    rows = [(1, words(1, 30)), (1, words(2, 30)), (None, words(1, 30)), (None, words(3, 30))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sample).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in (rows[0], rows[1], rows[3]))

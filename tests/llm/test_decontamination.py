@@ -29,12 +29,13 @@ def by_hand(docs, items):
             for p in range(len(w) - len(m) + 1):
                 for i, t, j in known.get(tuple(w[p + k] for k in looked), ()):
                     size = min(D.WINDOW, len(t))
-                    first = max(0, min(j - (size - span) // 2, len(t) - size))
-                    at = p - j + first
-                    same = sum(0 <= at + k < len(w) and w[at + k] == t[first + k] for k in range(size))
-                    if same >= D.SHARE * size:
-                        best = (same, size, -max(0, at))
-                        found[d, i] = max(best, found.get((d, i), best))
+                    held = min(span, len(t))
+                    for first in range(max(0, j - (size - held)), min(j, len(t) - size) + 1):
+                        at = p - j + first
+                        same = sum(0 <= at + k < len(w) and w[at + k] == t[first + k] for k in range(size))
+                        if same >= D.SHARE * size:
+                            best = (same, size, -max(0, at))
+                            found[d, i] = max(best, found.get((d, i), best))
     return {(d, i, size, same, -back) for (d, i), (same, size, back) in found.items()}
 
 
@@ -104,3 +105,27 @@ def test_a_passage_many_times(spark, case):
     docs = spark.createDataFrame([(1, " ".join([items[0][1]] * 800))], "doc_id long, text string")
     rows = D.overlaps(docs, items_df).collect()
     assert {(r.item_id, r.equal_words, r.doc_word) for r in rows} == {(0, 16, 0), (9, 16, 0)}
+
+
+def test_recall_over_all_substitutions(spark, words):
+    """All ways to substitute up to three words of an overlap that some window accepts, masks or not."""
+    from itertools import combinations
+
+    item = words(5000, 40).split()
+    docs, wanted = [], []
+    for size in range(13, 21):
+        for count in range(4):
+            for places in combinations(range(size), count):
+                held = [k not in places for k in range(size)]
+                around = [False] * 20 + held + [False] * 20
+                if max(sum(around[k : k + D.WINDOW]) for k in range(len(around) - D.WINDOW)) < D.SHARE * D.WINDOW:
+                    continue
+                own = [item[10 + k] if same else "zzz" for k, same in enumerate(held)]
+                docs.append((len(docs), "aaa bbb ccc " + " ".join(own) + " ddd eee"))
+                wanted.append((size, count))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id for r in D.overlaps(frame, items).collect()}
+    for kind in sorted(set(wanted)):
+        mine = [k for k, w in enumerate(wanted) if w == kind]
+        assert sum(k in found for k in mine) >= 0.97 * len(mine), kind

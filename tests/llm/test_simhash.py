@@ -122,3 +122,17 @@ def test_no_documents(make_docs):
 def test_too_many_bits(make_docs):
     with pytest.raises(ValueError):
         simhash.near_duplicates(make_docs(["x"]), most=4)
+
+
+def test_one_row_of_each_group_stays(spark, words):
+    same, other, third = words(1, 40), words(2, 40), words(3, 40)
+    rows = [(5, same), (9, same), (None, same), (None, same), (7, other), (7, third), (7, third), (None, other + " x")]
+    rows += [(None, None), (3, ""), (None, words(4, 40)), (None, words(4, 40)), (11, words(5, 40)), (11, words(5, 40))]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, bits int").repartition(3)
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    want = [(5, same), (7, other), (7, third), (3, ""), (None, words(4, 40)), (11, words(5, 40))]
+    near = (None, other + " x")  # stays beside ``other`` unless its bits are near
+    assert [g for g in got if g != ("None", near[1])] == sorted((str(i), t) for i, t in want)
+    assert simhash.deduplicated(docs.where("false")).count() == 0

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from habitus.llm import toxicity
 
 
@@ -60,6 +62,17 @@ def test_training_is_repeatable_and_bounded(corpus):
         assert (a.words == b.words).all() and abs(a.bias - b.bias) < 1e-9
 
 
+def test_the_bound_holds_for_rows(corpus):
+    docs, labels = corpus
+    one = labels.where("toxic = 1").select("doc_id").first()[0]
+    many = docs
+    for k in range(5):  # one labelled id with very many rows, of equal and of different texts
+        again = docs.where(f"doc_id = {one}").withColumn("text", F.concat("text", F.lit(f" {k}")))
+        many = many.unionByName(again).unionByName(again)
+    assert toxicity.labelled_words(many, labels.where(f"doc_id = {one}")).count() == 6
+    assert toxicity.labelled_words(many, labels, 2).count() == 2
+
+
 def test_later_models_see_the_earlier_categories(corpus):
     docs, labels = corpus
     chain = toxicity.train(docs, labels)
@@ -77,11 +90,11 @@ def test_without_toxic_labels_nothing_is_toxic(corpus):
 
 
 def test_sample_documents(spark, sample):
-    folder = sample.replace("0.001", "0.01")
+    folder = sample.replace("0.001", "0.1")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     chain = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
     rows = toxicity.score(docs, chain).join(
         labels.select("doc_id", labels.toxic.alias("label")).where("doc_id % 2 = 1"), "doc_id"
     ).collect()
     assert sum(r.toxic and not r.label for r in rows) <= 0.02 * len(rows)
-    assert sum(r.toxic and r.label > 0 for r in rows) >= 0.5 * sum(r.label > 0 for r in rows)
+    assert sum(r.toxic and r.label > 0 for r in rows) >= 0.8 * sum(r.label > 0 for r in rows)

@@ -61,7 +61,7 @@ def test_each_fetch_meets_the_entries_of_its_time(case):
                 parts = (host or "").split(".")
                 parents = {".".join(parts[i:]) for i in range(max(1, len(parts) - 1))}
                 named = {"host": value == host, "domain": value in parents, "url": value == (url or "").lower()}[scope]
-                if day is not None and host and named and on(name, scope, value, day):
+                if day is not None and url and named and on(name, scope, value, day):
                     want.add((name, scope, value))
             assert r.entries == len(want), (url, day, r, want)
             assert r.lists == ",".join(sorted({w[0] for w in want}))
@@ -69,6 +69,18 @@ def test_each_fetch_meets_the_entries_of_its_time(case):
             assert r.verdict == ("allow" if "allow-urls" in names else "block" if names else "pass")
 
 
+def test_every_row_is_judged(spark):
+    """Repeated captures stay, and a URL without a host is met by an entry for it."""
+    at = lambda d: START + timedelta(days=d)
+    entries = spark.createDataFrame(
+        [("block-urls", "url", "example.com/x", at(1), "add")], "list string, scope string, value string, at timestamp, action string"
+    )
+    rows = [(1, "example.com/x", at(5)), (1, "example.com/x", at(5)), (None, None, None), (None, None, None), (2, "example.com/x", at(0))]
+    captures = spark.createDataFrame(rows, "page_id long, url string, at timestamp")
+    got = sorted((str(r.page_id), r.verdict, r.entries) for r in urlfilter.judged(captures, entries).collect())
+    assert got == [("1", "block", 1), ("1", "block", 1), ("2", "pass", 0), ("None", "pass", 0), ("None", "pass", 0)]
+
+
 def test_intervals(case):
     rows = urlfilter.intervals(case[1]).where("value = 'a.example.com'").orderBy("since").collect()
     days = [((r.since - START).days, r.until and (r.until - START).days) for r in rows]
