@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from habitus.llm import decontamination, packing, pii, simhash, toxicity
 from habitus.llm.queries import table, vocabulary
-from habitus.llm.store import one_row_per_id, store, without_ids
+from habitus.llm.store import store
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,16 +23,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id.
+    """One row of each group of near-duplicates: the one with the smallest doc_id, null last.
 
-    Rows that repeat a doc_id are one document, and one of them stays. Of groups that have no
-    doc_id at all every row stays, as there is nothing to name them by.
+    Groups are formed by the texts of rows, whatever doc_id they repeat or lack.
     """
-    classes = simhash.near_duplicates(docs, length=3, most=3)
-    gone = store(
-        classes.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates"
-    )
-    return one_row_per_id(without_ids(docs, gone))
+    return simhash.deduplicated(docs, length=3, most=3)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
