@@ -3,9 +3,14 @@
 A page is read once from left to right into flat blocks: text between tags that break lines. For
 each block the tree sees its word count and link density, those of the block before and after
 it, whether it lies in markup that names it content (article, main; or beside such markup, or the
-page has none), and whether in markup that names it something else (menus, headers, footers,
-asides, forms; or classes, ids and roles that say so). The tree is
-grown by Gini impurity on the small labelled table ``LABELLED`` below.
+page has none), whether in markup that is something else by its element, role or hiding (menus,
+headers, footers, asides), and how much of the page's text the innermost region holds whose class or
+id speaks of something else. The tree is grown by Gini impurity on the small labelled table below.
+
+Names are evidence, not a verdict: a wrapper with most of the page's words is no menu, whatever it is
+called. Classes and ids of html, body, main, article, headings and paragraphs say nothing; those of a
+section only if every part is a known word. A region that is wholly named as readers' comments is
+something else at any size. A form is a region like a named one.
 
 Text of the blocks found is decoded, its white space folded, and joined in page order.
 
@@ -29,12 +34,12 @@ from pyspark.sql import functions as F
 
 FEATURES = (
     "words", "link_density", "words_before", "density_before", "words_after", "density_after",
-    "content_markup", "other_markup",
+    "content_markup", "other_markup", "named_share",
 )
 
-#: Labelled blocks: the features in the order above, then 1 for main text. Content markup is 1
+#: Labelled blocks outside of named regions: the features in the order above, then 1 for main text. Content markup is 1
 #: within it, -1 outside of it, and 0 on pages that have none.
-LABELLED = (
+_UNNAMED = (
     # Menus, link lists and breadcrumbs.
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0),
     (2, 1.0, 1, 1.0, 8, 0.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0),
@@ -67,8 +72,35 @@ LABELLED = (
     (6, 0.0, 40, 0.0, 55, 0.0, 0, 0, 1), (18, 0.0, 30, 0.0, 28, 0.0, 0, 0, 1),
     (35, 0.0, 50, 0.0, 5, 0.0, 0, 0, 1), (22, 0.1, 25, 0.0, 3, 1.0, 0, 0, 1),
     (5, 0.0, 25, 0.0, 30, 0.0, 0, 0, 1), (150, 0.02, 9, 0.0, 12, 0.0, 0, 0, 1),
+    # Their short last paragraphs, and notices, imprints and copyright lines without any markup.
+    (20, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1), (12, 0.0, 45, 0.0, 0, 0.0, 0, 0, 1), (30, 0.1, 50, 0.0, 0, 0.0, 0, 0, 1),
+    (34, 0.0, 60, 0.0, 7, 0.2, 0, 0, 1), (16, 0.0, 30, 0.0, 8, 0.0, 0, 0, 1),
+    (8, 0.0, 45, 0.0, 0, 0.0, 0, 0, 0), (6, 0.3, 30, 0.0, 0, 0.0, 0, 0, 0), (5, 0.0, 12, 0.0, 0, 0.0, 0, 0, 0),
+    (8, 0.0, 20, 0.0, 14, 0.1, 0, 0, 0), (14, 0.1, 8, 0.0, 0, 0.0, 0, 0, 0), (20, 0.05, 7, 0.0, 0, 0.0, 0, 0, 0),
+    (14, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0), (22, 0.1, 0, 0.0, 2, 1.0, 0, 0, 0),
+)
+
+#: Labelled blocks in named regions: the share of the page's words that the region has, then the label.
+_NAMED = (
+    # Small ones: adverts, notices, teasers, comments.
+    (8, 0.0, 1, 1.0, 9, 0.0, 0, 0, 0.05, 0), (30, 0.0, 1, 1.0, 12, 0.0, 0, 0, 0.15, 0),
+    (45, 0.0, 40, 0.0, 35, 0.0, 1, 0, 0.12, 0), (12, 0.1, 40, 0.0, 35, 0.0, 1, 0, 0.2, 0),
+    (60, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0.3, 0), (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0.05, 0),
+    (25, 0.0, 3, 0.0, 20, 0.0, 1, 0, 0.3, 0), (2, 0.0, 60, 0.0, 25, 0.0, 1, 0, 0.25, 0),
+    (90, 0.0, 40, 0.0, 9, 0.0, 0, 0, 0.35, 0), (16, 0.0, 0, 0.0, 40, 0.0, 0, 0, 0.1, 0),
+    (14, 0.0, 30, 0.0, 0, 0.0, 1, 0, 0.27, 0), (1, 0.0, 41, 0.0, 0, 0.0, 0, 0, 0.01, 0),
+    (5, 0.0, 60, 0.0, 2, 0.0, 1, 0, 0.02, 0), (1, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0.01, 0),
+    (3, 0.0, 0, 0.0, 40, 0.0, 1, 0, 0.05, 0), (4, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0.05, 0), (40, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0.4, 0),
+    # Wrappers of the text, and link lists in them.
+    (60, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1.0, 1), (60, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1.0, 1),
+    (60, 0.0, 8, 0.0, 50, 0.0, 1, 0, 0.9, 1), (7, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0.8, 1),
+    (25, 0.1, 40, 0.0, 30, 0.0, 0, 0, 0.65, 1), (120, 0.02, 9, 0.0, 80, 0.0, 1, 0, 0.7, 1),
+    (12, 0.0, 45, 0.0, 0, 0.0, 1, 0, 0.95, 1), (40, 0.0, 6, 0.0, 50, 0.0, 0, 0, 0.6, 1),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0.9, 0), (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0.65, 0),
 )
 
+LABELLED = tuple((*row[:-1], 0.0, row[-1]) for row in _UNNAMED) + _NAMED
+
 # Elements of HTML by their part in a page.
 _RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 _INLINE = {
@@ -82,11 +114,11 @@ _VOID = {
 }
 _CONTENT = {"article", "main"}
 _OTHER = {
-    "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "datalist", "fieldset",
+    "nav", "header", "footer", "aside", "menu", "dialog", "button", "select", "datalist",
     "svg", "canvas", "audio", "video", "object", "math", "head",
 }
 _OTHER_ROLES = {
-    "navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar",
+    "navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar",
     "dialog", "alert", "alertdialog", "toolbar", "status",
 }
 _OTHER_NAMES = re.compile(
@@ -97,6 +129,14 @@ _OTHER_NAMES = re.compile(
     r"skip|toolbar|tags)"
 )
 
+_READERS = re.compile(r"comments?|disqus|repl(?:y|ies)|respond")
+_LAYOUT_NAMES = re.compile(
+    r"(?:site|main|page|top|bottom|left|right|primary|secondary|global|post|article|content|box|bar|block|wrap|"
+    r"wrapper|container|area|section|lists?|links?|slot|unit|items?|inner|outer|user|body|thread|head|panel|side)"
+)
+_REGIONS = {"form", "fieldset"}
+_UNNAMEABLE = {"html", "body", "main", "article", "p", "h1", "h2", "h3", "h4", "h5", "h6"}
+
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[^>\"'])*)(>|$)"
     r"|<[!?/][^>]*(?:>|$)",
@@ -106,39 +146,43 @@ _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s
 
 
 @lru_cache(maxsize=4096)
-def _named_other(attributes: str, content: int) -> bool:
-    """Whether class, id, role or hiding say that an element is not main text.
+def _named(attributes: str, element: str, content: int) -> tuple[bool, bool]:
+    """Whether an element is something else by role, hiding or a name for comments; and whether its
+    class or id speaks of something else, so that it is a named region.
 
     The header of an article belongs to it.
     """
+    region = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role":
-            if value in _OTHER_ROLES:
-                return True
-        elif any(
-            _OTHER_NAMES.fullmatch(part) and not (content and part == "header")
-            for part in re.split(r"[^a-z]+", value)
-        ):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[str, float, int, int]]:
-    """(text, link density, in content markup, in other markup) of a page's flat blocks."""
-    found: list[tuple[str, float, int, int]] = []
-    open_: list[tuple[str, int, int, int]] = []  # element, content, other, link
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _OTHER_ROLES:
+            return True, False
+        if name not in ("class", "id") or element in _UNNAMEABLE:
+            continue
+        for token in value.split():
+            parts = [p for p in re.split(r"[^a-z]+", token) if p]
+            spoken = [p for p in parts if _OTHER_NAMES.fullmatch(p) and not (content and p == "header")]
+            whole = all(_OTHER_NAMES.fullmatch(p) or _LAYOUT_NAMES.fullmatch(p) for p in parts)
+            if whole and any(_READERS.fullmatch(p) for p in spoken):
+                return True, False
+            region |= bool(spoken) and (whole or element != "section")
+    return False, region
+
+
+def blocks(page: str) -> list[tuple[str, float, int, int, float]]:
+    """(text, link density, in content markup, in other markup, share of its region) of flat blocks."""
+    found: list[tuple[str, float, int, int, int]] = []
+    open_: list[tuple[str, int, int, int, int]] = []  # element, content, other, link, region
+    above = [0]  # the region around each region; 0 is the page
     parts: list[str] = []
     linked: list[str] = []
-    content = other = link = 0
+    content = other = link = region = 0
 
     def flush() -> None:
         text = " ".join(references.unescape("".join(parts)).split())
         if text:
             share = len("".join(linked).split()) / max(1, len(text.split()))
-            found.append((text, min(1.0, share), content, other))
+            found.append((text, min(1.0, share), content, other, region))
         parts.clear()
         linked.clear()
 
@@ -165,7 +209,7 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
                 flush()
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
-                    content, other, link = open_[k][1:]
+                    content, other, link, region = open_[k][1:]
                     del open_[k:]
                     break
             continue
@@ -179,24 +223,39 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
             continue
         if name in _INLINE and name != "a":
             continue
-        open_.append((name, content, other, link))
+        open_.append((name, content, other, link, region))
         if name == "a":
             link = 1
         elif name in _CONTENT:
             content = 1
-        if name in _OTHER and not (name == "header" and content) or m[3] and _named_other(m[3], content):
+        is_other, is_region = _named(m[3], name, content) if m[3] else (False, False)
+        if name in _OTHER and not (name == "header" and content) or is_other:
             other = 1
+        if is_region or name in _REGIONS:
+            above.append(region)
+            region = len(above) - 1
     if at < len(page):
         add(page[at:])
     flush()
-    return found
+    return _with_shares(found, above)
+
+
+def _with_shares(found: list[tuple], above: list[int]) -> list[tuple[str, float, int, int, float]]:
+    """Blocks with the share of the page's words, but those in other markup, that their region has."""
+    words = [0] * len(above)
+    for text, _, _, other, region in found:
+        if not other:
+            words[region] += len(text.split())
+    for region in range(len(above) - 1, 0, -1):  # a region comes after the one around it
+        words[above[region]] += words[region]
+    return [(*b[:4], words[b[4]] / max(1, words[0]) if b[4] else 0.0) for b in found]
 
 
-def features(found: list[tuple[str, float, int, int]]) -> np.ndarray:
+def features(found: list[tuple[str, float, int, int, float]]) -> np.ndarray:
     """A row of ``FEATURES`` for each block."""
-    own = np.array([(len(t.split()), d) for t, d, _, _ in found], float).reshape(-1, 2)
+    own = np.array([(len(t.split()), d) for t, d, *_ in found], float).reshape(-1, 2)
     edge = np.zeros((1, 2))
-    markup = np.array([(c, o) for _, _, c, o in found], float).reshape(-1, 2)
+    markup = np.array([b[2:] for b in found], float).reshape(-1, 3)
     if markup[:, 0].any():
         markup[markup[:, 0] == 0, 0] = -1
     return np.hstack([own, np.vstack([edge, own])[:-1], np.vstack([own, edge])[1:], markup])

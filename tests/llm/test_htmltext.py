@@ -36,6 +36,43 @@ def test_text_beside_an_article():
     assert htmltext.page_text(page, htmltext.train()) == f"{text} Short."
 
 
+def test_names_of_wrappers_are_no_verdict():
+    tree = htmltext.train()
+    one, two = "alpha " + "word " * 58 + "end", "beta " + "word " * 58 + "end"
+    text = f"<p>{one}</p><p>{two}</p>"
+    for page in (
+        f'<body class="single no-sidebar">{text}</body>', f'<article class="post comments-open">{text}</article>',
+        f'<section id="related-work">{text}</section>', f'<main class="has-nav">{text}</main>',
+        f'<div class="alerts-guide">{text}</div>', f'<div class="elementor-widget">{text}</div>',
+        f"<form action=x><div>{text}</div></form>", f'<form id="form1"><article>{text}</article><input></form>',
+        f'<div class="related"><div class=search>Find</div>{text}<div class="share-box">Tell all your friends</div></div>',
+    ):
+        assert htmltext.page_text(page, tree) == f"{one} {two}", page
+    page = f'<article><h1>T</h1><section id="related-work"><h2 id="search-methods">Search methods</h2>{text}</section><section id="share">{text}</section></article>'
+    assert htmltext.page_text(page, tree).startswith(f"T Search methods {one} {two}")
+
+
+def test_comments_longer_than_the_article():
+    article, comment = "<p>" + "word " * 40 + "</p>", "<li>" + "other " * 60 + "</li>"
+    for name in ('id="comments"', 'class="comment-list"', 'class="user-comments x"'):
+        page = f"<article>{article}<ol {name}>{comment * 5}</ol></article>"
+        assert htmltext.page_text(page, htmltext.train()) == ("word " * 40).strip()
+        page = f"<div>{article}</div><section {name}>{comment * 5}</section>"
+        assert htmltext.page_text(page, htmltext.train()) == ("word " * 40).strip()
+
+
+def test_ends_of_pages_without_markup():
+    tree = htmltext.train()
+    long = " ".join(["word"] * 48)
+    for n in (12, 20, 28, 34):
+        last = " ".join(["last"] * n)
+        for tail in ("", "<p>&copy; 2020 Example. All rights reserved.</p>"):
+            page = f"<ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul><h1>A heading of five words</h1><p>{long}</p><p>{long}</p><p>{last}</p>{tail}"
+            assert htmltext.page_text(page, tree) == f"A heading of five words {long} {long} {last}"
+    page = f"<p>We use cookies to make this site work better for you and others.</p><ul><li><a href=/>Home</a></li></ul><p>{long}</p><p>{long}</p>"
+    assert htmltext.page_text(page, tree) == f"{long} {long}"
+
+
 def test_odd_pages():
     tree = htmltext.train()
     for page in (None, "", "   ", "<", "<p", "<!--", "<article>", "</article></p>", "<script>x", "<nav>a</nav>", "<article><p>  </p>"):
@@ -59,7 +96,8 @@ def test_tree_fits_its_table_and_uses_the_neighbours():
             walk(node.high)
 
     walk(tree)
-    assert used & {"words_before", "density_before", "words_after", "density_after"}
+    assert used & {"words_before", "density_before"} and used & {"words_after", "density_after"}
+    assert "named_share" in used
 
 
 def test_sample_pages(spark, sample):
