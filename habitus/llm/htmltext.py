@@ -99,7 +99,7 @@ _NAMED = (
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0.9, 0), (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0.65, 0),
 )
 
-LABELLED = tuple((*row[:-1], 0.0, row[-1]) for row in _UNNAMED) + _NAMED
+LABELLED = tuple((*row[:-1], 1.0, row[-1]) for row in _UNNAMED) + _NAMED  # the page itself has all
 
 # Elements of HTML by their part in a page.
 _RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -248,7 +248,7 @@ def _with_shares(found: list[tuple], above: list[int]) -> list[tuple[str, float,
             words[region] += len(text.split())
     for region in range(len(above) - 1, 0, -1):  # a region comes after the one around it
         words[above[region]] += words[region]
-    return [(*b[:4], words[b[4]] / max(1, words[0]) if b[4] else 0.0) for b in found]
+    return [(*b[:4], words[b[4]] / max(1, words[0]) if b[4] else 1.0) for b in found]
 
 
 def features(found: list[tuple[str, float, int, int, float]]) -> np.ndarray:
