@@ -8,7 +8,7 @@ fingerprint packs the low ``BITS`` bits of every bin as hexadecimal digits. Two
 chance with probability 2**-BITS; the likeness corrects for that.
 
 Native: hashing, binning, densification and comparison are column expressions within a row, so
-no shingle is ever shuffled.
+no shingle is ever shuffled. The orders of bins are a literal of ``BINS`` x ``BINS`` numbers.
 
 Cases: a null text is empty; a text without words has the empty fingerprint, which is like
 another empty one (1) and unlike any other (0); fewer than five words are one shingle; repeated
@@ -17,14 +17,21 @@ rows are fingerprinted one by one; columns other than doc_id and text are not lo
 
 from __future__ import annotations
 
+import struct
+from functools import cache
+
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from habitus.llm.store import empty_text
+from habitus.llm.ranges import in_ranges
+from habitus.llm.store import empty_text, store
 
 BINS = 128
 BITS = 8
 SHINGLE = 5
+#: Code points of a text that choose its range beside doc_id.
+PREFIX = 64
 
 _SHIFT = 64 - BINS.bit_length() + 1
 _LOW = (1 << BITS) - 1
@@ -35,6 +42,17 @@ def _bin(x: Column) -> Column:
     return F.shiftright(x, _SHIFT) + BINS // 2
 
 
+@cache
+def _orders() -> list[list[int]]:
+    """For each bin the order in which it looks for a full one, by the hash of both numbers."""
+
+    def rank(j: int, b: int) -> int:
+        h = xxhash.xxh64_intdigest(struct.pack("<Q", b), xxhash.xxh64_intdigest(struct.pack("<i", j), 42))
+        return (h - (1 << 64) if h >> 63 else h) & ~_LOW
+
+    return [sorted(range(BINS), key=lambda b, j=j: rank(j, b)) for j in range(BINS)]
+
+
 def with_codes(df: DataFrame, text: str, codes: str) -> DataFrame:
     """``df`` with ``codes``: the low bits of each bin of the text, an empty array without words."""
     words = F.filter(F.split(F.lower(F.col(text)), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
@@ -55,19 +73,15 @@ def with_codes(df: DataFrame, text: str, codes: str) -> DataFrame:
     step = step.withColumn("_least", least)
     step = step.withColumn("_bins", F.transform("_least", lambda x: _bin(x).cast("int")))
 
-    def code(j: Column) -> Column:
-        at = F.array_position("_bins", j.cast("int"))
-        borrowed = F.array_min(
-            F.transform(
-                F.col("_least"),
-                lambda x: F.xxhash64(j, _bin(x)).bitwiseAND(F.lit(~_LOW)).bitwiseOR(x.bitwiseAND(F.lit(_LOW))),
-            )
-        )
-        own = F.get("_least", (at - 1).cast("int"))
-        return F.when(at > 0, own).otherwise(borrowed).bitwiseAND(F.lit(_LOW))
+    def code(j: Column, order: Column) -> Column:
+        own = F.array_position("_bins", j)
+        # The first full bin in the order of bin j.
+        lender = F.array_position("_bins", F.get(F.array_intersect(order, F.col("_bins")), F.lit(0)))
+        at = F.when(own > 0, own).otherwise(lender)
+        return F.get("_least", (at - 1).cast("int")).bitwiseAND(F.lit(_LOW))
 
     full = F.transform(F.col("_least"), lambda x: x.bitwiseAND(F.lit(_LOW)))
-    sparse = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), code)
+    sparse = F.transform(F.lit(_orders()), lambda order, j: code(j, order))
     value = F.when(F.size("_least") == BINS, full).when(F.size("_least") > 0, sparse)
     none = F.expr("array()").cast("array<bigint>")
     return step.withColumn(codes, F.coalesce(value, none)).drop("_words", "_hashes", "_least", "_bins")
@@ -91,41 +105,27 @@ def _ranged(docs: DataFrame) -> DataFrame:
     """(range, guest, doc_id, text): the rows such that each one's successor is in its range.
 
     Rows in the order of doc_id, nulls first, then text; after the last comes the first. Rows are
-    dealt to ranges of doc_id whose bounds are approximate quantiles, several for each shuffle
-    partition; the first row of each range is also sent to the range before it. So each text is
-    shuffled once and no range sees all rows. Rows that repeat one doc_id share a range.
+    dealt out by ranges of doc_id and the first ``PREFIX`` code points, which is the same order, so
+    that rows without a doc_id, or repeating one, are many ranges as well. The first row of each
+    range is also sent to the range before it; there are as many ranges as shuffle partitions, and
+    their list stays in Spark.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), empty_text())
-    ranges = max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    share = [k / ranges for k in range(1, ranges)]
-    bounds = rows.agg(F.percentile_approx("doc_id", share, 20 * ranges).alias("b")).collect()[0]["b"]
-    bounds = sorted(set(bounds or []))
-    if bounds:
-        limits = F.lit(bounds)
-        place = F.coalesce(F.size(F.filter(limits, lambda b: b <= F.col("doc_id"))), F.lit(0))
-        place = F.when(F.col("doc_id").isNull(), 0).otherwise(place)
-    else:
-        place = F.lit(0)
-    # The smallest doc_id of each range, nulls as a row of their own: a row per range.
-    heads = (
-        rows.select(place.alias("range"), "doc_id").groupBy("range")
-        .agg(F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
-        .collect()
-    )
-    heads = sorted(heads, key=lambda r: r["range"])
-    before = [
-        (heads[k - 1]["range"], None if r["nulls"] else r["least"]) for k, r in enumerate(heads)
-    ]
-    kind = "range int, doc_id long"
-    sent = F.broadcast(spark.createDataFrame(before, kind).withColumnRenamed("doc_id", "head"))
+    rows = rows.withColumn("prefix", F.substring("text", 1, PREFIX))
+    parts = in_ranges(rows, [F.col("doc_id").asc_nulls_first(), "prefix"], "ranges").withColumnRenamed("_part", "range")
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "prefix")
+    # Equal keys share a range, so the least key of a range is in no other one.
+    heads = store(parts.groupBy("range").agg(F.min(key).alias("head")), "heads")
+    every = Window.orderBy("range")
+    last = F.max("range").over(Window.partitionBy())
+    sent = heads.select(F.coalesce(F.lag("range").over(every), last).alias("to"), "head.doc_id", "head.prefix")
+    sent = sent.select("to", F.col("doc_id").alias("_id"), F.col("prefix").alias("_prefix"))
     guests = (
-        rows.join(sent, F.col("doc_id").eqNullSafe(F.col("head")))
-        .groupBy("range").agg(F.min("text").alias("text"), F.min("head").alias("doc_id"))
+        parts.join(F.broadcast(sent), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("prefix") == F.col("_prefix")))
+        .groupBy("to").agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id"))
     )
-    return (
-        rows.select(place.cast("int").alias("range"), F.lit(False).alias("guest"), "doc_id", "text")
-        .unionByName(guests.select("range", F.lit(True).alias("guest"), "doc_id", "text"))
+    return parts.select("range", F.lit(False).alias("guest"), "doc_id", "text").unionByName(
+        guests.select(F.col("to").alias("range"), F.lit(True).alias("guest"), "doc_id", "text")
     )
 
 

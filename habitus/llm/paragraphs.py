@@ -13,8 +13,10 @@ its words are equal, the case of one band of the whole signature: what is only a
 through the lines. So an edited line is repeated if it is 0.8 alike as a whole, and else its
 untouched pieces are.
 
-In each document, paragraphs that are repeated and touch or overlap form a run. Runs of fewer than
-``RUN_WORDS`` words are left alone: a stock phrase is no passage. With ``lines`` this holds for
+In each document, paragraphs that are repeated and touch or overlap form a run, and each row tells
+the words of its run, by which a caller tells a passage from a stock phrase. Runs of fewer than
+``RUN_WORDS`` words are left alone, unless ``run_words`` is less: 1 returns every repeated paragraph.
+With ``lines`` this holds for
 pieces only: every repeated line of at least so many words is returned, in a run or not, so that
 ``lines=1`` returns all, and with them whole documents of one short line. Lines of fewer than
 ``SHINGLE`` words are repeated only where they are equal. Of each class the first occurrence left
@@ -118,13 +120,14 @@ def _paragraphs(words, least: int = LEAST) -> tuple[np.ndarray, ...]:
     return text[first], first, end, np.arange(len(first)) < len(lines)
 
 
-def _contents(words, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of all words of each paragraph, in turn."""
+def _contents(words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of all words of each paragraph, in turn."""
     size = end - first
     begin = np.cumsum(size) - size
     place = np.arange(int(size.sum())) - np.repeat(begin, size)
-    own = words.hash[np.repeat(first, size) + place]
-    return mixed(np.add.reduceat(mixed(own + (place + 1).astype(np.uint64) * _ODD), begin))
+    own = mixed(words.hash[np.repeat(first, size) + place] + (place + 1).astype(np.uint64) * _ODD)
+    check = np.add.reduceat((own ^ (own >> np.uint64(31))) * _times_odd(3), begin)
+    return mixed(np.add.reduceat(own, begin)), mixed(check)
 
 
 def _shingle_rows(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,9 +158,9 @@ def _once(content: np.ndarray) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(content, doc_id, start, words, whole, bands): all paragraphs of all rows.
+    """(content, check, doc_id, start, words, whole, bands): all paragraphs of all rows.
 
-    ``content``: hash of the words; ``start``: first word; ``bands``: band keys of a line that has
+    ``content``, ``check``: two hashes of the words; ``start``: first word; ``bands``: band keys of a line that has
     shingles, only at its first occurrence among the rows that a task reads together.
     """
     many = bands_for()
@@ -168,7 +171,7 @@ def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 text, first, end, whole = _paragraphs(words, least)
                 if not len(first):
                     continue
-                content = _contents(words, first, end)
+                content, check = _contents(words, first, end)
                 count = np.zeros(len(first), np.int64)
                 new = np.flatnonzero(whole & (end - first >= SHINGLE))
                 new = new[_once(content[new])]
@@ -180,16 +183,17 @@ def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(content.view(np.int64)),
+                        pa.array(check.view(np.int64)),
                         batch.column(0).take(pa.array(start + text)),
                         pa.array(first - words.first[text]),
                         pa.array((end - first).astype(np.int32)),
                         pa.array(whole),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
                     ],
-                    names=["content", "doc_id", "start", "words", "whole", "bands"],
+                    names=["content", "check", "doc_id", "start", "words", "whole", "bands"],
                 )
 
-    kinds = "content long, doc_id long, start long, words int, whole boolean, bands array<long>"
+    kinds = "content long, check long, doc_id long, start long, words int, whole boolean, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), empty_text()).mapInArrow(run, kinds)
 
 
@@ -244,7 +248,7 @@ def _shingles(docs: DataFrame, bits: np.ndarray, least: int = LEAST) -> DataFram
                 if not whole.any():
                     continue
                 first, end = first[whole], end[whole]
-                content = _contents(words, first, end)
+                content, _ = _contents(words, first, end)
                 new = _once(content)
                 new = new[maybe(bits, content[new])]
                 if not len(new):
@@ -362,6 +366,8 @@ def near_lines(
 def _in_runs(rows: DataFrame, least: int, lines: bool = False) -> DataFrame:
     """Repeated paragraphs of runs of at least ``least`` words; with ``lines``, all whole lines too.
 
+    ``run_words``: the words of the run that each is in.
+
     A document's paragraphs are put in order by themselves. Without a doc_id they cannot be told
     apart by document, and count each for itself.
     """
@@ -372,21 +378,22 @@ def _in_runs(rows: DataFrame, least: int, lines: bool = False) -> DataFrame:
     known = rows.where("doc_id IS NOT NULL").withColumn("_begins", F.when(begins, F.col("start")))
     known = known.withColumn("_run", F.max("_begins").over(upto))
     run = Window.partitionBy("doc_id", "_run")
-    known = known.withColumn("_words", F.max(end).over(run) - F.col("_run"))
+    known = known.withColumn("run_words", F.max(end).over(run) - F.col("_run"))
+    unknown = rows.where("doc_id IS NULL").withColumn("run_words", F.col("words").cast("long"))
     line = F.lit(lines) & F.col("whole")
-    return known.where(line | (F.col("_words") >= least)).select(*rows.columns).unionByName(
-        rows.where(F.col("doc_id").isNull() & (line | (F.col("words") >= least)))
-    )
+    found = known.select(*rows.columns, "run_words").unionByName(unknown)
+    return found.where(line | (F.col("run_words") >= least))
 
 
 def duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, run_words: int = RUN_WORDS, lines: int | None = None
 ) -> DataFrame:
-    """(doc_id, start, words, line, class_doc_id, class_start, removed) of every paragraph that
-    occurs more than once, near copies included.
+    """(doc_id, start, words, line, class_doc_id, class_start, removed, run_words) of every paragraph
+    that occurs more than once, near copies included.
 
     ``start``, ``words``: its place in words (letters and digits); ``line``: a whole line, else a
-    piece; the class is named by the occurrence that stays; ``removed``: all others. Paragraphs of
+    piece; the class is named by the occurrence that stays; ``removed``: all others; ``run_words``: the
+    words of the run of repeated paragraphs that it is in. Paragraphs of
     one document may overlap. ``lines``: words from which a repeated whole line is returned
     whatever the run it is in; None holds lines to ``run_words`` as well.
     """
@@ -394,20 +401,22 @@ def duplicates(
     found = store(occurrences(docs, least), "paragraphs")
     again = found.groupBy("content").count().where("count > 1").select("content")
     classes = store(components(near_lines(docs, found, similarity, least), "alike"), "classes")
+    # Contents without a link are equal where both hashes are, so that none of 10**12 is lost by chance.
     named = (
         again.withColumn("root", F.lit(None).cast("long"))
         .unionByName(classes.withColumnRenamed("node", "content"))
-        .groupBy("content").agg(F.coalesce(F.max("root"), F.col("content")).alias("class"))
+        .groupBy("content").agg(F.coalesce(F.max("root"), F.col("content")).alias("class"), F.max("root").isNull().alias("alone"))
     )
     named = store(named, "named")
     rows = sifted(found.drop("bands"), "content", bloom(named, "content")).join(named, "content")
-    rows = store(_in_runs(rows.drop("content"), run_words, lines is not None), "members")
+    rows = rows.withColumn("check", F.when(F.col("alone"), F.col("check")).otherwise(F.lit(0).cast("long")))
+    rows = store(_in_runs(rows.drop("content", "alone"), run_words, lines is not None), "members")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "start", "words")
-    kept = rows.groupBy("class").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    kept = rows.groupBy("class", "check").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     # Stored, so that the join has plain inputs and a class with very many rows is split.
-    kept = small(store(kept.where("n > 1").select("class", "first"), "kept"))
-    return rows.join(kept, "class").select(
+    kept = small(store(kept.where("n > 1").select("class", "check", "first"), "kept"))
+    return rows.join(kept, ["class", "check"]).select(
         "doc_id", "start", F.col("words").cast("long").alias("words"), F.col("whole").alias("line"),
         F.col("first.doc_id").alias("class_doc_id"), F.col("first.start").alias("class_start"),
-        (~place.eqNullSafe(F.col("first"))).alias("removed"),
+        (~place.eqNullSafe(F.col("first"))).alias("removed"), "run_words",
     )

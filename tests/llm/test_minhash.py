@@ -88,6 +88,27 @@ def test_equal_texts_have_equal_fingerprints(make_docs, words):
     assert len({r.fingerprint for r in rows}) == 3 and len(rows) == 6
 
 
+def test_rows_without_an_id_are_several_ranges(spark, make_docs, words):
+    """Each row's successor is the next in order, also where one doc_id holds most rows."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pairs = [(None, words(k, 40)) for k in range(300)] + [(5, words(k, 40)) for k in range(300)] + [(9, "z")] * 30
+        docs = make_docs(pairs).drop("range")
+        rows = minhash._ranged(docs).collect()
+        parts = {}
+        for r in rows:
+            parts.setdefault(r.range, []).append((r.guest, r.doc_id is not None, r.doc_id or 0, r.text))
+        own = {k: sorted(x[1:] for x in v if not x[0]) for k, v in parts.items()}
+        assert sorted(sum(own.values(), [])) == sorted((i is not None, i or 0, t) for i, t in pairs)
+        full = [k for k in sorted(own) if own[k]]
+        assert len(full) > 2
+        for k, after in zip(full, full[1:] + full[:1]):
+            assert own[k][-1] <= own[after][0] or after == full[0]
+            assert [x[1:] for x in parts[k] if x[0]] == [own[after][0]]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("count", [0, 1, 2])
 def test_few_documents(make_docs, count):
     docs = make_docs(["a b c d e f g h", "i j k l m n o p"]).where(f"doc_id < {count}")

@@ -104,6 +104,25 @@ def test_every_repeated_line_is_returned(spark, make_docs, words, tmp_path):
     assert got == want | {(210, 30, 24, 210, False), (211, 30, 24, 210, True)}
 
 
+def test_rows_tell_the_words_of_their_run(make_docs, words):
+    """A stock phrase, a passage over three lines, and a row without a doc_id."""
+    phrase, passage = words(1, 9), "\n".join(words(2 + k, 20) for k in range(3))
+    docs = [(k, f"{words(100 + k, 30)}\n{phrase}\n{words(200 + k, 30)}\n{passage}") for k in range(2)]
+    rows = paragraphs.duplicates(make_docs([*docs, (None, phrase)]), lines=1).collect()
+    got = {(r.doc_id, r.start, r.words, r.run_words) for r in rows if r.line}
+    want = {(k, 30, 9, 9) for k in range(2)} | {(None, 0, 9, 9)}
+    assert got == want | {(k, 69 + 20 * j, 20, 60) for k in range(2) for j in range(3)}
+    assert {r.run_words for r in rows if not r.line} <= {60}
+    assert any(not r.line for r in rows)
+
+
+def test_two_hashes_of_a_content(words):
+    w = Words(pa.array([words(k % 50, 20 + k % 7) for k in range(100)] + ["a b c", "c b a"]), plain=True)
+    content, check = paragraphs._contents(w, w.first[:-1], w.first[1:])
+    assert len(set(content.tolist())) == len(set(check.tolist())) == len(set(zip(content.tolist(), check.tolist())))
+    assert not set(content.tolist()) & set(check.tolist())
+
+
 def test_no_documents(make_docs):
     assert paragraphs.duplicates(make_docs(["x"]).where("false")).count() == 0
     assert paragraphs.duplicates(make_docs([None, "", "a b"])).count() == 0
