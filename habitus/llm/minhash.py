@@ -8,7 +8,7 @@ fingerprint packs the low ``BITS`` bits of every bin as hexadecimal digits. Two
 chance with probability 2**-BITS; the likeness corrects for that.
 
 Native: hashing, binning, densification and comparison are column expressions within a row, so
-no shingle is ever shuffled. The orders of bins are a literal of ``BINS`` x ``BINS`` numbers.
+no shingle is ever shuffled.
 
 Cases: a null text is empty; a text without words has the empty fingerprint, which is like
 another empty one (1) and unlike any other (0); fewer than five words are one shingle; repeated
@@ -17,10 +17,6 @@ rows are fingerprinted one by one; columns other than doc_id and text are not lo
 
 from __future__ import annotations
 
-import struct
-from functools import cache
-
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,17 +38,6 @@ def _bin(x: Column) -> Column:
     return F.shiftright(x, _SHIFT) + BINS // 2
 
 
-@cache
-def _orders() -> list[list[int]]:
-    """For each bin the order in which it looks for a full one, by the hash of both numbers."""
-
-    def rank(j: int, b: int) -> int:
-        h = xxhash.xxh64_intdigest(struct.pack("<Q", b), xxhash.xxh64_intdigest(struct.pack("<i", j), 42))
-        return (h - (1 << 64) if h >> 63 else h) & ~_LOW
-
-    return [sorted(range(BINS), key=lambda b, j=j: rank(j, b)) for j in range(BINS)]
-
-
 def with_codes(df: DataFrame, text: str, codes: str) -> DataFrame:
     """``df`` with ``codes``: the low bits of each bin of the text, an empty array without words."""
     words = F.filter(F.split(F.lower(F.col(text)), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
@@ -73,15 +58,19 @@ def with_codes(df: DataFrame, text: str, codes: str) -> DataFrame:
     step = step.withColumn("_least", least)
     step = step.withColumn("_bins", F.transform("_least", lambda x: _bin(x).cast("int")))
 
-    def code(j: Column, order: Column) -> Column:
-        own = F.array_position("_bins", j)
-        # The first full bin in the order of bin j.
-        lender = F.array_position("_bins", F.get(F.array_intersect(order, F.col("_bins")), F.lit(0)))
-        at = F.when(own > 0, own).otherwise(lender)
-        return F.get("_least", (at - 1).cast("int")).bitwiseAND(F.lit(_LOW))
+    def code(j: Column) -> Column:
+        at = F.array_position("_bins", j.cast("int"))
+        borrowed = F.array_min(
+            F.transform(
+                F.col("_least"),
+                lambda x: F.xxhash64(j, _bin(x)).bitwiseAND(F.lit(~_LOW)).bitwiseOR(x.bitwiseAND(F.lit(_LOW))),
+            )
+        )
+        own = F.get("_least", (at - 1).cast("int"))
+        return F.when(at > 0, own).otherwise(borrowed).bitwiseAND(F.lit(_LOW))
 
     full = F.transform(F.col("_least"), lambda x: x.bitwiseAND(F.lit(_LOW)))
-    sparse = F.transform(F.lit(_orders()), lambda order, j: code(j, order))
+    sparse = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), code)
     value = F.when(F.size("_least") == BINS, full).when(F.size("_least") > 0, sparse)
     none = F.expr("array()").cast("array<bigint>")
     return step.withColumn(codes, F.coalesce(value, none)).drop("_words", "_hashes", "_least", "_bins")
