@@ -89,11 +89,18 @@ def add_baseline(
     return _add_z(df.join(baseline, settings.actor, "left"), settings)
 
 
-def zscores(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def zscores(
+    df: DataFrame, settings: Settings = DEFAULTS, hashed: bool = False, history: DataFrame | None = None
+) -> DataFrame:
     """Add ``mean_*``, ``std_*`` and ``z_*`` for every feature.
 
     Aggregate, then join back: one combined row per actor is shuffled, and the
     planner broadcasts that small side while it is under its size threshold. A
     heavy actor never sits whole in one task.
+
+    ``hashed``: for rows that are parted by actor already, as behind trailing means. The baseline
+    comes out of its aggregation parted alike and is hashed in place, so the rows are neither moved
+    nor sorted again. ``history``: what the baseline covers, if that is more than the rows.
     """
-    return add_baseline(df, actor_baseline(df, settings), settings)
+    baseline = actor_baseline(df if history is None else history, settings)
+    return add_baseline(df, baseline.hint("shuffle_hash") if hashed else baseline, settings)

@@ -29,7 +29,7 @@ from habitus.operators import (
 from habitus.operators.severity import final_severity, flatten_reasons
 from habitus.plans import incremental
 from habitus.plans.detection import detect, score_days
-from habitus.session import scratch_path
+from habitus.session import cut_lineage, parted, scratch_path, wide_enough
 from habitus.sources import logs, manifest, tables
 from habitus.streaming import access as live
 from habitus.streaming import drift as live_drift
@@ -319,7 +319,8 @@ def cuts(days: DataFrame, parts: int) -> list[date]:
 
 def _stored_days(spark: SparkSession, folder: str, name: str = "days") -> DataFrame:
     path = scratch_path(spark, name)
-    samples.shipping_days(spark, folder).write.parquet(path)
+    with wide_enough(spark, samples.table(spark, folder, "lineitem").count()):
+        samples.shipping_days(spark, folder).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -411,25 +412,29 @@ def drift_signal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def drift_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The first third of the days is history; the others arrive in four files, a batch each."""
-    path, source, out = (scratch_path(spark, name) for name in ("z-days", "day-files", "recent"))
-    baseline.zscores(samples.shipping_days(spark, folder)).write.parquet(path)
-    days = spark.read.parquet(path)
+    """The first third of the days is history; the others arrive in four slices, a batch each.
+
+    The stream is stopped after each slice and goes on from its checkpoint. It carries the features
+    only; the baseline joins what it found.
+    """
+    source, out, kept = (scratch_path(spark, name) for name in ("day-files", "recent", "stream"))
+    days = _stored_days(spark, folder, "z-days")
+    rows = days.count()
     ends = cuts(days, 6)[1:]
-    history = days.where(F.col("day") <= F.lit(ends[0]))
-    for after, until in zip(ends[:-1], ends[1:], strict=True):
-        arrived = incremental.days_between(days, after, until)
-        arrived.repartition(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    with live_drift.list_state(spark):
-        run = (
-            live_drift.recent_means_stream(stream, live_drift.last_days(history))
-            .writeStream.format("parquet").option("path", out)
-            .option("checkpointLocation", scratch_path(spark, "stream"))
-        )
-        run.trigger(availableNow=True).start().awaitTermination()
+    history = parted(days.where(F.col("day") <= F.lit(ends[0])), rows, "user")
+    with live_drift.list_state(spark), wide_enough(spark, rows):
+        for after, until in zip(ends[:-1], ends[1:], strict=True):
+            incremental.days_between(days, after, until).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(days.schema).parquet(source)
+            run = (
+                live_drift.recent_means_stream(stream, live_drift.last_days(history))
+                .writeStream.format("parquet").option("path", out)
+                .option("checkpointLocation", kept)
+            )
+            run.trigger(availableNow=True).start().awaitTermination()
     recent = drift.recent_means(history).unionByName(spark.read.parquet(out).drop("late"))
-    return _text_day(drift.drift_signal(recent).select("user", "day", "drift_flag", "drift_reasons"))
+    scored = baseline.zscores(recent, hashed=True, history=days)
+    return _text_day(drift.drift_signal(scored).select("user", "day", "drift_flag", "drift_reasons"))
 
 
 def drift_only(scores: DataFrame) -> DataFrame:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows behind an exchange for one task, where the session's shuffle width would give it more.
+TASK_ROWS = 500_000
+
 
 def build_session(app: str = "habitus", **conf: str) -> SparkSession:
     """Session with adaptive execution and a zone-independent clock.
@@ -55,3 +60,27 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffle_width(spark: SparkSession, rows: int) -> int:
+    """The session's number of shuffle partitions, or as many more as so many rows need."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+@contextmanager
+def wide_enough(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside is shuffled to enough partitions that a task's memory does not grow with the rows."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, shuffle_width(spark, rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def parted(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """``df``, dealt by ``key`` to more partitions than the session's where so many rows need them."""
+    spark = df.sparkSession
+    width = shuffle_width(spark, rows)
+    return df.repartition(width, key) if width > shuffle_width(spark, 0) else df

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,13 +15,18 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from habitus.config import DEFAULTS, Settings
 
-#: Stream state with list values needs this store.
+#: Stream state of a processor of its own needs this store.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Actors are dealt by hash to so many groups, a row of state each. The number is part of the state:
+#: a stream goes on with the one it was started with.
+GROUPS = 1024
+GROUP = "actor_group"
+
 
 @contextmanager
 def list_state(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in the store that lists need."""
+    """Streams started inside keep their state in the store that processors need."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, STATE_STORE)
@@ -43,53 +49,81 @@ def last_days(days: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 class TrailingDays(StatefulProcessor):
-    """Adds to every day of an actor the sum and count of each feature over its trailing rows.
+    """Adds to every day the sum and count of each feature over its actor's trailing rows.
 
-    The state is a list of the actor's last days, oldest first: at most one less than the window.
-    A day that is not later than the newest one kept comes too late to be put in order; it is marked
-    and neither kept nor given sums.
+    A key is a group of actors, so that a call and a look-up of state serve many of them. The state is
+    the group's last days as one row of columns, in order of actor and day: at most one day less
+    than the window per actor. A day that is not later than the newest one kept of its actor comes too
+    late to be put in order; it is marked and neither kept nor given sums.
     """
 
-    def __init__(self, settings: Settings):
-        self.settings = settings
+    def __init__(self, settings: Settings, actor_type: T.DataType):
+        self.settings, self.actor_type = settings, actor_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [T.StructField("day", T.IntegerType())]
-        fields += [T.StructField(f, T.LongType()) for f in self.settings.features]
-        self.days = handle.getListState("days", T.StructType(fields))
-
-    def _keep(self, rows: list[tuple]) -> None:
-        self.days.put(rows[1 - self.settings.drift_window :])
-
-    def _rows(self, frame: pd.DataFrame) -> list[tuple]:
-        values = frame[["_day", *self.settings.features]].astype(object)
-        return [tuple(None if pd.isna(v) else int(v) for v in row) for row in values.to_numpy()]
+        fields = [T.StructField("actors", T.ArrayType(self.actor_type))]
+        fields += [T.StructField("days", T.ArrayType(T.IntegerType()))]
+        fields += [T.StructField(f, T.ArrayType(T.LongType())) for f in self.settings.features]
+        self.days = handle.getValueState("days", T.StructType(fields))
+
+    def _held(self) -> pd.DataFrame:
+        kept = self.days.get() if self.days.exists() else [[] for _ in range(2 + len(self.settings.features))]
+        names = [self.settings.actor, "_day", *self.settings.features]
+        kinds = [object, float, *["Int64"] * len(self.settings.features)]
+        return pd.DataFrame({n: pd.Series(list(v), dtype=k) for n, v, k in zip(names, kept, kinds, strict=True)})
+
+    def _dealt(self, frame: pd.DataFrame) -> pd.DataFrame:
+        """The columns of ``_held`` of arrived rows."""
+        found = {self.settings.actor: frame[self.settings.actor].astype(object)}
+        found["_day"] = _numbers(frame[self.settings.day]).astype(float)
+        return pd.DataFrame(found | {f: frame[f].astype("Int64") for f in self.settings.features})
+
+    def _keep(self, ordered: pd.DataFrame, first: np.ndarray) -> None:
+        """The newest days of each actor; ``first``: the place where the actor of a row begins."""
+        days = ordered["_day"].to_numpy()
+        # A row without a day is the last of its actor, and the next ones have nothing to be ordered by.
+        dated = ~np.isnan(days)
+        behind = first + np.bincount(first, weights=dated, minlength=len(days)).astype(int)[first]
+        newest = ordered[dated & (np.arange(len(days)) > behind - max(2, self.settings.drift_window))]
+        columns = [newest[self.settings.actor].tolist(), newest["_day"].astype(int).tolist()]
+        columns += [newest[f].astype(object).where(newest[f].notna(), None).tolist() for f in self.settings.features]
+        self.days.update(tuple(columns))
+
+    def _ordered(self, frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        """Rows by actor and day, and for each the place where its actor begins."""
+        codes = pd.factorize(frame[self.settings.actor])[0]
+        order = np.lexsort((frame["_day"].to_numpy(), codes))
+        begins = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        return frame.iloc[order], np.repeat(begins, np.diff(begins, append=len(frame)))
 
     def handleInitialState(self, key: tuple, initial: pd.DataFrame, timer: Any) -> None:  # noqa: N802
-        frame = initial.assign(_day=_numbers(initial[self.settings.day])).sort_values("_day")
-        self._keep(self._rows(frame))
+        """Rows of a group may come in several frames."""
+        held, more = self._held(), self._dealt(initial)
+        self._keep(*self._ordered(pd.concat([held, more], ignore_index=True) if len(held) else more))
 
     def handleInputRows(  # noqa: N802
         self, key: tuple, rows: Iterator[pd.DataFrame], timer: Any
     ) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows), ignore_index=True)
-        frame = frame.assign(_day=_numbers(frame[self.settings.day])).sort_values("_day", kind="stable")
-        held = list(self.days.get()) if self.days.exists() else []
-        late = frame["_day"] <= held[-1][0] if held else frame["_day"] != frame["_day"]
-        due = frame[~late]
-        history = [tuple(row) for row in held] + self._rows(due)
-        window, n = self.settings.drift_window, len(due)
-        out = {}
-        for k, feature in enumerate(self.settings.features, start=1):
-            known = [[v for v in (r[k] for r in history[max(0, end - window) : end]) if v is not None]
-                     for end in range(len(history) - n + 1, len(history) + 1)]
-            out[f"_sum_{feature}"] = pd.Series([sum(v) for v in known], due.index, "Int64")
-            out[f"_rows_{feature}"] = pd.Series([len(v) for v in known], due.index, "Int64")
-        if n:
-            self._keep(history)
-        found = frame.drop(columns="_day").assign(late=late)
-        for name, values in out.items():
-            found[name] = values.reindex(found.index)
+        held, arrived = self._held(), self._dealt(frame)
+        newest = held.groupby(self.settings.actor)["_day"].max()
+        late = arrived["_day"] <= arrived[self.settings.actor].map(newest).astype(float)
+        due = arrived[~late]
+        both = pd.concat([held.set_index(pd.Index([-1] * len(held))), due]) if len(held) else due
+        ordered, first = self._ordered(both)
+        fresh = ordered.index.to_numpy() >= 0
+        end = np.flatnonzero(fresh) + 1
+        low = np.maximum(end - self.settings.drift_window, first[fresh])
+        found = frame.drop(columns=GROUP).assign(late=late)
+        for feature in self.settings.features:
+            known = ordered[feature].notna().to_numpy()
+            values = ordered[feature].to_numpy(dtype="int64", na_value=0)
+            for kind, numbers in (("sum", values), ("rows", known.astype("int64"))):
+                running = np.concatenate([[0], np.cumsum(numbers)])
+                trailing = pd.Series(running[end] - running[low], ordered.index[fresh], "Int64")
+                found[f"_{kind}_{feature}"] = trailing.reindex(found.index)
+        if len(due):
+            self._keep(ordered, first)
         yield found
 
     def close(self) -> None:
@@ -102,20 +136,27 @@ def _numbers(days: pd.Series) -> pd.Series:
 
 
 def recent_means_stream(
-    days: DataFrame, history: DataFrame | None = None, settings: Settings = DEFAULTS
+    days: DataFrame,
+    history: DataFrame | None = None,
+    settings: Settings = DEFAULTS,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """A stream of days with ``recent_*``, as ``recent_means`` gives them, and ``late``.
 
     ``history``: the rows of ``last_days``, with which the state begins. Days may come in any order
     within a batch. The features are integers; other columns are carried along. A late day has no
-    trailing means.
+    trailing means. A batch of one group's days is handled at once: ``groups`` grows with the
+    actors times the days of a batch.
     """
     added = [T.StructField("late", T.BooleanType())]
     for feature in settings.features:
         added += [T.StructField(f"_sum_{feature}", T.LongType()), T.StructField(f"_rows_{feature}", T.LongType())]
-    start = history.groupBy(settings.actor) if history is not None else None
-    found = days.where(F.col(settings.actor).isNotNull()).groupBy(settings.actor).transformWithStateInPandas(
-        TrailingDays(settings), T.StructType([*days.schema.fields, *added]), "Append", "None", start
+    group = F.pmod(F.xxhash64(settings.actor), F.lit(groups))
+    start = history.withColumn(GROUP, group).groupBy(GROUP) if history is not None else None
+    known = days.where(F.col(settings.actor).isNotNull()).withColumn(GROUP, group)
+    found = known.groupBy(GROUP).transformWithStateInPandas(
+        TrailingDays(settings, days.schema[settings.actor].dataType),
+        T.StructType([*days.schema.fields, *added]), "Append", "None", start,
     )
     size = float(settings.drift_window)
     recent = {
