@@ -70,8 +70,18 @@ def shipping_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shipping_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """All detection steps but the model, whose outliers SQL cannot reproduce."""
-    return score_days(shipping_features(spark, folder))
+    """All detection steps but the model, whose outliers SQL cannot reproduce.
+
+    The features are stored first, as ``detect`` does: the scores and the baseline each read them.
+    """
+    with wide_enough(spark, samples.table(spark, folder, "lineitem").count()):
+        days = cut_lineage(shipping_features(spark, folder), "actor-days")
+    return score_days(days)
+
+
+def _stored_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The scores as a table, for steps that read them more than once: a clustered write samples its ranges."""
+    return cut_lineage(shipping_scores(spark, folder).select(*DEFAULTS.served_columns), "scores")
 
 
 def _served(query: Callable[[DataFrame], DataFrame]) -> Query:
@@ -557,7 +567,14 @@ def throttle_stream(spark: SparkSession, folder: str) -> DataFrame:
 # ----------------------------------------------------------------- reading
 
 
+def _stored_threats(scores: DataFrame) -> DataFrame:
+    """The base set as a table: a page behind the first is counted before it is read."""
+    return cut_lineage(serving.threat_base(scores).select(*DEFAULTS.served_columns), "threats")
+
+
 def _page(**options) -> Query:
+    if options.get("offset"):
+        return _served(lambda scores: serving.threats(_stored_threats(scores), **options).results)
     return _served(lambda scores: serving.threats(scores, **options).results)
 
 
@@ -567,7 +584,7 @@ def _total(**options) -> Query:
 
 def _page_after(scores: DataFrame) -> DataFrame:
     """The second page of a hundred, asked for by the last row of the first."""
-    found = serving.matching_threats(scores)
+    found = serving.matching_threats(_stored_threats(scores))
     last = serving.ranked(found).limit(100).select("severity_score", "user", "day").tail(1)
     return serving.serving_record(serving.page_after(found, tuple(last[0]), 100))
 

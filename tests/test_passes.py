@@ -50,6 +50,14 @@ def stored_as(df) -> set[str]:
     return {file.split("/")[-2].rsplit("-", 1)[0] for file in df.inputFiles()}
 
 
+@pytest.mark.parametrize("offset", (3, 40))
+def test_a_later_page_reads_the_stored_base_set(spark, folder, offset):
+    found = registry._page(limit=5, offset=offset)(spark, folder)
+    first = registry._page(limit=offset + 5)(spark, folder).collect()
+    assert [tuple(r) for r in found.collect()] == [tuple(r) for r in first[offset:]]
+    assert stored_as(found) <= {"threats"}
+
+
 def test_hashed_baselines_are_the_same(make_days):
     days = make_days({"u": [2] * 40 + [5] * 40, "v": [1], "w": [None, 3, 4]})
     assert sorted(map(str, baseline.zscores(days, hashed=True).collect())) == sorted(map(str, baseline.zscores(days).collect()))
