@@ -168,8 +168,9 @@ def resolve_scores(spark: SparkSession, folder: str) -> DataFrame:
 def resolve_serving(spark: SparkSession, folder: str) -> DataFrame:
     """Both tables are there, with different rows: the clustered one is preferred."""
     path = scratch_path(spark, "outputs")
-    scores = shipping_scores(spark, folder)
-    tables.write_table(scores, f"{path}/{tables.SCORE_TABLE}")
+    fresh = shipping_scores(spark, folder)
+    tables.write_table(fresh, f"{path}/{tables.SCORE_TABLE}")
+    scores = tables.read_table(spark, f"{path}/{tables.SCORE_TABLE}", schema=fresh.schema)
     tables.write_serving(scores.where("severity <> 'Low'"), f"{path}/{tables.SERVING_TABLE}")
     return serving.run_summary(tables.resolve_scores(spark, path))
 

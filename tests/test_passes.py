@@ -58,6 +58,14 @@ def test_a_later_page_reads_the_stored_base_set(spark, folder, offset):
     assert stored_as(found) <= {"threats"}
 
 
+@pytest.mark.parametrize("name", ("resolve_serving",))
+def test_a_clustered_write_reads_stored_scores(spark, folder, name, monkeypatch):
+    read, write = [], tables.write_serving
+    monkeypatch.setattr(tables, "write_serving", lambda df, *a, **k: (read.append(df.inputFiles()), write(df, *a, **k)))
+    assert registry.QUERIES[name](spark, folder).count() > 0
+    assert read and not any("lineitem" in file or "actor-days" in file for files in read for file in files)
+
+
 def test_hashed_baselines_are_the_same(make_days):
     days = make_days({"u": [2] * 40 + [5] * 40, "v": [1], "w": [None, 3, 4]})
     assert sorted(map(str, baseline.zscores(days, hashed=True).collect())) == sorted(map(str, baseline.zscores(days).collect()))
