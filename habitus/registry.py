@@ -177,13 +177,13 @@ def resolve_serving(spark: SparkSession, folder: str) -> DataFrame:
 
 def serving_lookup(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "serving")
-    tables.write_serving(shipping_scores(spark, folder), path)
+    tables.write_serving(_stored_scores(spark, folder), path)
     return serving.serving_record(tables.lookup(spark, path, "7"))
 
 
 def serving_lookup_bucketed(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "serving")
-    tables.write_serving(shipping_scores(spark, folder), path, buckets=16)
+    tables.write_serving(_stored_scores(spark, folder), path, buckets=16)
     days = tables.lookup(spark, path, "7", buckets=16)
     return serving.user_timeline(days, "7", one_task=True).days
 
@@ -191,7 +191,7 @@ def serving_lookup_bucketed(spark: SparkSession, folder: str) -> DataFrame:
 def timeline_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """A lookup that opens the files the manifest names."""
     path = scratch_path(spark, "serving")
-    tables.write_serving(shipping_scores(spark, folder), path)
+    tables.write_serving(_stored_scores(spark, folder), path)
     manifest.write_manifest(spark, path)
     served = manifest.ServedTable(spark, path, tables.read_served(spark, path).schema)
     return serving.user_timeline(served.lookup("7"), "7", one_task=True).days
