@@ -131,7 +131,7 @@ def csv_users(spark: SparkSession, folder: str) -> DataFrame:
 
 def serving_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "serving")
-    tables.write_serving(shipping_scores(spark, folder), path)
+    tables.write_serving(_stored_scores(spark, folder), path)
     return serving.serving_record(tables.read_served(spark, path))
 
 
@@ -139,7 +139,7 @@ def layout_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of several files, and whether each has as few row groups of at most 500 rows as possible."""
     path = scratch_path(spark, "serving")
     small = replace(DEFAULTS, row_group_rows=500)
-    tables.write_serving(shipping_scores(spark, folder), path, small)
+    tables.write_serving(_stored_scores(spark, folder), path, small)
     report = tables.layout_report(spark, path).where("rows > 0")
     fewest = F.ceil(F.col("rows") / small.row_group_rows)
     return report.agg(
@@ -151,7 +151,7 @@ def layout_totals(spark: SparkSession, folder: str) -> DataFrame:
 def layout_buckets(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of each folder, each of which has whole actors, summed up from its files."""
     path = scratch_path(spark, "serving")
-    tables.write_serving(shipping_scores(spark, folder), path, buckets=4)
+    tables.write_serving(_stored_scores(spark, folder), path, buckets=4)
     report = tables.layout_report(spark, path)
     parts = report.groupBy(F.regexp_extract("file", "=([0-9]+)/", 1).alias("bucket"))
     return parts.agg(F.sum("rows").alias("n")).agg(
@@ -201,6 +201,7 @@ def rescored_day(spark: SparkSession, folder: str) -> DataFrame:
     """All days are written, one with scores that are missing; that day is then scored and rewritten."""
     path = scratch_path(spark, "days")
     scored = baseline.zscores(event_features(spark, folder)).select(*_z_columns(("z",)))
+    scored = cut_lineage(scored, "scored")
     last = scored.agg(F.max("day")).first()[0]
     stale = {f"z_{f}": F.when(F.col("day") < F.lit(last), F.col(f"z_{f}")) for f in FEATURES}
     tables.write_days(scored.withColumns(stale), path)

@@ -58,7 +58,7 @@ def test_a_later_page_reads_the_stored_base_set(spark, folder, offset):
     assert stored_as(found) <= {"threats"}
 
 
-@pytest.mark.parametrize("name", ("resolve_serving", "timeline_manifest"))
+@pytest.mark.parametrize("name", ("resolve_serving", "timeline_manifest", "serving_roundtrip"))
 def test_a_clustered_write_reads_stored_scores(spark, folder, name, monkeypatch):
     read, write = [], tables.write_serving
     monkeypatch.setattr(tables, "write_serving", lambda df, *a, **k: (read.append(df.inputFiles()), write(df, *a, **k)))
