@@ -411,13 +411,19 @@ def severity(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------------- drift
 
 
+def _trailing_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Trailing means while the rows are narrow, then the baseline, as ``score_days`` has them."""
+    days = _stored_days(spark, folder)
+    return baseline.zscores(drift.recent_means(parted(days, days.count(), "user")), hashed=True)
+
+
 def drift_zscores(spark: SparkSession, folder: str) -> DataFrame:
     scored = baseline.zscores(samples.shipping_days(spark, folder))
     return _text_day(drift.drift_zscores(scored).select(*_z_columns(("recent", "drift_z"))))
 
 
 def drift_signal(spark: SparkSession, folder: str) -> DataFrame:
-    scored = baseline.zscores(samples.shipping_days(spark, folder))
+    scored = _trailing_scores(spark, folder)
     return _text_day(
         drift.drift_signal(scored).select("user", "day", "drift_flag", "drift_reasons")
     )

@@ -66,6 +66,13 @@ def test_a_clustered_write_reads_stored_scores(spark, folder, name, monkeypatch)
     assert read and not any("lineitem" in file or "actor-days" in file for files in read for file in files)
 
 
+@pytest.mark.parametrize("name", ("drift_signal",))
+def test_trailing_means_come_before_the_baseline(spark, folder, name):
+    """The rows that are sorted have no columns of the baseline yet."""
+    plan = registry.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.index("Join") < plan.index("Window [")
+
+
 def test_hashed_baselines_are_the_same(make_days):
     days = make_days({"u": [2] * 40 + [5] * 40, "v": [1], "w": [None, 3, 4]})
     assert sorted(map(str, baseline.zscores(days, hashed=True).collect())) == sorted(map(str, baseline.zscores(days).collect()))
