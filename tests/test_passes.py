@@ -66,7 +66,7 @@ def test_a_clustered_write_reads_stored_scores(spark, folder, name, monkeypatch)
     assert read and not any("lineitem" in file or "actor-days" in file for files in read for file in files)
 
 
-@pytest.mark.parametrize("name", ("drift_signal",))
+@pytest.mark.parametrize("name", ("drift_zscores", "drift_signal"))
 def test_trailing_means_come_before_the_baseline(spark, folder, name):
     """The rows that are sorted have no columns of the baseline yet."""
     plan = registry.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
